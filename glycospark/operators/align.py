@@ -47,7 +47,7 @@ def densify(
     bounds = bins.groupBy(*by).agg(F.min(slot).alias("_lo"), F.max(slot).alias("_hi"), *(
         [F.first("_step").alias("_step")] if "_step" in bins.columns else []))
     grid = spread_range(bounds, by, "_lo", "_hi", step, slot).drop("_lo", "_hi", "_step")
-    return grid.join(bins.drop("_step"), [*by, slot], "left")
+    return grid.join(bins.drop("_step", "pos"), [*by, slot], "left")
 
 
 def regular_aggregates(

@@ -211,11 +211,12 @@ def exponential_average(
         bottom = F.sum(F.when(F.col(col).isNotNull(), weight)).over(w)
         return carry_on(own(near.withColumn("_s", top / bottom)))
     schema = T.StructType([*df.schema.fields, T.StructField("_s", T.DoubleType())])
+    names, order = [*df.columns, "_s"], [k.time, *k.tie]
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([k.time, *k.tie])
+        pdf = pdf.sort_values(order)
         pdf["_s"] = pdf[col].ewm(alpha=alpha, adjust=False).mean()
-        return pdf.loc[pdf[OWN].astype(bool), [*df.columns, "_s"]]
+        return pdf.loc[pdf[OWN].astype(bool), names]
 
     return carry_on(near.groupBy(*k.by, BLOCK).applyInPandas(smooth, schema))
 

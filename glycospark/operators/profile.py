@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -120,18 +121,23 @@ def dataset_share(df: DataFrame, source: str = "source_dataset") -> DataFrame:
     return counts.withColumn("pct", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()) * 100)
 
 
-def column_matrix(spark, frames: Mapping[str, DataFrame]) -> DataFrame:
-    """Which column occurs in which data set and in the combination (AGG12)."""
-    rows = [(c, n) for n, d in frames.items() for c in d.columns]
-    pairs = spark.createDataFrame(rows, "column string, dataset string")
+def column_matrix(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """Known values of each column per data set, and whether all data sets have it (AGG12).
+
+    One pass over each data set; a column a data set lacks counts 0.
+    """
     names = list(frames)
-    wide = pairs.groupBy("column").pivot("dataset", names).agg(F.count("*"))
-    flags = {n: F.col(n).isNotNull() for n in names}
-    out = wide.withColumns(flags)
-    every = out[names[0]]
-    for n in names[1:]:
-        every = every & out[n]
-    return out.withColumn("in_final", every)
+    parts = []
+    for name, df in frames.items():
+        counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in df.columns])
+        parts.append(counts.select(F.explode(pairs).alias("_p")).select("_p.*", F.lit(name).alias("dataset")))
+    long = reduce(DataFrame.unionByName, parts)
+    wide = long.groupBy("column").agg(
+        *[F.coalesce(F.sum(F.when(F.col("dataset") == n, F.col("n"))), F.lit(0)).alias(n) for n in names],
+        (F.count("*") == len(names)).alias("in_final"),
+    )
+    return wide
 
 
 def histogram(df: DataFrame, by: Sequence[str], col: str = "bg_mM", low: float = 2, high: float = 22, bins: int = 40,
