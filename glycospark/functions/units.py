@@ -10,9 +10,15 @@ DIVISOR_PLAIN = 18.0
 DIVISOR_EXACT = 18.0182
 
 
+def round_even(col: Column, places: int) -> Column:
+    """Scale, round half to even, scale back: the same result as the numeric libraries give."""
+    scale = F.lit(10.0**places)
+    return F.rint(col * scale) / scale
+
+
 def mg_dl_to_mmol_l(col: Column, divisor: float = DIVISOR_ROUNDED, places: int | None = 2) -> Column:
     value = col / F.lit(divisor)
-    return value if places is None else F.bround(value, places)
+    return value if places is None else round_even(value, places)
 
 
 def clamp_sentinel(col: Column, low: float = 39, high: float = 401) -> Column:

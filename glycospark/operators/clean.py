@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.timefn import from_seconds, parse_flexible, second_of_day
-from ..functions.units import clamp_sentinel, mg_dl_to_mmol_l, plausible
+from ..functions.units import clamp_sentinel, mg_dl_to_mmol_l, plausible, round_even
 from ..schema import MEAL
 
 DAY = 86_400
@@ -99,7 +99,7 @@ def keep_overlap(df: DataFrame, kind: str = "msg_type", time: str = "datetime")
 
 def reduce_precision(df: DataFrame, columns: Sequence[str] = ROUNDED_COLUMNS) -> DataFrame:
     """Two places, half to even (PRJ16)."""
-    return df.withColumns({c: F.bround(c, 2) for c in columns if c in df.columns})
+    return df.withColumns({c: round_even(F.col(c), 2) for c in columns if c in df.columns})
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -149,7 +149,7 @@ def zero_lag(df: DataFrame, names: Mapping[str, str], keep: Sequence[str] = ("id
     have = {f"{m}-0:00": new for m, new in names.items() if f"{m}-0:00" in df.columns}
     out = df.select(*[c for c in keep if c in df.columns], *[F.col(f"`{c}`").alias(n) for c, n in have.items()])
     if "food_g" in have.values():
-        out = out.withColumn("msg_type", F.when(F.col("food_g").isNotNull() & (F.col("food_g") != 0), MEAL).otherwise(""))
+        out = out.withColumn("msg_type", F.when(F.col("food_g").try_cast("double") != 0, MEAL).otherwise(""))
     return out
 
 

@@ -87,6 +87,30 @@ def convolve(
     return joined.fillna(0.0, names)
 
 
+def convolve_grid(
+    df: DataFrame, responses: Mapping[str, Mapping[str, Sequence[float]]], step: int, keys: Keys = GRID_KEYS,
+    positive_only: Sequence[str] = (),
+) -> DataFrame:
+    """Kernel sums on a complete grid: one halo, no join (JOIN8).
+
+    ``responses`` maps an amount column to its named kernels.  On a complete grid a
+    lag of k rows is a lag of k steps.
+    """
+    longest = max(len(k) for ks in responses.values() for k in ks.values())
+    w = keys.window()
+    lags, out = {}, {}
+    for value, kernels in responses.items():
+        amount = F.when(F.col(value) > 0, F.col(value)) if value in positive_only else F.col(value)
+        amount = F.coalesce(amount, F.lit(0.0))
+        for k in range(max(len(v) for v in kernels.values())):
+            lags[f"_l_{value}_{k}"] = F.coalesce(F.lag(amount, k).over(w), F.lit(0.0)) if k else amount
+        for name, weights in kernels.items():
+            terms = [F.col(f"_l_{value}_{k}") * F.lit(float(x)) for k, x in enumerate(weights) if x != 0]
+            out[name] = sum(terms[1:], terms[0]) if terms else F.lit(0.0)
+    near = halo(df, keys, back=(longest - 1) * step).withColumns(lags)
+    return own(near.withColumns(out).drop(*lags))
+
+
 def carbs_on_board(df: DataFrame, step: int, keys: Keys = GRID_KEYS) -> DataFrame:
     avail, cob = carb_kernel(step // 60)
     return convolve(df, "food_g", {"carb_availability": avail, "cob": cob}, step, keys)

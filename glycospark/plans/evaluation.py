@@ -10,6 +10,7 @@ from ..functions.softdtw import COLUMNS, dilate
 from ..operators import episodes as E, metrics as M
 from ..operators.blocks import Keys
 from ..operators.forecast import actuals, pair
+from ..session import stage
 
 
 def evaluate_nocturnal(
@@ -18,6 +19,7 @@ def evaluate_nocturnal(
     levels: Sequence[float] = (),
     threshold: float = M.HYPO,
     with_dilate: bool = True,
+    keep: bool = False,
 ) -> dict[str, DataFrame]:
     """Per episode, per patient, overall and by step (EVA17).
 
@@ -25,10 +27,13 @@ def evaluate_nocturnal(
     turns it into (episode_id, step, q, forecast).  Episodes without a forecast
     drop out.  With ``levels`` the metrics of a predictive distribution are added.
     All quantiles of an episode's step meet once; every metric reads that table.
+    ``keep`` persists the forecasts, for callers that use several of the results.
     """
     probabilistic = len(levels) > 0
     truth = actuals(episodes)
     long = pair(forecaster(episodes), truth)
+    if keep:
+        long = stage(long)
     who = episodes.select("episode_id", "p_num", F.element_at("context", -1).alias("last_context"))
     keys = ["episode_id", "step"]
     steps = M.gather_steps(long, keys)

@@ -92,15 +92,14 @@ def insulin_history(log: DataFrame, shift_s: int = 300) -> DataFrame:
     return log.select(F.col("PtID").alias("p_num"), stamp.alias("datetime"), dose.alias("dose_units"))
 
 
-def sensor_csv(spark: SparkSession, folder: str, name_part: str = "DataRTCGM", expected: Sequence[str] = S.SENSOR_CSV.names) -> DataFrame:
+def sensor_csv(spark: SparkSession, folder: str, name_part: str = "DataRTCGM") -> DataFrame:
     """All CSV files of a tree whose name holds ``name_part``, matched by header (SRC4).
 
-    Files that are not UTF-8 are read as Latin-1; the encoding of a file is found
-    by looking for the replacement character in a scan of its text.
+    Files that are not UTF-8 are read as Latin-1; a scan of the bare text finds them.
     """
     options = {"recursiveFileLookup": True, "pathGlobFilter": f"*{name_part}*"}
     text = spark.read.options(**options).text(folder).select("value", F.col("_metadata.file_path").alias("_file"))
-    bad = text.where(F.col("value").contains("�")).select("_file").distinct()
+    bad = text.where(~F.is_valid_utf8("value")).select("_file").distinct()
     read = lambda enc: spark.read.options(**options).csv(folder, header=True, encoding=enc, inferSchema=False).withColumn(
         "_file", F.col("_metadata.file_path")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,6 @@ from ..schema import CONFIG_JSON, NOCTURNAL_JSON, NOCTURNAL_METRICS, RUN_METRICS
 NOCTURNAL_FILES = ("results_summary.json", "nocturnal_results.json")
 STANDARD_FILE = "results.json"
 CONFIG_FILE = "experiment_config.json"
-VARIANT_MODELS = ("statistical", "naive_baseline", "deepar")
 
 
 def run_summaries(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -31,27 +31,40 @@ def run_summaries(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def _path_part(path: Column, from_end: int) -> Column:
-    return F.element_at(F.split(path, "/"), -from_end)
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -from_end), "^[^=]*=", "")
 
 
-def _run_files(spark: SparkSession, root: str, schema, name: str) -> DataFrame:
-    """JSON files of one name below ``type/ctx_fh/model/run`` with the path keys (SRC13).
+def _files(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Whole files of one name below ``type/ctx_fh/model/run`` with the path keys.
 
-    Folders whose name starts with ``_`` are reserved and left out.
+    Folders whose name starts with ``_`` are reserved and left out.  Folder names of
+    the form ``key=value`` count as their value.
     """
-    raw = spark.read.json(
-        root, schema=schema, multiLine=True, recursiveFileLookup=True, pathGlobFilter=name,
-        mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt",
-    ).withColumn("_path", F.col("_metadata.file_path"))
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name)
+    out = raw.withColumn("_path", F.col("_metadata.file_path"))
     keys = {"run_id": 2, "model_dir": 3, "ctx_fh": 4, "experiment_type": 5}
-    out = raw.withColumns({k: _path_part(F.col("_path"), n) for k, n in keys.items()})
-    out = out.withColumn("run_path", F.regexp_replace("_path", r"/[^/]*$", ""))
-    return out.where(~F.col("ctx_fh").startswith("_") & F.col("_corrupt").isNull()).drop("_path", "_corrupt")
+    out = out.withColumns({k: _path_part(F.col("_path"), n) for k, n in keys.items()})
+    out = out.withColumn("run_path", F.regexp_replace("_path", r"/[^/]*$", "")).drop("_path")
+    return out.where(~F.col("ctx_fh").startswith("_"))
+
+
+def _run_files(spark: SparkSession, root: str, schema, name: str) -> DataFrame:
+    """The files parsed with a fixed schema; malformed ones are left out."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parsed = _files(spark, root, name).withColumn("_j", F.from_json("value", schema, options)).drop("value")
+    good = parsed.where(F.col("_j").isNotNull() & F.col("_j._corrupt").isNull())
+    return good.select("*", *[F.col(f"_j.{f.name}").alias(f.name) for f in schema.fields if f.name != "_corrupt"]).drop("_j")
+
+
+def run_directories(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Keys of all run folders that hold a file of this name (SRC13)."""
+    keys = ["experiment_type", "ctx_fh", "model_dir", "run_id", "run_path"]
+    return _files(spark, root, name).select(*keys).distinct()
 
 
-def run_configs(spark: SparkSession, root: str) -> DataFrame:
+def run_configs(spark: SparkSession, root: str, name: str = CONFIG_FILE) -> DataFrame:
     """Covariates and holdout folder from the config of each run (LDB3, LDB4)."""
-    cfg = _run_files(spark, root, CONFIG_JSON, CONFIG_FILE)
+    cfg = _run_files(spark, root, CONFIG_JSON, name)
     cols = F.coalesce("cli_args.covariate_cols", "model_config.covariate_cols", F.array().cast("array<string>"))
     return cfg.select(
         "run_path", cols.alias("covariate_cols"), F.col("cli_args.config_dir").alias("config_dir"),
@@ -79,14 +92,16 @@ def _summary_columns(df: DataFrame) -> DataFrame:
     return df.select(*head, *extra)
 
 
-def nocturnal_runs(spark: SparkSession, root: str, configs: DataFrame | None = None) -> DataFrame:
+def nocturnal_runs(
+    spark: SparkSession, root: str, configs: DataFrame | None = None, names: Sequence[str] = NOCTURNAL_FILES
+) -> DataFrame:
     """One typed row per nocturnal run (SRC14).
 
     Broken files, runs without an rmse and runs without episodes are left out.  The
     newer result file of a run wins over the older one.
     """
-    parts = [_run_files(spark, root, NOCTURNAL_JSON, n).withColumn("_prio", F.lit(i)) for i, n in enumerate(NOCTURNAL_FILES)]
-    files = parts[0].unionByName(parts[1])
+    parts = [_run_files(spark, root, NOCTURNAL_JSON, n).withColumn("_prio", F.lit(i)) for i, n in enumerate(names)]
+    files = reduce(DataFrame.unionByName, parts)
     rest = [c for c in files.columns if c not in ("run_path", "_prio")]
     runs = files.groupBy("run_path").agg(F.min_by(F.struct(*rest), F.col("_prio")).alias("_r")).select("run_path", "_r.*")
     runs = runs.withColumn("mode", _mode()).withColumn("total_episodes", F.coalesce("total_episodes", _episodes()))
@@ -99,9 +114,9 @@ def nocturnal_runs(spark: SparkSession, root: str, configs: DataFrame | None = N
     return _summary_columns(runs)
 
 
-def standard_runs(spark: SparkSession, root: str, configs: DataFrame | None = None) -> DataFrame:
+def standard_runs(spark: SparkSession, root: str, configs: DataFrame | None = None, name: str = STANDARD_FILE) -> DataFrame:
     """One typed row per sliding-window run (SRC15)."""
-    runs = _run_files(spark, root, STANDARD_JSON, STANDARD_FILE).where(F.col("overall").isNotNull())
+    runs = _run_files(spark, root, STANDARD_JSON, name).where(F.col("overall").isNotNull())
     runs = _with_config(runs, run_configs(spark, root) if configs is None else configs)
     runs = runs.withColumn("mode", _mode()).withColumn("total_episodes", _episodes()).drop("cov_bucket")
     runs = runs.withColumns({"context_length": F.col("config.context_length"), "forecast_length": F.col("config.forecast_length"),
