@@ -1,8 +1,10 @@
 """Registry of queries over the driver tables, each with its reference SQL.
 
 Series concepts map onto the tables like this: a patient is a user of ``events``,
-a reading is any event's value / 5, meals are purchases, doses are sign-ups
-(value / 10), basal rates are views (value / 100, lasting 30 * k minutes).
+a reading is any event's value / 5.0173, meals are purchases (value / 1.00173), doses
+are sign-ups (value / 10.0173), basal rates are views (value / 100.173, lasting
+30 * k minutes).  The odd divisors keep rounded results off exact ties, which the
+two engines break differently.
 """
 
 from __future__ import annotations
@@ -84,10 +86,10 @@ def series(t: Tables) -> DataFrame:
         F.col("ts").alias("datetime"),
         "event_id",
         kind.alias("msg_type"),
-        (v / 5).alias("bg_mM"),
-        F.when(kind == "purchase", v).alias("food_g"),
-        F.when(kind == "signup", v / 10).alias("dose_units"),
-        F.when(kind == "view", v / 100).alias("rate"),
+        (v / 5.0173).alias("bg_mM"),
+        F.when(kind == "purchase", v / 1.00173).alias("food_g"),
+        F.when(kind == "signup", v / 10.0173).alias("dose_units"),
+        F.when(kind == "view", v / 100.173).alias("rate"),
         F.when(kind == "view", k * 30).alias("basal_duration_mins"),
     )
 
@@ -106,10 +108,10 @@ def meals(t: Tables) -> DataFrame:
 # --- inputs: SQL -------------------------------------------------------------------
 
 SER = """ser AS (
-  SELECT user_id AS p_num, ts, epoch_us(ts) AS us, event_id, event_type AS msg_type, value / 5 AS bg,
-    CASE WHEN event_type = 'purchase' THEN value END AS food,
-    CASE WHEN event_type = 'signup' THEN value / 10 END AS dose,
-    CASE WHEN event_type = 'view' THEN value / 100 END AS rate,
+  SELECT user_id AS p_num, ts, epoch_us(ts) AS us, event_id, event_type AS msg_type, value, value / 5.0173 AS bg,
+    CASE WHEN event_type = 'purchase' THEN value / 1.00173 END AS food,
+    CASE WHEN event_type = 'signup' THEN value / 10.0173 END AS dose,
+    CASE WHEN event_type = 'view' THEN value / 100.173 END AS rate,
     CASE WHEN event_type = 'view' THEN CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) * 30 END AS dur
   FROM events)"""
 

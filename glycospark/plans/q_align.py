@@ -38,9 +38,9 @@ def agg2(t: Tables):
 @query("agg2_regularize_own_interval", f"""
 WITH {SER}, d AS (
   SELECT p_num, us - lag(us) OVER (PARTITION BY p_num ORDER BY us, event_id) AS diff FROM
-    (SELECT p_num, us // 3600000000 * 3600000000 AS us, min(event_id) AS event_id FROM ser GROUP BY ALL)),
+    (SELECT p_num, us // 3600000000 * 3600000000 AS us, event_id FROM ser)),
 n AS (SELECT p_num, diff, count(*) AS n FROM d WHERE diff IS NOT NULL GROUP BY ALL),
-m AS (SELECT p_num, arg_min(diff, (-n, diff)) // 60000000 AS mins FROM n GROUP BY p_num),
+m AS (SELECT p_num, arg_min(diff, (-n, diff)) // 60000000 AS mins FROM n GROUP BY p_num HAVING arg_min(diff, (-n, diff)) > 0),
 b AS (
   SELECT p_num, mins * 60 AS step, mins * 60 * (us // (mins * 60000000) + CASE
       WHEN 2 * (us % (mins * 60000000)) > mins * 60000000

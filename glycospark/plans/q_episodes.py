@@ -107,7 +107,7 @@ def epi4(t: Tables):
 
 
 @query("epi4_sliding_windows_raw", f"""
-WITH ser AS (SELECT user_id AS p_num, epoch_us(ts) // 1000000 AS t, value / 5 AS bg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+WITH ser AS (SELECT user_id AS p_num, epoch_us(ts) // 1000000 AS t, value / 5.0173 AS bg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
 {_windows_sql(FH, False, 'ser')} SELECT * FROM z""")
 def epi4_raw(t: Tables):
     return _windows_out(E.row_windows(series(t), CTX, FH, keys=RAW_KEYS))
@@ -127,7 +127,7 @@ def epi6(t: Tables):
 
 
 @query("epi7_day_night_pairs", """
-WITH e AS (SELECT user_id AS p_num, ts, event_id, value / 5 AS bg, CAST(ts AS DATE) AS d, hour(ts) AS h FROM events),
+WITH e AS (SELECT user_id AS p_num, ts, event_id, value / 5.0173 AS bg, CAST(ts AS DATE) AS d, hour(ts) AS h FROM events),
 c AS (SELECT p_num, d AS episode_date, string_agg(printf('%.4f', bg), ' ' ORDER BY ts, event_id) AS context FROM e WHERE h >= 6 GROUP BY ALL),
 f AS (SELECT p_num, d - 1 AS episode_date, string_agg(printf('%.4f', bg), ' ' ORDER BY ts, event_id) AS target FROM e WHERE h < 6 GROUP BY ALL)
 SELECT p_num, CAST(episode_date AS VARCHAR) AS episode_date, context, target FROM c JOIN f USING (p_num, episode_date)""")
@@ -148,7 +148,7 @@ def epi7_rows(t: Tables):
 
 @query("epi8_training_pairs", f"""
 WITH {GRID},
-e AS (SELECT user_id AS p_num, ts, event_id, value / 5 AS bg, CAST(ts AS DATE) AS d, hour(ts) AS h FROM events),
+e AS (SELECT user_id AS p_num, ts, event_id, value / 5.0173 AS bg, CAST(ts AS DATE) AS d, hour(ts) AS h FROM events),
 c AS (SELECT p_num, d, count(*) AS nc FROM e WHERE h >= 6 GROUP BY ALL),
 f AS (SELECT p_num, d - 1 AS d, count(*) AS nt FROM e WHERE h < 6 GROUP BY ALL),
 good AS (SELECT p_num, d FROM c JOIN f USING (p_num, d) WHERE nc >= 3 AND nt >= 2),

@@ -533,7 +533,7 @@ def nocturnal_evaluation(t: Tables) -> dict[str, DataFrame]:
 
 
 @query("eva18_sliding_evaluation", f"""
-WITH ser AS (SELECT user_id AS p_num, epoch_us(ts) // 1000000 AS t, value / 5 AS bg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
+WITH ser AS (SELECT user_id AS p_num, epoch_us(ts) // 1000000 AS t, value / 5.0173 AS bg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
 m AS (SELECT p_num, max(pos) + 1 AS n FROM ser GROUP BY p_num),
 i AS (SELECT p_num, unnest(range(0, (n - {CTX + FH}) // {FH} + 1)) AS w FROM m WHERE n >= {CTX + FH}),
 x AS (SELECT i.p_num, w, pos - w * {FH} AS k, bg FROM i JOIN ser USING (p_num) WHERE pos BETWEEN w * {FH} AND w * {FH} + {CTX + FH - 1}),

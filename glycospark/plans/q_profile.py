@@ -34,20 +34,12 @@ _FFILL = "dose + coalesce(last_value(rate IGNORE NULLS) OVER (PARTITION BY p_num
 _COLS = ["bg_mM", "dose_units", "cob", "carb_availability", "iob", "insulin_availability"]
 
 
-def _odd(df):
-    """Values that never end on a half cent, so half-even and half-up agree."""
-    return df.withColumns({"bg_mM": F.col("bg_mM") * 5 / 5.0173, "food_g": F.col("food_g") / 1.00173, "dose_units": F.col("dose_units") / 1.00173,
-                           "rate": F.col("rate") / 1.00173})
-
-
-_ODD = SER.replace("value / 5 AS bg", "value / 5.0173 AS bg").replace("THEN value END AS food", "THEN value / 1.00173 END AS food").replace(
-    "THEN value / 10 END AS dose", "THEN value / 10 / 1.00173 END AS dose").replace("THEN value / 100 END AS rate", "THEN value / 100 / 1.00173 END AS rate")
-_HOURLY = grid_sql(HOUR).replace(SER, _ODD)
+_HOURLY = grid_sql(HOUR)
 
 
 @query("phy3_physiological_features", "WITH " + _features_sql(f"{_HOURLY}, gd AS (SELECT * FROM g)", _FFILL))
 def phy3(t: Tables):
-    src = _odd(series(t)).drop("msg_type", "basal_duration_mins")
+    src = series(t).drop("msg_type", "basal_duration_mins")
     out = physiological_features(src, HOUR, True, "automated", ("event_id",), HOUR_KEYS)
     return out.select("p_num", epoch(), *[(F.col(c) + 0).alias(c) for c in _COLS], (r("hour_sin") + 0).alias("hour_sin"))
 
@@ -58,12 +50,12 @@ gd AS (SELECT op.*, o.rate AS r0, o.dur AS d0 FROM op LEFT JOIN g o ON o.p_num =
 
 @query("phy4_preprocess_temp_basal", "WITH " + _features_sql(_TEMP, "dose + CASE WHEN pos - op < floor(d0 / 60) THEN r0 ELSE 0 END"))
 def phy4(t: Tables):
-    out = preprocess(_odd(series(t)).drop("msg_type"), HOUR, use_aggregation=True, delivery="temp", tie=("event_id",), keys=HOUR_KEYS)
+    out = preprocess(series(t).drop("msg_type"), HOUR, use_aggregation=True, delivery="temp", tie=("event_id",), keys=HOUR_KEYS)
     return out.select("p_num", epoch(), *[(F.col(c) + 0).alias(c) for c in _COLS], (r("hour_sin") + 0).alias("hour_sin"))
 
 
 @query("phy3_as_of_without_food", f"""
-WITH {_ODD}, b AS (SELECT p_num, min(us) AS lo, max(us) AS hi FROM ser GROUP BY p_num),
+WITH {SER}, b AS (SELECT p_num, min(us) AS lo, max(us) AS hi FROM ser GROUP BY p_num),
 x AS (SELECT p_num, i AS pos, lo + {HOUR * 1_000_000} * i AS us FROM (SELECT *, unnest(range(0, (hi - lo) // {HOUR * 1_000_000} + 1)) AS i FROM b)),
 c AS (SELECT x.p_num, x.pos, o.bg, o.dose, row_number() OVER (PARTITION BY x.p_num, x.pos ORDER BY o.us, o.event_id) AS rn
   FROM x JOIN ser o ON o.p_num = x.p_num AND o.us >= x.us AND o.us - x.us <= {HOUR * 1_000_000 * 2 // 3}),
@@ -72,7 +64,7 @@ i AS (SELECT p_num, pos + k AS pos, sum(dose * b) AS iob FROM g, ki WHERE dose >
 s AS (SELECT p_num, count(dose) AS n FROM g GROUP BY p_num)
 SELECT g.p_num, g.us // 1000000 AS t, CASE WHEN n > 0 THEN {R('coalesce(iob, 0)', 2)} END AS iob, NULL::DOUBLE AS cob FROM g JOIN s USING (p_num) LEFT JOIN i ON i.p_num = g.p_num AND i.pos = g.pos""")
 def phy3_asof(t: Tables):
-    src = _odd(series(t)).select("p_num", "datetime", "event_id", "bg_mM", "dose_units")
+    src = series(t).select("p_num", "datetime", "event_id", "bg_mM", "dose_units")
     out = physiological_features(src, HOUR, False, None, ("event_id",), Keys(tie=(), block=2 * DAY))
     return out.select("p_num", epoch(), (F.col("iob") + 0).alias("iob"), "cob")
 

@@ -47,9 +47,9 @@ def _pump_folder(t: Tables) -> str:
 
 
 _PUMP = f"""s AS (SELECT *, us // 1000000 AS sec, us // {STEP * 1_000_000} * {STEP} AS slot FROM ser),
-c AS (SELECT CAST(p_num AS VARCHAR) AS p_num, slot, avg(bg * 25) AS cgm FROM s WHERE msg_type IN ('click', 'error') GROUP BY ALL),
-d AS (SELECT CAST(p_num AS VARCHAR) AS p_num, slot, sum(dose * 10) AS dose FROM s WHERE msg_type = 'signup' GROUP BY ALL),
-e AS (SELECT CAST(p_num AS VARCHAR) AS p_num, slot, sec, max(rate * 100) AS rate FROM s WHERE msg_type = 'view' GROUP BY ALL),
+c AS (SELECT CAST(p_num AS VARCHAR) AS p_num, slot, avg(value * 5) AS cgm FROM s WHERE msg_type IN ('click', 'error') GROUP BY ALL),
+d AS (SELECT CAST(p_num AS VARCHAR) AS p_num, slot, sum(value) AS dose FROM s WHERE msg_type = 'signup' GROUP BY ALL),
+e AS (SELECT CAST(p_num AS VARCHAR) AS p_num, slot, sec, max(value) AS rate FROM s WHERE msg_type = 'view' GROUP BY ALL),
 f AS (SELECT p_num, slot, arg_max(rate, sec) AS rate FROM e GROUP BY ALL),
 x AS (SELECT p_num, lo + {STEP} * i AS slot FROM (SELECT p_num, lo, unnest(range(0, (hi - lo) // {STEP} + 1)) AS i FROM (SELECT p_num, min(slot) AS lo, max(slot) AS hi FROM c GROUP BY p_num)))"""
 
