@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.timefn import MICROS, floor_slot, from_seconds, micros, round_slot
-from .blocks import Carry, Keys, keep_last, scan, spread_range
+from .blocks import WEEK, Carry, Keys, keep_last, scan, spread_range
 
 MEAN_COLUMNS = ("bg_mM", "rate", "hr_bpm")
 ZERO_IS_VALUE = ("rate",)  # zero rate means a suspended pump
@@ -38,16 +38,29 @@ def interval_mode(df: DataFrame, keys: Keys = Keys(), fallback: int = 0) -> Data
 
 
 def densify(
-    bins: DataFrame, step: int | Column, by: Sequence[str] = ("p_num",), slot: str = "slot"
+    bins: DataFrame, step: int | Column, by: Sequence[str] = ("p_num",), slot: str = "slot", block: int = WEEK, chunk: int = 4096
 ) -> DataFrame:
     """Full grid from the first to the last slot of each patient (JOIN13).
 
-    ``slot`` holds epoch seconds; empty slots get NULL in every other column.
+    ``slot`` holds epoch seconds; empty slots get NULL in every other column.  Each
+    filled slot opens the empty ones up to the next filled slot in place, so only
+    the filled slots are shuffled, never the grid.  Adds ``pos``, counted from 0.
     """
-    bounds = bins.groupBy(*by).agg(F.min(slot).alias("_lo"), F.max(slot).alias("_hi"), *(
-        [F.first("_step").alias("_step")] if "_step" in bins.columns else []))
-    grid = spread_range(bounds, by, "_lo", "_hi", step, slot).drop("_lo", "_hi", "_step")
-    return grid.join(bins.drop("_step", "pos"), [*by, slot], "left")
+    width = F.lit(step) if isinstance(step, int) else step
+    rest = [c for c in bins.columns if c not in (*by, slot, "_step", "pos")]
+    known = bins.withColumn("_dt", from_seconds(F.col(slot)))
+    carried = scan(known, Keys(tuple(by), "_dt", (), block), _next=Carry("next", F.col(slot)), _first=Carry("first", F.col(slot)))
+    top = F.coalesce((F.col("_next") - F.col(slot)) / width - 1, F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    # in chunks, so that a long gap never becomes one long array
+    pieces = carried.withColumn("_top", top).withColumn("_c", F.explode(F.sequence(zero, F.floor(F.col("_top") / chunk).cast("long"))))
+    first = F.col("_c") * chunk
+    rows = pieces.withColumn("_i", F.explode(F.sequence(first, F.least(first + (chunk - 1), F.col("_top")))))
+    here = F.col("_i") == 0
+    at = (F.col(slot) + F.col("_i") * width).cast("long")
+    return rows.select(
+        *by, at.alias(slot), ((at - F.col("_first")) / width).cast("long").alias("pos"), *[F.when(here, F.col(c)).alias(c) for c in rest]
+    )
 
 
 def regular_aggregates(

@@ -215,17 +215,26 @@ def hash_rank(df: DataFrame, hash_col: str, tie: str, place: str = "place", tota
     return ranked.withColumn(place, F.col("_rn") + F.col("_off")).drop("_b", "_rn", "_off")
 
 
-def value_prefix(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], buckets: int = 256) -> DataFrame:
+def value_prefix(
+    df: DataFrame, by: Sequence[str], value: str, sums: dict[str, str], levels: int = 10, spread: DataFrame | None = None
+) -> DataFrame:
     """Sums over all rows with a smaller value, per key, without a global sort.
 
-    ``df`` has one row per (key, value).  Approximate percentiles cut the value axis
-    into buckets of like size; sums run inside a bucket and are shifted by the
-    totals of the earlier buckets.  ``sums`` maps output to input column; outputs
-    leave the row itself out, ``{output}_total`` is the sum over the key.
+    ``df`` has one row per (key, value).  Approximate percentiles of ``spread``
+    (default: ``df``) cut the value axis into 2**levels buckets of like size; sums
+    run inside a bucket and are shifted by the totals of the earlier buckets.
+    ``sums`` maps output to input column; outputs leave the row itself out,
+    ``{output}_total`` is the sum over the key.
     """
+    buckets = 2**levels
     cuts = F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10_000)
-    bounds = df.agg(cuts.alias("_q")).select("_q").scalar()
-    cut = df.withColumn("_q", bounds).withColumn("_b", F.size(F.filter("_q", lambda b: b < F.col(value)))).drop("_q")
+    bounds = (df if spread is None else spread).agg(cuts.alias("_q")).select("_q").scalar()
+    # binary search: the number of cuts below the value, one bit per step
+    cut = df.withColumn("_q", bounds).withColumn("_b", F.lit(0))
+    for bit in reversed(range(levels)):
+        step = 2**bit
+        cut = cut.withColumn("_b", F.col("_b") + F.when(F.get("_q", F.col("_b") + (step - 1)) < F.col(value), step).otherwise(0))
+    cut = cut.drop("_q")
     totals = cut.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*by)
@@ -242,14 +251,14 @@ def value_prefix(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, s
     return joined.withColumns(out).drop("_b", *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], levels: int = 10) -> DataFrame:
     """Exact linear-interpolated quantiles of large groups.
 
     Values are counted first; the two order statistics around each quantile are
     found by their running counts, so no task ever holds a whole group.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
-    ranked = value_prefix(counts, by, value, {"_less": "_k"}, buckets)
+    ranked = value_prefix(counts, by, value, {"_less": "_k"}, levels, df)
     aggs = []
     for name, q in wanted.items():
         place = F.lit(float(q)) * (F.col("_less_total") - 1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,23 +22,25 @@ def drop_days_with_meals(df: DataFrame, count: int, meal: str = MEAL) -> DataFra
 
 
 def _pick_spaced(length_us: int):
-    """Keep a stamp when it lies more than ``length_us`` after the last kept one."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        until, keep = None, []
-        for us in pdf["us"]:
-            ok = until is None or us > until
-            keep.append(ok)
-            if ok:
-                until = us + length_us
-        return pdf.loc[keep, ["p_num", "us"]]
+    """Of each sorted array of stamps keep those more than ``length_us`` after the last kept one."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            who, kept = [], []
+            for p, stamps in zip(pdf["p_num"], pdf["stamps"]):
+                until = None
+                for us in stamps.tolist():
+                    if until is None or us > until:
+                        until = us + length_us
+                        who.append(p)
+                        kept.append(us)
+            yield pd.DataFrame({"p_num": pd.Series(who, dtype=pdf["p_num"].dtype), "us": pd.Series(kept, dtype="int64")})
 
     return pick
 
 
 def merge_meals(
-    df: DataFrame, length_s: int = 7200, min_carbs: float = 5, meal: str = MEAL, keys: Keys = Keys(), p_type: str = "bigint"
+    df: DataFrame, length_s: int = 7200, min_carbs: float = 5, meal: str = MEAL, keys: Keys = Keys()
 ) -> DataFrame:
     """Greedy merge in time order (MEA2).
 
@@ -48,7 +50,8 @@ def merge_meals(
 
     Only which meals absorb depends on order, and only among large meals less than
     ``length_s`` apart.  These are cut into islands at longer pauses; the fold sees
-    the bare stamps of one island, and the absorbed rows are found with a scan.
+    the bare stamps of one island (8 bytes each), many islands per Arrow batch, and
+    the absorbed rows are found with a scan.
     """
     us, length = micros(F.col("datetime")), length_s * MICROS
     is_meal = F.coalesce(F.col("msg_type") == meal, F.lit(False))
@@ -58,9 +61,9 @@ def merge_meals(
     lagged = scan(big, k, _p=Carry("prev", F.col("us")))
     start = F.when(F.col("_p").isNull() | (F.col("us") - F.col("_p") > length), F.col("us"))
     chained = scan(lagged.withColumn("_st", start), k, island=Carry("last", F.col("_st")))
-    picked = chained.select("p_num", "us", "island").groupBy("p_num", "island").applyInPandas(
-        _pick_spaced(length), f"p_num {p_type}, us bigint"
-    )
+    islands = chained.groupBy("p_num", "island").agg(F.sort_array(F.collect_list("us")).alias("stamps"))
+    p_type = dict(df.dtypes)["p_num"]
+    picked = islands.select("p_num", "stamps").mapInPandas(_pick_spaced(length), f"p_num {p_type}, us bigint")
     picked = picked.select("p_num", F.timestamp_micros("us").cast("timestamp_ntz").alias("datetime"), F.col("us").alias("_abs"))
     marked = scan(df.join(picked, ["p_num", "datetime"], "left"), keys, _from=Carry("last", F.col("_abs")))
     swallowed = F.col("_abs").isNull() & F.col("_from").isNotNull() & (us - F.col("_from") <= length)
@@ -99,10 +102,9 @@ def meal_identification(
     n_top: int = 3,
     tie: Sequence[str] = (),
     meal: str = MEAL,
-    p_type: str = "bigint",
 ) -> DataFrame:
     """Overlay, drop gappy days, merge, keep the top meals (MEA3)."""
     grid = overlay_meals(df, step, tie, meal)
     days = drop_gappy_days(grid, max_null_run, drop_null_rows=True)
-    merged = merge_meals(days, length_s, min_carbs, meal, p_type=p_type)
+    merged = merge_meals(days, length_s, min_carbs, meal)
     return keep_top_meals(merged, n_top, day_start_s, meal=meal)

@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.softdtw import COLUMNS, dilate
 from ..operators import episodes as E, metrics as M
 from ..operators.blocks import Keys
-from ..operators.forecast import actuals, pair
 from ..session import stage
 
 
+def _step_loss() -> Column:
+    """Mean pinball loss over the levels of one step."""
+    y = F.col("actual")
+    loss = F.zip_with("levels", "values", lambda q, f: F.when(y >= f, q * (y - f)).otherwise((q - 1) * (y - f)))
+    return F.aggregate(loss, F.lit(0.0), lambda s, x: s + x) / F.size("levels")
+
+
+def _series(name: str) -> Column:
+    return F.transform(F.sort_array(F.collect_list(F.struct("step", name))), lambda s: s[name])
+
+
 def evaluate_nocturnal(
     episodes: DataFrame,
     forecaster: Callable[[DataFrame], DataFrame],
@@ -26,64 +36,79 @@ def evaluate_nocturnal(
     ``episodes`` has (p_num, episode_id, anchor, context, target); ``forecaster``
     turns it into (episode_id, step, q, forecast).  Episodes without a forecast
     drop out.  With ``levels`` the metrics of a predictive distribution are added.
-    All quantiles of an episode's step meet once; every metric reads that table.
-    ``keep`` persists the forecasts, for callers that use several of the results.
+
+    All quantiles of a step meet once.  The per-episode row keeps sums from which
+    the patient and overall metrics follow, so these read no step again.  ``keep``
+    persists the per-episode table, for callers that use several of the results.
     """
     probabilistic = len(levels) > 0
-    truth = actuals(episodes)
-    long = pair(forecaster(episodes), truth)
-    if keep:
-        long = stage(long)
-    who = episodes.select("episode_id", "p_num", F.element_at("context", -1).alias("last_context"))
-    keys = ["episode_id", "step"]
-    steps = M.gather_steps(long, keys)
-    median = M.quantile_at(0.5, F.col("levels"), F.col("values"))
-    steps = steps.withColumn("forecast", median)
+    truth = episodes.select("episode_id", "p_num", "target", F.element_at("context", -1).alias("last_context"))
+    joined = forecaster(episodes).join(truth, "episode_id").where(F.col("step") <= F.size("target"))
+    actual = F.element_at("target", F.col("step"))
+    packed = F.sort_array(F.collect_list(F.struct("q", "forecast")))
+    steps = joined.groupBy("p_num", "episode_id", "step").agg(
+        packed.alias("_k"), F.first(actual).alias("actual"), F.first("last_context").alias("last_context")
+    )
+    steps = steps.select(
+        "p_num", "episode_id", "step", "actual", "last_context",
+        F.transform("_k", lambda s: s["q"]).alias("levels"), F.transform("_k", lambda s: s["forecast"]).alias("values"),
+    )
+    added = {"forecast": M.quantile_at(0.5, F.col("levels"), F.col("values"))}
+    supported = M.supported_levels(levels) if probabilistic else []
+    if probabilistic:
+        added["_loss"] = _step_loss()
+        added["p_hypo"] = M.hypo_probability(F.col("levels"), F.array_sort("values"), threshold)
+        for level in supported:
+            s = str(round(level * 100))
+            added[f"lo_{s}"] = M.quantile_at((1 - level) / 2, F.col("levels"), F.col("values"))
+            added[f"hi_{s}"] = M.quantile_at((1 + level) / 2, F.col("levels"), F.col("values"))
+    steps = steps.withColumns(added)
+
     aggs = [
-        F.sqrt(F.avg(F.pow(F.col("forecast") - F.col("actual"), 2))).alias("rmse"),
-        F.min_by("forecast", "step").alias("_first"),
-        F.transform(F.sort_array(F.collect_list(F.struct("step", "forecast"))), lambda s: s["forecast"]).alias("pred"),
-        F.transform(F.sort_array(F.collect_list(F.struct("step", "actual"))), lambda s: s["actual"]).alias("target"),
+        *M.regression_aggs(), F.count("*").alias("n_steps"),
+        F.abs(F.first("last_context") - F.min_by("forecast", "step")).alias("discontinuity"),
+        _series("forecast").alias("pred"), _series("actual").alias("target"),
     ]
-    supported = M.supported_levels(levels) if probabilistic else []
+    means = ["discontinuity"]
     if probabilistic:
-        loss = F.zip_with("levels", "values", lambda q, f: F.when(F.col("actual") >= f, q * (F.col("actual") - f)).otherwise(
-            (q - 1) * (F.col("actual") - f)))
-        mean_loss = F.aggregate(loss, F.lit(0.0), lambda s, x: s + x) / F.size("levels")
-        steps = M.with_hypo_probability(steps.withColumn("_loss", mean_loss), threshold)
         hit = (F.col("actual") < threshold).cast("double")
         aggs += [F.avg("_loss").alias("wql"), F.avg(F.pow(F.col("p_hypo") - hit, 2)).alias("brier")]
+        means += ["wql", "brier"]
         for level in supported:
             s = str(round(level * 100))
-            steps = M.with_interval(steps, level)
             lo, hi = F.col(f"lo_{s}"), F.col(f"hi_{s}")
             aggs += [F.avg(F.col("actual").between(lo, hi).cast("double")).alias(f"coverage_{s}"), F.avg(hi - lo).alias(f"sharpness_{s}")]
-    per_episode = steps.groupBy("episode_id").agg(*aggs).join(who, "episode_id")
-    per_episode = per_episode.withColumn("discontinuity", F.abs(F.col("last_context") - F.col("_first"))).drop("_first", "last_context")
-    scalars = ["discontinuity"]
-    if probabilistic:
-        scalars += ["wql", "brier", *[f"{n}_{round(x * 100)}" for x in supported for n in ("coverage", "sharpness")]]
+            means += [f"coverage_{s}", f"sharpness_{s}"]
+        # actuals at or below each quantile, for the pooled calibration
+        aggs += [F.count_if(F.col("actual") <= F.get("values", F.lit(i))).alias(f"below_{i}") for i in range(len(levels))]
+    per_episode = steps.groupBy("p_num", "episode_id").agg(*aggs)
     if with_dilate:
         per_episode = per_episode.withColumn("_d", dilate(F.col("pred"), F.col("target"))).select("*", "_d.*").drop("_d")
-        scalars += COLUMNS
-    points = steps.select("episode_id", "step", "forecast", "actual").join(who.select("episode_id", "p_num"), "episode_id")
-    by_patient = points.groupBy("p_num").agg(F.count_distinct("episode_id").alias("episodes"), *M.regression_aggs())
-    if probabilistic:
-        extra = per_episode.groupBy("p_num").agg(F.avg("wql").alias("wql"), F.avg("brier").alias("brier"))
-        by_patient = by_patient.join(extra, "p_num")
-    # the overall rmse pools all steps, the other metrics average over episodes
-    pooled = points.agg(F.sqrt(F.avg(F.pow(F.col("forecast") - F.col("actual"), 2))).alias("overall_rmse"))
-    means = per_episode.agg(
-        F.count("*").alias("total_episodes"),
-        *[F.avg(c).alias("mean_discontinuity" if c == "discontinuity" else f"overall_{c}") for c in scalars],
+        means += COLUMNS
+    if keep:
+        per_episode = stage(per_episode)
+
+    n = F.col("n_steps")
+    pooled = lambda c: F.sum(F.col(c) * n) / F.sum(n)
+    by_patient = per_episode.groupBy("p_num").agg(
+        F.count("*").alias("episodes"), pooled("mse").alias("mse"), F.sqrt(pooled("mse")).alias("rmse"), pooled("mae").alias("mae"),
+        pooled("mape").alias("mape"), *([F.avg("wql").alias("wql"), F.avg("brier").alias("brier")] if probabilistic else []),
     )
-    overall = means.withColumn("overall_rmse", pooled.scalar())
-    by_step = None
+    total = [F.count("*").alias("total_episodes"), F.sqrt(pooled("mse")).alias("overall_rmse")]
+    total += [F.avg(c).alias("mean_discontinuity" if c == "discontinuity" else f"overall_{c}") for c in means]
+    if probabilistic:
+        miss = [F.abs(F.sum(f"below_{i}") / F.sum(n) - q) for i, q in enumerate(sorted(levels))]
+        total.append((sum(miss[1:], miss[0]) / len(miss)).alias("overall_mace"))
+    overall = per_episode.agg(*total)
+    out = {"forecasts": steps, "per_episode": per_episode, "per_patient": by_patient, "overall": overall}
     if probabilistic:
-        overall = overall.withColumn("overall_mace", M.mace(long, []).select("mace").scalar())
-        by_step = M.interval_scores(steps, ["step"], supported)
-    out = {"forecasts": long, "per_episode": per_episode, "per_patient": by_patient, "overall": overall}
-    return out | ({"by_step": by_step} if by_step is not None else {})
+        by_step = []
+        for level in supported:
+            s = str(round(level * 100))
+            lo, hi = F.col(f"lo_{s}"), F.col(f"hi_{s}")
+            by_step += [F.avg(F.col("actual").between(lo, hi).cast("double")).alias(f"coverage_{s}"), F.avg(hi - lo).alias(f"sharpness_{s}")]
+        out["by_step"] = steps.groupBy("step").agg(*by_step)
+    return out
 
 
 def evaluate_sliding(df: DataFrame, ctx: int, fh: int, keys: Keys = Keys(), pos: str | None = None) -> dict[str, DataFrame]:

@@ -204,8 +204,8 @@ def eva14_repair(t: Tables):
 
 @query("eva15_dilate")
 def eva15(t: Tables):
-    a = t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("actual"))
-    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("pred"))
+    a = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("actual"))
+    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").cast("array<double>").alias("pred"))
     out = a.join(b, "vec_id").withColumn("_d", dilate(F.col("pred"), F.col("actual")))
     return out.select("vec_id", *[r(F.col(f"_d.{c}")).alias(c) for c in COLUMNS])
 
@@ -441,18 +441,18 @@ def prj21(t: Tables):
 
 @query("join9_episode_forecasts", f"""
 WITH {NUMBERED}, m AS (SELECT episode_id, p_num, arg_max(y, k) FILTER (k < {CTX}) AS f FROM e GROUP BY ALL)
-SELECT e.episode_id, CAST(k - {CTX - 1} AS INTEGER) AS step, {R('f')} AS forecast, {R('y')} AS actual FROM e JOIN m USING (episode_id) WHERE k >= {CTX} AND m.p_num % 2 = 1""")
+SELECT e.episode_id, CAST(k - {CTX - 1} AS INTEGER) AS step, {R('f')} AS forecast, {R('y')} AS actual FROM e JOIN m USING (episode_id) WHERE k >= {CTX} AND f > 6""")
 def join9(t: Tables):
     eps = numbered(t)
-    # the model answers for odd patients only; the others' episodes drop out
-    answered = Fc.baseline(eps.where("p_num % 2 = 1"), FH)
+    # the model answers high contexts only; the other episodes drop out
+    answered = Fc.baseline(eps.where(F.element_at("context", -1) > 6), FH)
     return rounded(Fc.pair(answered, Fc.actuals(eps)).drop("q"), "forecast", "actual")
 
 
-@query("join9_missing_forecasts", f"WITH {NUMBERED} SELECT DISTINCT episode_id FROM e WHERE p_num % 2 = 0")
+@query("join9_missing_forecasts", f"WITH {NUMBERED} SELECT episode_id FROM e WHERE k < {CTX} GROUP BY episode_id HAVING arg_max(y, k) <= 6")
 def join9_missing(t: Tables):
     eps = numbered(t)
-    return Fc.missing_forecasts(eps, Fc.baseline(eps.where("p_num % 2 = 1"), FH))
+    return Fc.missing_forecasts(eps, Fc.baseline(eps.where(F.element_at("context", -1) > 6), FH))
 
 
 _TWO = f"""{PT}, ea AS (SELECT p_num, episode, sqrt(avg((forecast - actual) ** 2)) AS rmse FROM pt WHERE actual > 5 GROUP BY ALL),

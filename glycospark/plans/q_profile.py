@@ -93,9 +93,9 @@ cu AS (SELECT p_num, quantile_cont(m, 0.6) AS cut FROM sm GROUP BY p_num),
 ss AS (SELECT p_num, t, m, CASE WHEN m > cut THEN 1.0 ELSE 0.0 END::DOUBLE AS sleep_score FROM sm JOIN cu USING (p_num))"""
 
 
-@query("win25_sleep_score", f"WITH {_SLEEP} SELECT p_num, t, {R('m')} AS raw_score, sleep_score FROM ss")
+@query("win25_sleep_score", f"WITH {_SLEEP} SELECT p_num, t, {R('m', 9)} AS raw_score, sleep_score FROM ss")
 def win25(t: Tables):
-    return Sl.sleep_score(_wearable(t), STEP, keys=GRID_KEYS).select("p_num", epoch(), r("raw_score").alias("raw_score"), "sleep_score")
+    return Sl.sleep_score(_wearable(t), STEP, keys=GRID_KEYS).select("p_num", epoch(), r("raw_score", 9).alias("raw_score"), "sleep_score")
 
 
 @query("win26_sleep_hours", f"""

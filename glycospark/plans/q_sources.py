@@ -338,6 +338,24 @@ def src11(t: Tables):
     return named.groupBy("p_num").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
+@query("agg21_file_statistics", f"""
+WITH {SER} SELECT msg_type AS file, count(*) AS total_readings, CAST(min(us) // 1000000 AS BIGINT) AS first_time, CAST(max(us) // 1000000 AS BIGINT) AS last_time, {R('avg(value)')} AS glucose_mean,
+  {R('stddev_samp(value)')} AS glucose_std, min(value) AS glucose_min, max(value) AS glucose_max, {R('count(*) * 5 / 60.0 / 24')} AS estimated_days, {R('quantile_cont(value, 0.5)')} AS glucose_median FROM ser GROUP BY 1""")
+def agg21(t: Tables):
+    from pyspark.sql import types as T
+
+    from ..operators.profile import file_statistics
+
+    path = scratch(t.spark, "cases")
+    t.events.select(_stamp(ISO).alias("hora"), F.col("value").alias("glucemia"), F.col("event_type").alias("case")).repartition("case").write.partitionBy("case").option("header", True).csv(path)
+    schema = T.StructType([T.StructField("hora", T.TimestampNTZType()), T.StructField("glucemia", T.DoubleType())])
+    df = t.spark.read.option("timestampNTZFormat", ISO).csv(path, schema=schema, header=True, recursiveFileLookup=True)
+    named = df.select(F.regexp_extract(F.col("_metadata.file_path"), r"case=([^/]*)/", 1).alias("file"), F.col("hora").alias("datetime"), F.col("glucemia").alias("bg_mM"))
+    out = file_statistics(named)
+    six = ("glucose_mean", "glucose_std", "estimated_days", "glucose_median")
+    return rounded(out, *six).withColumns({c: F.unix_seconds(F.col(c).cast("timestamp")) for c in ("first_time", "last_time")})
+
+
 @query("snk1_partitioned_append", "SELECT CAST(user_id // 10 AS INTEGER) AS \"partition\", count(*) AS n, count(DISTINCT user_id) AS n_patients FROM events GROUP BY 1")
 def snk1(t: Tables):
     path = scratch(t.spark, "snk1")

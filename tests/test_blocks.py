@@ -48,7 +48,7 @@ def test_halo_copies_and_owns_each_row_once(spark):
 def test_exact_quantiles_on_a_hot_group(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.choice(["hot", "b"], 5000, p=[0.9, 0.1]), "v": rng.integers(0, 700, 5000) / 7})
-    out = B.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.1, "m": 0.5, "z": 0.99}, buckets=16).toPandas().set_index("g")
+    out = B.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.1, "m": 0.5, "z": 0.99}, levels=4).toPandas().set_index("g")
     for g, want in pdf.groupby("g")["v"]:
         np.testing.assert_allclose(out.loc[g, ["a", "m", "z"]].astype(float), want.quantile([0.1, 0.5, 0.99]))
 

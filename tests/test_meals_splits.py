@@ -31,7 +31,7 @@ def test_greedy_merge_matches_rule(frame):
     food = [float(rng.integers(0, 40)) if m or rng.random() < 0.1 else None for m in meal]
     msg = ["ANNOUNCE_MEAL" if m else "x" for m in meal]
     df = frame(step_min=15, food_g=food, msg_type=msg)
-    out = M.merge_meals(df, 7200, 5, keys=HOUR, p_type="string")
+    out = M.merge_meals(df, 7200, 5, keys=HOUR)
     want_food, want_msg = merge_rule([i * 900 for i in range(n)], food, msg, 7200, 5)
     assert values(out, "food_g") == want_food
     assert values(out, "msg_type") == want_msg
