@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.kernels import carb_kernel, insulin_kernel
 from ..functions.timefn import cyclic, from_seconds, micros, seconds, weekday
-from .blocks import BLOCK, OWN, Carry, Keys, halo, own, scan, value_prefix, with_row
+from .blocks import BLOCK, OWN, Carry, Keys, halo, own, scan, text_rank, value_prefix, with_row
 
 GRID_KEYS = Keys()
 
@@ -374,19 +374,8 @@ def rank_normalised(df: DataFrame, columns: Sequence[str], out: str = "rank_scor
 def encode_categories(df: DataFrame, col: str, out: str) -> DataFrame:
     """NULL becomes "Unknown"; codes follow the sorted categories from 0 (PRJ25)."""
     filled = df.withColumn(col, F.coalesce(F.col(col), F.lit("Unknown")))
-    names = filled.select(col).distinct().withColumn("_one", F.lit(1))
-    codes = value_prefix_text(names, col).select(col, F.col("_before").cast("int").alias(out))
-    return filled.join(codes, col)
-
-
-def value_prefix_text(names: DataFrame, col: str) -> DataFrame:
-    """Number of distinct names before each name, bucketed by the first characters."""
-    cut = names.withColumn("_b", F.substring(col, 1, 2))
-    sizes = cut.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per two-letter head
-    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(col)) - 1
-    return cut.withColumn("_in", inner).join(sizes, "_b").withColumn("_before", F.col("_in") + F.col("_off"))
+    codes = text_rank(filled.select(col).distinct(), col, "_before")
+    return filled.join(codes.select(col, F.col("_before").cast("int").alias(out)), col)
 
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:

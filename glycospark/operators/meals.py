@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.timefn import MICROS, from_seconds, micros, seconds
 from ..schema import LOW_MEAL, MEAL
 from .align import overlay_meals
-from .blocks import Carry, Keys, scan
+from .blocks import BLOCK, Carry, Keys, halo, own, scan
 from .gaps import drop_gappy_days
 
 
@@ -50,29 +50,40 @@ def merge_meals(
 
     Only which meals absorb depends on order, and only among large meals less than
     ``length_s`` apart.  These are cut into islands at longer pauses; the fold sees
-    the bare stamps of one island (8 bytes each), many islands per Arrow batch, and
-    the absorbed rows are found with a scan.
+    the bare stamps of one island (8 bytes each), many islands per Arrow batch.
     """
     us, length = micros(F.col("datetime")), length_s * MICROS
+    by, p_type = list(keys.by), dict(df.dtypes)["p_num"]
     is_meal = F.coalesce(F.col("msg_type") == meal, F.lit(False))
-    big = df.where(is_meal & (F.col("food_g") > min_carbs)).select("p_num", "datetime", us.alias("us"))
-    big = big.distinct()
+    big = df.where(is_meal & (F.col("food_g") > min_carbs)).select("p_num", "datetime", us.alias("us")).distinct()
     k = Keys(keys.by, keys.time, (), keys.block)
-    lagged = scan(big, k, _p=Carry("prev", F.col("us")))
-    start = F.when(F.col("_p").isNull() | (F.col("us") - F.col("_p") > length), F.col("us"))
-    chained = scan(lagged.withColumn("_st", start), k, island=Carry("last", F.col("_st")))
+    near = halo(big, k, back=length_s + 1)
+    prev = F.lag("us").over(k.window())
+    start = F.when(prev.isNull() | (F.col("us") - prev > length), F.col("us"))
+    chained = scan(own(near.withColumn("_st", start)), k, island=Carry("last", F.col("_st")))
     islands = chained.groupBy("p_num", "island").agg(F.sort_array(F.collect_list("us")).alias("stamps"))
-    p_type = dict(df.dtypes)["p_num"]
     picked = islands.select("p_num", "stamps").mapInPandas(_pick_spaced(length), f"p_num {p_type}, us bigint")
     picked = picked.select("p_num", F.timestamp_micros("us").cast("timestamp_ntz").alias("datetime"), F.col("us").alias("_abs"))
-    marked = scan(df.join(picked, ["p_num", "datetime"], "left"), keys, _from=Carry("last", F.col("_abs")))
-    swallowed = F.col("_abs").isNull() & F.col("_from").isNotNull() & (us - F.col("_from") <= length)
-    gain = marked.where(swallowed & (F.col("food_g") > 0)).groupBy("p_num", F.col("_from").alias("_abs")).agg(F.sum("food_g").alias("_gain"))
-    out = marked.join(gain, ["p_num", "_abs"], "left")
+
+    # no other meal absorbs inside an absorber's window, so both the absorber of a
+    # row and the carbs an absorber gains lie within one window length
+    marked = halo(df.join(picked, ["p_num", "datetime"], "left"), keys, back=length_s + 1, ahead=length_s + 1)
+    marked = marked.withColumn("_us", us)
+    upto = keys.window().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by, BLOCK).orderBy("_us").rangeBetween(1, length)
+    marked = marked.withColumns(
+        {
+            "_from": F.last("_abs", True).over(upto),
+            "_gain": F.sum(F.when(F.col("food_g") > 0, F.col("food_g"))).over(ahead),
+        }
+    )
+    swallowed = F.coalesce((F.col("_us") > F.col("_from")) & (F.col("_us") - F.col("_from") <= length), F.lit(False))
+    absorbs = F.col("_abs").isNotNull() & is_meal & (F.col("food_g") > min_carbs)
     low = is_meal & (F.col("food_g") <= min_carbs)
-    food = F.when(swallowed, F.lit(0.0)).when(F.col("_abs").isNotNull(), F.col("food_g") + F.coalesce("_gain", F.lit(0.0))).otherwise(F.col("food_g"))
+    food = F.when(swallowed, F.lit(0.0)).when(absorbs, F.col("food_g") + F.coalesce("_gain", F.lit(0.0))).otherwise(F.col("food_g"))
     msg = F.when(swallowed & is_meal, F.lit(LOW_MEAL)).when(swallowed, F.lit("")).when(low, F.lit(LOW_MEAL)).otherwise(F.col("msg_type"))
-    return out.withColumns({"food_g": food, "msg_type": msg}).select(*df.columns)
+    out = marked.withColumns({"_food": food, "_msg": msg}).drop("food_g", "msg_type")
+    return own(out.withColumnsRenamed({"_food": "food_g", "_msg": "msg_type"})).select(*df.columns)
 
 
 def keep_top_meals(

@@ -409,14 +409,14 @@ def udf2_quantiles(t: Tables):
 
 
 @query("udf3_per_patient_transform", """
-SELECT user_id AS p_num, event_id, round((value - avg(value) OVER (PARTITION BY user_id, CAST(ts AS DATE))), 6) + 0.0 AS centred FROM events""")
+SELECT user_id AS p_num, event_id, round((value / 5.0173 - avg(value / 5.0173) OVER (PARTITION BY user_id, epoch_us(ts) // 864000000000)), 6) + 0.0 AS centred FROM events""")
 def udf3(t: Tables):
     def centre(pdf):
         pdf["centred"] = (pdf["value"] - pdf["value"].mean()).round(6) + 0.0
         return pdf[["p_num", "event_id", "centred"]]
 
-    src = t.events.select(F.col("user_id").alias("p_num"), "event_id", F.col("ts").alias("datetime"), "value")
-    return Fc.apply_per_patient(src, centre, "p_num bigint, event_id bigint, centred double", block_seconds=86_400)
+    src = t.events.select(F.col("user_id").alias("p_num"), "event_id", F.col("ts").alias("datetime"), (F.col("value") / 5.0173).alias("value"))
+    return Fc.apply_per_patient(src, centre, "p_num bigint, event_id bigint, centred double", block_seconds=10 * 86_400)
 
 
 @query("udf3_fallback_for_unseen", f"""

@@ -12,6 +12,7 @@ from .. import schema as S
 from ..functions.timefn import parse_flexible, round_slot
 from ..functions.units import clamp_sentinel
 from ..operators.align import first_by, floor_bins, join_bins_keep_last, join_sources, last_by, regularize
+from ..operators.blocks import text_rank
 from ..operators.clean import offset_stamp, parse_stamps, require_columns, suspend_rate
 
 # --- text tables ---------------------------------------------------------------------
@@ -179,16 +180,10 @@ def patient_map(groups: DataFrame) -> DataFrame:
 
 
 def numbered_patients(groups: DataFrame, prefix: str = "app", gid: str = "gid") -> DataFrame:
-    """``{prefix}_{n}`` by sorted group id (WIN24).
-
-    Ids are numbered inside hash-free ranges of their first characters, so no task
-    sorts all ids.
-    """
-    from ..operators.features import value_prefix_text
-
+    """``{prefix}_{n}`` by sorted group id, from 0 (WIN24)."""
     ids = groups.select(F.col(gid).cast("string").alias(gid)).distinct()
     number = F.concat(F.lit(f"{prefix}_"), F.col("_before").cast("string"))
-    return value_prefix_text(ids, gid).select(gid, number.alias("p_num"))
+    return text_rank(ids, gid, "_before").select(gid, number.alias("p_num"))
 
 
 # --- processed tables ----------------------------------------------------------------------

@@ -66,3 +66,12 @@ def test_spread_range_opens_in_chunks(spark):
     rows = out.where("p_num = 'a'").orderBy("pos").select("pos", "slot").collect()
     assert [tuple(r) for r in rows] == [(i, 300 * i) for i in range(31)]
     assert out.where("p_num = 'b'").count() == 1
+
+
+def test_text_rank_is_the_sorted_position(spark):
+    rng = np.random.default_rng(9)
+    names = sorted({"".join(rng.choice(list("aB0_é"), rng.integers(1, 16))) for _ in range(400)}, key=lambda s: s.encode())
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    out = B.text_rank(df, "name", "rank").orderBy("rank").toPandas()
+    assert list(out["rank"]) == list(range(len(names)))
+    assert list(out["name"]) == names
