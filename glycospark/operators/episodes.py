@@ -62,17 +62,22 @@ def midnight_episodes(
     covariates: Sequence[str] = (),
     max_gap: int = 11,
     order: Column | None = None,
+    gridded: bool = False,
 ) -> DataFrame:
     """Episodes anchored at midnight (EPI1); ``usable`` is false for skipped anchors.
 
     Small gaps are filled once per series.  A window is usable when no NULL is left
     and both of its outer rows were known before filling: a run cut by the edge of
-    the window has only one known neighbour inside it.
+    the window has only one known neighbour inside it.  ``gridded`` input already is
+    a complete grid of ``step`` seconds, as ``regularize`` gives, and is not gridded again.
     """
     if target not in df.columns:
         raise ValueError(f"no target column {target!r} among {df.columns}")
     have = [c for c in covariates if c in df.columns]
-    grid = on_grid(df.select("p_num", "datetime", target, *have, *_order_cols(df, order, target, have)), step, order)
+    if gridded:
+        grid = df.select("p_num", "datetime", target, *have)
+    else:
+        grid = on_grid(df.select("p_num", "datetime", target, *have, *_order_cols(df, order, target, have)), step, order)
     filled = interpolate_small_gaps(grid, max_gap, step, target, out="_y")
     rows = _window_rows(filled, ctx, fh, step)
     eps = _gather(rows, ["p_num", "_anchor"], [target, "_y", *have], ctx, fh)

@@ -94,7 +94,8 @@ def insulin_presence(df: DataFrame, dose: str = "dose_units", rate: str = "rate"
 
 
 def cohort_summary(
-    df: DataFrame, cohort: str, ctx: int, fh: int, step: int, threshold: float = 3.9, max_gap: int = 11, order: Column | None = None
+    df: DataFrame, cohort: str, ctx: int, fh: int, step: int, threshold: float = 3.9, max_gap: int = 11, order: Column | None = None,
+    gridded: bool = False,
 ) -> DataFrame:
     """Rows, readings and midnight episodes per cohort (AGG9, AGG10).
 
@@ -105,7 +106,7 @@ def cohort_summary(
         F.avg("bg_mM").alias("mean_bg"), F.stddev_samp("bg_mM").alias("std_bg"),
     )
     series = df.withColumn("p_num", F.struct("p_num", F.col(cohort).alias("c")))
-    eps = midnight_episodes(series, ctx, fh, step, "bg_mM", (), max_gap, order).where("usable")
+    eps = midnight_episodes(series, ctx, fh, step, "bg_mM", (), max_gap, order, gridded).where("usable")
     low = F.array_min("target")
     per = eps.withColumn("_min", low).groupBy(F.col("p_num.c").alias(cohort)).agg(
         F.count("*").alias("n_episodes"), F.count_if(F.col("_min") < threshold).alias("n_episodes_with_hypo"),

@@ -41,7 +41,7 @@ ep AS (SELECT w.p_num, w.anchor, w.k, w.y FROM w JOIN v USING (p_num, anchor) WH
 
 
 def midnight(t: Tables) -> DataFrame:
-    return E.midnight_episodes(grid(t), CTX, FH, STEP, covariates=("food_g", "rate"), max_gap=GAP)
+    return E.midnight_episodes(grid(t), CTX, FH, STEP, covariates=("food_g", "rate"), max_gap=GAP, gridded=True)
 
 
 @query("epi1_midnight_episodes", f"""
@@ -82,7 +82,7 @@ def epi2(t: Tables):
 WITH {EPISODES} SELECT p_num, anchor, {R('avg(y)')} AS mean FROM ep WHERE p_num IN (SELECT c_custkey FROM customer WHERE c_nationkey < 8) GROUP BY ALL""")
 def epi3(t: Tables):
     held = t.customer.where("c_nationkey < 8").select(F.col("c_custkey").alias("p_num"))
-    eps = E.patient_episodes(grid(t), held, CTX, FH, step=STEP, max_gap=GAP)
+    eps = E.patient_episodes(grid(t), held, CTX, FH, step=STEP, max_gap=GAP, gridded=True)
     mean = F.aggregate(F.concat("context", "target"), F.lit(0.0), lambda a, x: a + x) / ROWS
     return eps.select("p_num", epoch("anchor").alias("anchor"), r(mean).alias("mean"))
 
@@ -229,7 +229,7 @@ def spl14(t: Tables):
 WITH {EPISODES} SELECT ep.p_num, anchor, k - {CTX} AS step, {R('rate')} AS rate FROM ep LEFT JOIN g ON g.p_num = ep.p_num AND g.t = ep.anchor + (k - {CTX}) * {STEP} WHERE k < {CTX}""")
 def join15(t: Tables):
     g = grid(t)
-    rows = E.export_episodes(E.usable(E.midnight_episodes(g, CTX, FH, STEP, max_gap=GAP)), STEP).where("segment = 'context'")
+    rows = E.export_episodes(E.usable(E.midnight_episodes(g, CTX, FH, STEP, max_gap=GAP, gridded=True)), STEP).where("segment = 'context'")
     stamp = F.timestamp_seconds(F.unix_seconds(F.col("anchor").cast("timestamp")) + F.col("step") * STEP).cast("timestamp_ntz")
     out = E.attach_covariate(rows.withColumn("datetime", stamp), g, ["rate"])
     return out.select("p_num", epoch("anchor").alias("anchor"), F.col("step").cast("long").alias("step"), r("rate").alias("rate"))
@@ -266,12 +266,12 @@ SELECT cohort, n_patients, n_rows, mean_bg, std_bg, coalesce(n, 0) AS n_episodes
 @query("agg9_cohort_summary", COHORT_SQL.replace(_COHORT.format(t="t"), "'all'"))
 def agg9(t: Tables):
     df = grid(t).select("p_num", "datetime", "bg_mM").withColumn("cohort", F.lit("all"))
-    return _rounded(cohort_summary(df, "cohort", CTX, FH, STEP, max_gap=GAP))
+    return _rounded(cohort_summary(df, "cohort", CTX, FH, STEP, max_gap=GAP, gridded=True))
 
 
 @query("agg10_three_way_cohorts", COHORT_SQL)
 def agg10(t: Tables):
-    return _rounded(cohort_summary(_cohorts(t), "cohort", CTX, FH, STEP, max_gap=GAP))
+    return _rounded(cohort_summary(_cohorts(t), "cohort", CTX, FH, STEP, max_gap=GAP, gridded=True))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
