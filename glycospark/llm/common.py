@@ -61,3 +61,15 @@ def ascii_lower(col: Column) -> Column:
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """Identifies a row by id and content, so that a repeated id with another text stays apart; never null."""
     return F.concat_ws(":", F.col(id_col).cast("string"), F.hex(F.xxhash64(text_col)), F.hex(F.xxhash64(F.length(text_col), F.col(text_col))))
+
+
+#: Stands for a null id while ids pass through Python, where null would turn integers into floats.
+NO_ID = -(1 << 63)
+
+
+def id_in(col: str) -> Column:
+    return F.coalesce(F.col(col).cast("bigint"), F.lit(NO_ID).cast("bigint"))
+
+
+def id_out(col: str) -> Column:
+    return F.nullif(F.col(col), F.lit(NO_ID).cast("bigint"))

@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settle
+from .common import id_in, id_out, settle
 from .components import components
 from .hashing import Spans, as_long, mix
 
@@ -137,8 +137,9 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     * A null id takes no part: null class, kept.
     * An empty table gives an empty result; other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = settle(texts.mapInPandas(_signatures, "id bigint, n bigint, low bigint, high bigint, bands array<bigint>"), "signatures")
+    texts = docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = texts.mapInPandas(_signatures, "id bigint, n bigint, low bigint, high bigint, bands array<bigint>")
+    signed = settle(signed.withColumn("id", id_out("id")), "signatures")
     known = signed.where("id IS NOT NULL AND n > 0")
     nodes = settle(known.groupBy("n", "low", "high").agg(F.min("id").alias("node")), "nodes")
     # the node of each id; equal sets are equal nodes

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import settle
+from .common import id_in, id_out, settle
 
 CAPACITY = 2048
 END = 0  # the id that closes each document
@@ -60,14 +60,14 @@ def pieces(docs: DataFrame, files: tuple[str, str, str], capacity: int = CAPACIT
         encode = _encoder(*files)
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["id"], pdf["text"]):
+            for doc, text in zip(pdf["id"].tolist(), pdf["text"]):
                 ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
                 bounds = [0, *range((len(ids) - 1) % capacity + 1, len(ids) + 1, capacity)]
-                doc = None if pd.isna(doc) else int(doc)
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(cut, PIECES)
+    rows = docs.select(id_in(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(cut, PIECES).withColumn("doc_id", id_out("doc_id"))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -151,12 +151,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             size, rank = pdf["length"].to_numpy(), pdf["_rank"].to_numpy()
             _, first, per_bin, bin_, offset = layout[np.searchsorted(starts, size << 44 | rank, side="right") - 1].T
             out = pdf[columns].copy()
-            out["doc_id"] = out["doc_id"].astype("Int64")
             out["sequence_id"] = bin_ + (rank - first) // per_bin
             out["offset"] = offset + (rank - first) % per_bin * size
             yield out
 
-    return ranked.select(*columns, "_rank").mapInPandas(place, f"{PIECES}, sequence_id bigint, offset bigint")
+    ranked = ranked.withColumn("doc_id", id_in("doc_id")).select(*columns, "_rank")
+    return ranked.mapInPandas(place, f"{PIECES}, sequence_id bigint, offset bigint").withColumn("doc_id", id_out("doc_id"))
 
 
 def pack_texts(docs: DataFrame, files: tuple[str, str, str], capacity: int = CAPACITY, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
