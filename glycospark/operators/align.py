@@ -24,7 +24,10 @@ def last_by(col: str | Column, order: Column) -> Column:
     return F.max_by(c, F.when(c.isNotNull(), order))
 
 
-def interval_mode(df: DataFrame, keys: Keys = Keys(), fallback: int = 0) -> DataFrame:
+FALLBACK_MINS = 5  # where a series shows no interval of its own
+
+
+def interval_mode(df: DataFrame, keys: Keys = Keys(), fallback: int = FALLBACK_MINS) -> DataFrame:
     """Most common sampling interval per patient in whole minutes (AGG4).
 
     Ties go to the shorter interval; a patient with one row gets ``fallback``.
@@ -37,6 +40,10 @@ def interval_mode(df: DataFrame, keys: Keys = Keys(), fallback: int = 0) -> Data
     return diffs.groupBy(*keys.by).agg(F.coalesce(minutes, F.lit(fallback)).alias("interval_mins"))
 
 
+def positive_mins(mins: Column) -> Column:
+    return F.when(mins > 0, mins).otherwise(FALLBACK_MINS)
+
+
 def densify(
     bins: DataFrame, step: int | Column, by: Sequence[str] = ("p_num",), slot: str = "slot", block: int = WEEK, chunk: int = 4096
 ) -> DataFrame:
@@ -95,14 +102,15 @@ def regularize(
     """Bring every patient onto a regular grid, aggregating rows of one slot (AGG2 + JOIN13).
 
     ``step`` is the slot width in seconds; without it each patient's own sampling
-    interval is used.  Adds ``pos``, the position in the patient's grid.
+    interval is used, or five minutes where that is less than one minute or unknown.
+    Adds ``pos``, the position in the patient's grid.
     """
     order = F.struct("datetime", *tie)
     source = df.drop(*drop) if drop else df
     aggs = regular_aggregates(source, order=order, skip=("p_num", "datetime", *tie))
     if step is None:
-        modes = interval_mode(df).where("interval_mins > 0")
-        source = source.join(modes, "p_num").withColumn("_step", F.col("interval_mins").cast("long") * 60)
+        modes = interval_mode(df).withColumn("_mins", positive_mins(F.col("interval_mins"))).select("p_num", "_mins")
+        source = source.join(modes, "p_num").withColumn("_step", F.col("_mins").cast("long") * 60).drop("_mins")
         width: int | Column = F.col("_step")
         aggs.append(F.first("_step").alias("_step"))
     else:

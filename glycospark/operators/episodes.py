@@ -20,8 +20,12 @@ DAY = 86_400
 
 
 def on_grid(df: DataFrame, step: int, order: Column | None = None) -> DataFrame:
-    """Reindex on the floored grid: duplicates keep their last row, off-grid rows vanish."""
-    single = keep_last(df, ["p_num", "datetime"], order) if order is not None else df
+    """Reindex on the floored grid: duplicates keep their last row, off-grid rows vanish.
+
+    ``order`` says which row of one stamp is the last; without it the last one read is.
+    """
+    ranked = df.withColumn("_read", F.monotonically_increasing_id())
+    single = keep_last(ranked, ["p_num", "datetime"], F.col("_read") if order is None else order).drop("_read")
     slot = floor_slot(F.col("datetime"), step)
     cols = [c for c in df.columns if c not in ("p_num", "datetime")]
     # the grid spans all stamps, but only stamps on it bring their values
@@ -254,13 +258,10 @@ def day_night_pairs(df: DataFrame, context=(6, 24), forecast=(0, 6), target: str
 
 
 def training_pairs(
-    df: DataFrame, min_context: int = 10, target_rows: int = 6, ctx: int = 24, max_pairs: int | None = None,
+    df: DataFrame, min_context: int = 10, target_rows: int = 6, ctx: int = 24,
     target: str = "bg_mM", keys: Keys = Keys(), context=(6, 24), forecast=(0, 6), pos: str | None = None,
 ) -> DataFrame:
-    """Day/night pairs with length rules; patients without any fall back to rolling windows (EPI8).
-
-    ``max_pairs`` is the caller's cap on pairs per patient, the earliest first.
-    """
+    """Day/night pairs with length rules; patients without any fall back to rolling windows (EPI8)."""
     pairs = day_night_pairs(df, context, forecast, target, keys.tie)
     complete = ~F.exists("target", lambda v: v.isNull()) & (F.size("target") >= target_rows)
     good = pairs.where((F.size("context") >= min_context) & complete).select(
@@ -272,10 +273,7 @@ def training_pairs(
     every = good.unionByName(
         rolling.select("p_num", F.lit("rolling").alias("kind"), F.col("anchor").alias("start"), "context", "target")
     )
-    if max_pairs is None:
-        return every
-    w = Window.partitionBy("p_num").orderBy("start")
-    return every.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_pairs).drop("_rn")
+    return every
 
 
 def episode_ids(episodes: DataFrame, by: str = "p_num", order: str = "anchor") -> DataFrame:

@@ -202,7 +202,12 @@ def _decay_rows(alpha: float, adjust: bool) -> int:
     keep = 1 - alpha
     rate = math.log(keep)
     if not adjust:
-        rate = max(math.log(keep**g / (keep**g + alpha)) / g for g in range(1, 200) if keep**g > 0)
+        slow = lambda g: rate - math.log(keep**g + alpha) / g
+        low, high = 0.0, math.log(1e4 / alpha)  # of log(gap); beyond, decay only gets faster
+        for _ in range(200):  # one maximum, closed in on from both sides
+            a, b = low + (high - low) / 3, high - (high - low) / 3
+            low, high = (a, high) if slow(math.exp(a)) < slow(math.exp(b)) else (low, b)
+        rate = max(slow(1.0), slow(math.exp(low)))
     return max(2, math.ceil(math.log(1e-18) / rate))
 
 

@@ -40,7 +40,8 @@ WITH {SER}, d AS (
   SELECT p_num, us - lag(us) OVER (PARTITION BY p_num ORDER BY us, event_id) AS diff FROM
     (SELECT p_num, us // 3600000000 * 3600000000 AS us, event_id FROM ser)),
 n AS (SELECT p_num, diff, count(*) AS n FROM d WHERE diff IS NOT NULL GROUP BY ALL),
-m AS (SELECT p_num, arg_min(diff, (-n, diff)) // 60000000 AS mins FROM n GROUP BY p_num HAVING arg_min(diff, (-n, diff)) > 0),
+w AS (SELECT p_num, arg_min(diff, (-n, diff)) // 60000000 AS mins FROM n GROUP BY p_num),
+m AS (SELECT DISTINCT ser.p_num, CASE WHEN mins > 0 THEN mins ELSE 5 END AS mins FROM ser LEFT JOIN w ON w.p_num = ser.p_num),
 b AS (
   SELECT p_num, mins * 60 AS step, mins * 60 * (us // (mins * 60000000) + CASE
       WHEN 2 * (us % (mins * 60000000)) > mins * 60000000
@@ -61,7 +62,7 @@ def agg2_auto(t: Tables):
         (F.max(secs) - F.min(secs)).alias("_span"), F.max("pos").alias("_p"), F.count("*").alias("n_slots"),
         F.count("n").alias("n_filled"), r(F.sum("total") / F.sum("n"), 4).alias("bg_mean"),
     )
-    modes = A.interval_mode(hourly, RAW_KEYS).select("p_num", (F.col("interval_mins").cast("long") * 60).alias("step"))
+    modes = A.interval_mode(hourly, RAW_KEYS).select("p_num", (A.positive_mins(F.col("interval_mins")).cast("long") * 60).alias("step"))
     return per.join(modes, "p_num").select("p_num", "step", "n_slots", "n_filled", "bg_mean")
 
 
@@ -79,7 +80,7 @@ def agg3(t: Tables):
 WITH h AS (SELECT user_id AS p_num, event_id, epoch(date_trunc('hour', ts))::BIGINT AS s FROM events),
 d AS (SELECT p_num, s - lag(s) OVER (PARTITION BY p_num ORDER BY s, event_id) AS diff FROM h),
 n AS (SELECT p_num, diff, count(*) AS n FROM d WHERE diff IS NOT NULL GROUP BY ALL)
-SELECT p_num, CAST(arg_min(diff, (-n, diff)) // 60 AS INTEGER) AS interval_mins FROM n GROUP BY p_num""")
+SELECT p_num, coalesce(CAST(arg_min(diff, (-n, diff)) // 60 AS INTEGER), 5) AS interval_mins FROM (SELECT DISTINCT p_num FROM h) LEFT JOIN n USING (p_num) GROUP BY p_num""")
 def agg4(t: Tables):
     hourly = series(t).withColumn("datetime", F.date_trunc("hour", "datetime").cast("timestamp_ntz"))
     return A.interval_mode(hourly, RAW_KEYS)

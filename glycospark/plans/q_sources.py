@@ -105,17 +105,32 @@ def src3_insulin(t: Tables):
 SELECT CAST(user_id AS VARCHAR) AS p_num, epoch_us(ts) // 1000000 AS t, {R('value / 18.0182')} AS bg_mM, CASE WHEN event_type = 'view' THEN 'café' END AS note
 FROM events WHERE event_type IN ('click', 'error', 'view') AND value / 18.0182 BETWEEN 1.1 AND 33.3""")
 def src4(t: Tables):
-    path, e = scratch(t.spark, "sensor"), t.events
-    cols = [F.col("event_id").alias("RecID"), F.col("user_id").alias("PtID"), _stamp("yyyy-MM-dd").alias("DeviceDate"), _stamp("HH:mm:ss").alias("DeviceTime"), F.col("value").alias("GlucoseValue")]
-    files = f"{path}/a/DataRTCGM1", f"{path}/b/deep/DataRTCGM2"
-    e.where("event_type in ('click', 'error')").select(*cols).write.option("header", True).csv(files[0])
-    e.where("event_type = 'view'").select(*cols, F.lit("café").alias("Note")).write.option("header", True).option("encoding", "ISO-8859-1").csv(files[1])
-    e.where("event_type = 'signup'").select(*cols).write.option("header", True).csv(f"{path}/other")
-    # written files are part-*.csv, so the name filter is on the suffix here
-    parts = [Src.sensor_csv(t.spark, f, ".csv") for f in files]
-    df = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return _sensor_rows(Src.sensor_csv(t.spark, _sensor_tree(t), ".csv")).select("p_num", epoch(), r("bg_mM").alias("bg_mM"), F.col("Note").alias("note"))
+
+
+def _sensor_rows(df: DataFrame) -> DataFrame:
     out = C.assemble_stamp(C.rename(df, C.HEADER_SYNONYMS)).withColumn("bg_mM", F.col("bg_mg_dl").cast("double") / 18.0182)
-    return C.drop_implausible(out).select("p_num", epoch(), r("bg_mM").alias("bg_mM"), F.col("Note").alias("note"))
+    return C.drop_implausible(out)
+
+
+def _sensor_tree(t: Tables) -> str:
+    """Files with columns in three orders, one of them in Latin-1 with a further column, and a decoy of another name."""
+    path, e = scratch(t.spark, "sensor"), t.events
+    day, hour = _stamp("yyyy-MM-dd").alias("DeviceDate"), _stamp("HH:mm:ss").alias("DeviceTime")
+    rec, who, value = F.col("event_id").alias("RecID"), F.col("user_id").alias("PtID"), F.col("value").alias("GlucoseValue")
+    e.where("event_type = 'click'").select(rec, who, day, hour, value).write.option("header", True).csv(f"{path}/a")
+    e.where("event_type = 'error'").select(value, hour, day, who, rec).write.option("header", True).csv(f"{path}/b/deep")
+    view = e.where("event_type = 'view'").select(who, F.lit("café").alias("Note"), value, rec, day, hour)
+    view.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{path}/c")
+    e.where("event_type = 'signup'").select(F.concat_ws(",", "user_id", "value").alias("line")).write.text(f"{path}/decoy")
+    return path
+
+
+@query("src4_expected_columns", """
+SELECT * FROM (VALUES ('RecID', true, (SELECT count(*) FROM events WHERE event_type IN ('click', 'error', 'view'))),
+  ('Note', true, (SELECT count(*) FROM events WHERE event_type = 'view')), ('Units', false, 0)) t(name, present, n_set)""")
+def src4_columns(t: Tables):
+    return Src.sensor_report(Src.sensor_csv(t.spark, _sensor_tree(t), ".csv"), ("RecID", "Note", "Units"))
 
 
 WIDE_MEASURES = ("bg", "carbs")
@@ -313,8 +328,8 @@ def _canon(t: Tables) -> DataFrame:
 @query("src9_pruned_parquet", "SELECT 'app_' || user_id AS p_num, event_id FROM events WHERE user_id IN (1, 5)")
 def src9(t: Tables):
     path = scratch(t.spark, "processed")
-    Wr.append_partitioned(_canon(t), path, 400)
-    return Src.processed_parquet(t.spark, path, ["p_num", "event_id"], ["app_1", "app_5"])
+    Wr.append_partitioned(_canon(t), path, 3)
+    return Src.processed_parquet(t.spark, path, ["p_num", "event_id"], ["app_1", "app_5"], size=3)
 
 
 @query("src10_partition_files", "SELECT 'app_' || user_id AS p_num, count(*) AS n FROM events GROUP BY 1")
@@ -330,12 +345,10 @@ def src11(t: Tables):
     from pyspark.sql import types as T
 
     path = scratch(t.spark, "percsv")
-    # one folder per id stands for one file per id; the file name carries the id
-    t.events.select("event_id", "value", F.col("event_type").alias("pid")).write.partitionBy("pid").option("header", True).csv(path)
+    for pid in ("click", "error", "purchase", "signup", "view"):
+        t.events.where(F.col("event_type") == pid).select("event_id", "value").write.option("header", True).csv(f"{path}/{pid}_full.csv")
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
-    df = t.spark.read.csv(path, schema=schema, header=True, recursiveFileLookup=True)
-    named = df.withColumn("p_num", F.regexp_extract(F.col("_metadata.file_path"), r"pid=([^/]*)/", 1))
-    return named.groupBy("p_num").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
+    return Src.processed_csv(t.spark, path, schema).groupBy("p_num").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
 @query("agg21_file_statistics", f"""
@@ -347,7 +360,7 @@ def agg21(t: Tables):
     from ..operators.profile import file_statistics
 
     path = scratch(t.spark, "cases")
-    t.events.select(_stamp(ISO).alias("hora"), F.col("value").alias("glucemia"), F.col("event_type").alias("case")).repartition("case").write.partitionBy("case").option("header", True).csv(path)
+    t.events.select(_stamp(ISO).alias("hora"), F.col("value").alias("glucemia"), F.col("event_type").alias("case")).write.partitionBy("case").option("header", True).csv(path)
     schema = T.StructType([T.StructField("hora", T.TimestampNTZType()), T.StructField("glucemia", T.DoubleType())])
     df = t.spark.read.option("timestampNTZFormat", ISO).csv(path, schema=schema, header=True, recursiveFileLookup=True)
     named = df.select(F.regexp_extract(F.col("_metadata.file_path"), r"case=([^/]*)/", 1).alias("file"), F.col("hora").alias("datetime"), F.col("glucemia").alias("bg_mM"))

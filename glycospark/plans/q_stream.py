@@ -15,7 +15,7 @@ from .q_sources import _canon
 
 def _feed(t: Tables, df: DataFrame, columns=None, patients=None) -> DataFrame:
     path = scratch(t.spark, "feed")
-    df.repartitionByRange(4, "datetime").write.parquet(path)
+    df.repartitionByRange("datetime").write.parquet(path)
     return Fd.read_feed(t.spark, path, df.schema, columns, patients)
 
 

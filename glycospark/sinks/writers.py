@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.leaderboard import best_by_metric, summarise
@@ -23,7 +24,9 @@ def patient_index(col: Column) -> Column:
 def append_partitioned(df: DataFrame, path: str, size: int = 400, mode: str = "append") -> None:
     """Append to parquet partitioned by patient index // ``size`` (SNK1)."""
     out = df.withColumn("partition", partition_number(patient_index(F.col("p_num")), size))
-    out.write.mode(mode).partitionBy("partition").option("compression", "snappy").parquet(path)
+    # clustered by partition and patient, so that a task writes few partitions; a large patient is split by time
+    keys = ["partition", "p_num", *[c for c in ("datetime",) if c in df.columns]]
+    out.repartitionByRange(*keys).write.mode(mode).partitionBy("partition").option("compression", "snappy").parquet(path)
 
 
 def write_partitioned(
@@ -62,9 +65,12 @@ def write_split(df: DataFrame, root: str, params: Mapping) -> str:
 def read_split(spark: SparkSession, root: str, params: Mapping) -> DataFrame | None:
     """The stored split of exactly these parameters, or None."""
     path = split_path(root, params)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    exists = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-    return spark.read.parquet(path) if exists else None
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_results(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -94,19 +96,37 @@ def insulin_history(log: DataFrame, shift_s: int = 300) -> DataFrame:
 
 
 def sensor_csv(spark: SparkSession, folder: str, name_part: str = "DataRTCGM") -> DataFrame:
-    """All CSV files of a tree whose name holds ``name_part``, matched by header (SRC4).
+    """All CSV files of a tree whose name holds ``name_part``, united by column name (SRC4).
 
-    Files that are not UTF-8 are read as Latin-1; a scan of the bare text finds them.
+    Each file has its own header, and columns may stand in any order; what a file lacks is
+    NULL.  Files that are not UTF-8 are read as Latin-1.  Lines are read as text, so that
+    one scan finds headers and encodings; only the distinct headers reach the planner.
+    A record is one line.
     """
     options = {"recursiveFileLookup": True, "pathGlobFilter": f"*{name_part}*"}
-    text = spark.read.options(**options).text(folder).select("value", F.col("_metadata.file_path").alias("_file"))
-    bad = text.where(~F.is_valid_utf8("value")).select("_file").distinct()
-    read = lambda enc: spark.read.options(**options).csv(folder, header=True, encoding=enc, inferSchema=False).withColumn(
-        "_file", F.col("_metadata.file_path")
-    )
-    utf, latin = read("UTF-8"), read("ISO-8859-1")
-    both = utf.join(bad, "_file", "left_anti").unionByName(latin.join(bad, "_file", "left_semi"), allowMissingColumns=True)
-    return both.drop("_file")
+    meta = F.col("_metadata")
+    lines = spark.read.options(**options).text(folder).select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_start"))
+    lines = lines.withColumn("_n", F.monotonically_increasing_id())
+    files = lines.groupBy("_file").agg(F.min_by("value", F.struct("_start", "_n")).alias("_head"), F.bool_or(~F.is_valid_utf8("value")).alias("_latin"))
+    files = files.withColumn("_head", F.regexp_replace("_head", "^\ufeff", ""))
+    heads = [next(csv.reader([r[0]])) for r in files.select("_head").distinct().collect()]
+    names = list(dict.fromkeys(c for head in heads for c in head))
+    widest = max((len(h) for h in heads), default=0)
+    if not names:
+        raise ValueError(f"no CSV file with {name_part!r} in its name below {folder}")
+    generic = ", ".join(f"c{i} STRING" for i in range(widest))
+    cells = lambda line: F.from_csv(line, generic)
+    rows = lines.join(files, "_file").withColumn("value", F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value")))
+    rows = rows.where(~((F.regexp_replace("value", "^\ufeff", "") == F.col("_head")) | (F.trim("value") == "")))
+    rows = rows.withColumn("_cells", cells(F.col("value"))).withColumn("_heads", cells(F.col("_head")))
+    pick = lambda name: F.coalesce(*[F.when(F.col(f"_heads.c{i}") == name, F.col(f"_cells.c{i}")) for i in range(widest)])
+    return rows.select(*[pick(name).alias(name) for name in names])
+
+
+def sensor_report(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """One row per expected column: whether the files have it, and in how many rows it is set (SRC4)."""
+    present = F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c in df.columns).alias("present"), (F.count(c) if c in df.columns else F.lit(0)).cast("bigint").alias("n_set")) for c in expected])
+    return df.agg(present.alias("_r")).select(F.inline("_r"))
 
 
 def missing_columns(df: DataFrame, expected: Sequence[str]) -> list[str]:
@@ -190,21 +210,28 @@ def numbered_patients(groups: DataFrame, prefix: str = "app", gid: str = "gid")
 
 
 def processed_parquet(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, patients: Sequence | None = None, validate: bool = True
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, patients: Sequence | None = None, validate: bool = True, size: int = 400
 ) -> DataFrame:
-    """Partitioned parquet with column and patient pruning (SRC9, SRC10)."""
+    """Partitioned parquet with column and patient pruning (SRC9, SRC10).
+
+    A list of patients also names their partitions (index // ``size``), so that the others
+    are not read.
+    """
     df = spark.read.parquet(path)
     if patients is not None:
         df = df.where(F.col("p_num").isin(*patients))
+        indices = [re.search(r"(\d+)$", str(p)) for p in patients]
+        if "partition" in df.columns and all(indices):
+            df = df.where(F.col("partition").isin(*sorted({int(m[1]) // size for m in indices})))
     if columns:
         df = df.select(*columns)
     return not_empty(df, path) if validate else df
 
 
 def processed_csv(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """Per-patient CSV files ``{pid}_full.csv``; the id comes from the file name (SRC11)."""
-    df = spark.read.csv(folder, schema=schema, header=True, recursiveFileLookup=True, pathGlobFilter="*_full*.csv")
-    return df.withColumn("p_num", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)_full", 1))
+    """Per-patient CSV ``{pid}_full*.csv``, files or folders of that name; the id comes from the name (SRC11)."""
+    df = spark.read.csv(f"{folder}/*_full*.csv", schema=schema, header=True)
+    return df.withColumn("p_num", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*?)_full[^/]*(?:/[^/]*)?$", 1))
 
 
 # --- registry --------------------------------------------------------------------------------

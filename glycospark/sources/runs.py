@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.leaderboard import covariate_bucket
@@ -16,14 +17,22 @@ STANDARD_FILE = "results.json"
 CONFIG_FILE = "experiment_config.json"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def run_summaries(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Run tables of several CSV files with their source file (SRC12).
 
     Missing paths are skipped; with none left it is an error.
     """
-    fs_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found = [p for p in paths if fs_class(p).getFileSystem(conf).exists(fs_class(p))]
+    found = [p for p in paths if _exists(spark, p)]
     if not found:
         raise FileNotFoundError(f"none of the summary files exists: {list(paths)}")
     df = spark.read.csv(found, schema=RUN_SUMMARY, header=True)

@@ -61,19 +61,21 @@ def online_state(stream: DataFrame, step: int) -> DataFrame:
     """Segment number and trailing insulin on board per patient (STR3).
 
     The state of a patient is the last slot, the open segment and the doses of the
-    last three hours; rows must arrive in time order per patient, later ones that
-    fall behind the last slot are left out.
+    last three hours.  A row that arrives at or behind the last slot can no longer change
+    what has been written; it is left out and counted, and ``n_late`` of the rows that
+    follow says how many a patient has lost so far.
     """
     _, iob = insulin_kernel(step // 60)
     horizon = ACTION_MINUTES * 60
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, segment, times, doses = state.get if state.exists else (None, -1, [], [])
+        last, segment, times, doses, late = state.get if state.exists else (None, -1, [], [], 0)
         times, doses = list(times), list(doses)
         rows = pd.concat(list(frames)).sort_values("epoch")
         out = []
         for t, bg, dose in zip(rows["epoch"], rows["bg_mM"], rows["dose_units"]):
             if last is not None and t <= last:
+                late += 1
                 continue
             if last is None or t - last != step:
                 segment += 1
@@ -83,10 +85,10 @@ def online_state(stream: DataFrame, step: int) -> DataFrame:
                 doses.append(float(dose))
             live = [(a, d) for a, d in zip(times, doses) if t - a < horizon]
             times, doses = [a for a, _ in live], [d for _, d in live]
-            out.append((int(t), bg, segment, sum(d * iob[(t - a) // step] for a, d in live)))
-        state.update((last, segment, times, doses))
+            out.append((int(t), bg, segment, sum(d * iob[(t - a) // step] for a, d in live), late))
+        state.update((last, segment, times, doses, late))
         if out:
-            frame = pd.DataFrame(out, columns=["epoch", "bg_mM", "segment_no", "iob"])
+            frame = pd.DataFrame(out, columns=["epoch", "bg_mM", "segment_no", "iob", "n_late"])
             frame.insert(0, "p_num", key[0])
             yield frame
 
@@ -94,8 +96,8 @@ def online_state(stream: DataFrame, step: int) -> DataFrame:
     rows = stream.select("p_num", seconds(F.col("datetime")).alias("epoch"), "bg_mM", "dose_units")
     return rows.groupBy("p_num").applyInPandasWithState(
         advance,
-        f"p_num {p_type}, epoch bigint, bg_mM double, segment_no int, iob double",
-        "last bigint, segment int, times array<bigint>, doses array<double>",
+        f"p_num {p_type}, epoch bigint, bg_mM double, segment_no int, iob double, n_late bigint",
+        "last bigint, segment int, times array<bigint>, doses array<double>, late bigint",
         "append",
         GroupStateTimeout.NoTimeout,
     )
