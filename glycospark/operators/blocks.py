@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timefn import seconds
+from ..session import scratch
 
 DAY = 86_400
 WEEK = 7 * DAY
@@ -215,24 +216,23 @@ def hash_rank(df: DataFrame, hash_col: str, tie: str, place: str = "place", tota
     return ranked.withColumn(place, F.col("_rn") + F.col("_off")).drop("_b", "_rn", "_off")
 
 
-def text_rank(names: DataFrame, col: str, out: str, cuts: Sequence[int] = (3, 6, 9, 12)) -> DataFrame:
+def text_rank(names: DataFrame, col: str, out: str) -> DataFrame:
     """Number of smaller names for each of a table of distinct names, without a global sort.
 
-    Names are counted per prefix of growing length.  A name's rank is the sum, over
-    the lengths, of the names in earlier prefixes below the same shorter prefix, plus
-    its place among the names that share the longest prefix.  Every window is as
-    large as the choice of the next few characters.
+    The names are cut into ranges of like size, whatever they have in common, and written
+    to the shared folder with the number of their range; a name's rank is its place in its
+    range after the sizes of the ranges before.
     """
-    prefix = {0: F.lit("")} | {n: F.substring(col, 1, n) for n in cuts}
-    base = names.withColumns({f"_p{n}": c for n, c in prefix.items()})
-    ranked, total, last = base, F.lit(0), 0
-    for n in cuts:
-        sizes = base.groupBy(f"_p{last}", f"_p{n}").agg(F.count("*").alias("_n"))
-        before = Window.partitionBy(f"_p{last}").orderBy(f"_p{n}").rowsBetween(Window.unboundedPreceding, -1)
-        sizes = sizes.select(f"_p{n}", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias(f"_o{n}"))
-        ranked, total, last = ranked.join(sizes, f"_p{n}"), total + F.col(f"_o{n}"), n
-    place = F.row_number().over(Window.partitionBy(f"_p{last}").orderBy(col)) - 1
-    return ranked.withColumn("_in", place).select(*names.columns, (total + F.col("_in")).alias(out))
+    spark = names.sparkSession
+    path = scratch(spark, "ranges")
+    names.repartitionByRange(col).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(col)) - 1
+    ranked = ranged.withColumn("_in", place).join(sizes, "_part")
+    return ranked.select(*names.columns, (F.col("_in") + F.col("_off")).alias(out))
 
 
 def value_prefix(

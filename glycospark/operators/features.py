@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.kernels import carb_kernel, insulin_kernel
 from ..functions.timefn import cyclic, from_seconds, micros, seconds, weekday
-from .blocks import BLOCK, OWN, Carry, Keys, halo, own, scan, text_rank, value_prefix, with_row
+from .blocks import halo, number_rows, own, scan, text_rank, value_prefix, with_row, BLOCK, Carry, Keys, OWN
+from .clean import same_resolution
 
 GRID_KEYS = Keys()
 
@@ -345,6 +346,15 @@ def impute(
     return out.select(*df.columns)
 
 
+def reduce_features(
+    df: DataFrame, interval_mins: int, x: Sequence[str], y: Sequence[str], methods: Mapping[str, str] | None = None, keys: Keys = GRID_KEYS
+) -> DataFrame:
+    """Patients of one sampling interval, reduced to x and y columns and imputed (PRJ23)."""
+    columns = [*x, *(c for c in y if c not in x)]
+    rows = number_rows(same_resolution(df, interval_mins, columns), keys, rn="pos", n=None)
+    return impute(rows, columns, methods, keys).select("p_num", "datetime", *columns)
+
+
 def fill_covariates(df: DataFrame, columns: Sequence[str], keys: Keys) -> DataFrame:
     """Forward fill, then 0; a covariate that is absent becomes 0 (WIN20)."""
     have = [c for c in columns if c in df.columns]

@@ -277,5 +277,18 @@ def step_sweep(runs: DataFrame, labels: Mapping[str, str], final_step: int) -> D
     return runs.withColumn("train_step", step).withColumn("series", label)
 
 
+def sweep_table(runs: DataFrame, labels: Mapping[str, str], final_step: int, keys: Sequence[str] = ("dataset",), order: Sequence[str] = ("timestamp", "run_id")) -> DataFrame:
+    """One run per training step, series and data set, zero-shot runs as step 0 of every series (LDB10).
+
+    Of several runs the latest by ``order`` stays.
+    """
+    swept = step_sweep(runs, labels, final_step)
+    every = F.array(*[F.lit(name) for name in dict.fromkeys(labels.values())])
+    zero = F.col("mode").eqNullSafe("zeroshot")
+    spread = swept.withColumn("series", F.explode(F.when(zero, every).otherwise(F.array("series"))))
+    spread = spread.withColumn("train_step", F.when(zero, 0).otherwise(F.col("train_step")))
+    return keep_last(spread, ["train_step", "series", *keys], F.struct(*order))
+
+
 def episode_rmse(episodes: DataFrame, pred: str = "pred", actual: str = "target") -> DataFrame:
     return episodes.withColumn("rmse", array_rmse(F.col(pred), F.col(actual)))

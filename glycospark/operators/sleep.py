@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import Carry, Keys, halo, own, scan
+from .blocks import exact_quantiles, halo, own, scan, Carry, Keys
 from .profile import hourly_profile
 
 # Weights of the two scores.
@@ -43,9 +43,7 @@ def sleep_score(
     smooth = own(near.withColumn("_m", F.avg("_s").over(keys.window().rowsBetween(-1, 1))))
     # the same sums in another order may differ in the last digits
     smooth = smooth.withColumn("_m", F.round("_m", 9))
-    # a patient's grid is bounded by the calendar, so an exact percentile is safe
-    cut = smooth.groupBy(*by).agg(F.percentile("_m", F.lit(quantile)).alias("_cut"))
-    out = smooth.join(cut, by)
+    out = smooth.join(exact_quantiles(smooth, by, "_m", {"_cut": quantile}), by, "left")
     return out.withColumn("sleep_score", (F.col("_m") > F.col("_cut")).cast("double")).withColumnRenamed("_m", "raw_score").drop("_s", "_cut")
 
 

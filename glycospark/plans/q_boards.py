@@ -291,3 +291,15 @@ WITH {RUNS} SELECT run_id, CAST(CASE WHEN regexp_extract(coalesce(checkpoint, ''
   WHEN mode = 'zeroshot' THEN 0 ELSE 50000 END AS INTEGER) AS train_step, CASE WHEN contains(checkpoint, 'long_run') THEN 'long' WHEN contains(checkpoint, 'short') THEN 'short' ELSE 'other' END AS series FROM runs""")
 def ldb10(t: Tables):
     return L.step_sweep(runs(t), {"long_run": "long", "short": "short"}, 50_000).select("run_id", "train_step", "series")
+
+
+@query("ldb10_zero_shot_attached", f"""
+WITH {RUNS}, s AS (
+  SELECT run_id, dataset, timestamp, mode, CASE WHEN mode = 'zeroshot' THEN 0 WHEN regexp_extract(coalesce(checkpoint, ''), 'step_([0-9]+)', 1) <> ''
+      THEN CAST(regexp_extract(checkpoint, 'step_([0-9]+)', 1) AS INTEGER) ELSE 50000 END AS train_step,
+    CASE WHEN contains(checkpoint, 'step_1') THEN 'one' WHEN contains(checkpoint, 'step_2') THEN 'two' ELSE 'other' END AS series FROM runs),
+x AS (SELECT * EXCLUDE (series, mode), unnest(CASE WHEN mode = 'zeroshot' THEN ['one', 'two'] ELSE [series] END) AS series FROM s)
+SELECT CAST(train_step AS INTEGER) AS train_step, series, dataset, run_id FROM x
+QUALIFY row_number() OVER (PARTITION BY train_step, series, dataset ORDER BY timestamp DESC, run_id DESC) = 1""")
+def ldb10_attached(t: Tables):
+    return L.sweep_table(runs(t), {"step_1": "one", "step_2": "two"}, 50_000).select("train_step", "series", "dataset", "run_id")

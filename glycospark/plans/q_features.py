@@ -181,6 +181,20 @@ def win19(t: Tables):
     return out.select("p_num", epoch(), *[r(c).alias(c) for c in ("bg_mM", "hr_bpm", "steps", "cals")])
 
 
+@query("prj23_reduce_features", f"""
+WITH {WEARABLE}, ok AS (
+  SELECT p_num FROM (SELECT p_num, t, row_number() OVER (PARTITION BY p_num ORDER BY t) AS i FROM h) GROUP BY p_num
+  HAVING max(t) FILTER (i = 2) - max(t) FILTER (i = 1) = {STEP}),
+w AS (SELECT h.*, max(CASE WHEN bg IS NOT NULL THEN pos END) OVER b AS ba, min(CASE WHEN bg IS NOT NULL THEN pos END) OVER f AS bb
+  FROM h JOIN ok USING (p_num)
+  WINDOW b AS (PARTITION BY p_num ORDER BY t), f AS (PARTITION BY p_num ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT w.p_num, w.t, {R('coalesce(w.steps, 0)')} AS steps, {R('coalesce(w.bg, x.bg + (y.bg - x.bg) * (w.pos - ba) / (bb - ba))')} AS bg_mM
+FROM w LEFT JOIN h x ON x.p_num = w.p_num AND x.pos = ba LEFT JOIN h y ON y.p_num = w.p_num AND y.pos = bb""")
+def prj23_reduce(t: Tables):
+    out = X.reduce_features(_wearable(t), STEP // 60, ["steps"], ["bg_mM"], keys=GRID_KEYS)
+    return out.select("p_num", epoch(), r("steps").alias("steps"), r("bg_mM").alias("bg_mM"))
+
+
 _FF = "coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY p_num ORDER BY t ROWS UNBOUNDED PRECEDING), 0)"
 
 

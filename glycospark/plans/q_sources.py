@@ -520,6 +520,21 @@ def src16(t: Tables):
     return rounded(Rn.prediction_actual(t.spark.read.parquet(path)), "forecast", "actual")
 
 
+@query("src16_legacy_results", """
+SELECT CAST(l_suppkey AS VARCHAR) AS patient_id, count(DISTINCT l_orderkey) AS n_episodes, count(*) AS n_values, round(sum(l_quantity), 4) + 0.0 AS total
+FROM lineitem WHERE l_suppkey <= 10 GROUP BY 1""")
+def src16_legacy(t: Tables):
+    line = t.lineitem.where("l_suppkey <= 10")
+    values = F.collect_list("l_quantity")
+    eps = line.groupBy("l_suppkey", "l_orderkey").agg(values.alias("pred"), values.alias("target_bg"))
+    item = F.struct(F.col("l_suppkey").cast("string").alias("patient_id"), F.col("l_orderkey").cast("string").alias("anchor"), "pred", "target_bg")
+    files = eps.groupBy("l_suppkey").agg(F.to_json(F.struct(F.collect_list(item).alias("per_episode"))).alias("value"))
+    path = scratch(t.spark, "legacy")
+    files.write.partitionBy("l_suppkey").text(path)
+    out = Rn.legacy_episodes(t.spark, path).withColumn("x", F.explode("target_bg"))
+    return out.groupBy("patient_id").agg(F.count_distinct("anchor").alias("n_episodes"), F.count("*").alias("n_values"), r(F.sum("x"), 4).alias("total"))
+
+
 @query("src17_quantile_tensors", f"""
 WITH {QF}, k AS (SELECT *, dense_rank() OVER (PARTITION BY episode ORDER BY step) AS k FROM qf)
 SELECT CAST(episode AS VARCHAR) AS episode_id, CAST(k AS INTEGER) AS step, CAST(q AS DOUBLE) AS q, {R('forecast')} AS forecast, {R('actual')} AS actual FROM k""")
