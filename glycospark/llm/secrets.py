@@ -125,10 +125,10 @@ def _holds(query: object, found: str) -> Column:
 
 
 def postings(docs: DataFrame, trigrams: list[str], *, text_col: str = "text") -> DataFrame:
-    """The index: one row ``(_k1, _k2, trigram)`` for each of the trigrams that a text has; docs carry the keys."""
-    low = docs.select("_k1", "_k2", ascii_lower(text_of(text_col)).alias("_low"))
+    """The index: one row ``(_llm_k1, _llm_k2, trigram)`` for each of the trigrams that a text has; docs carry the keys."""
+    low = docs.select("_llm_k1", "_llm_k2", ascii_lower(text_of(text_col)).alias("_low"))
     found = F.array_compact(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return low.withColumn("_found", found).select("_k1", "_k2", F.explode_outer("_found").alias("trigram")).where("trigram IS NOT NULL")
+    return low.withColumn("_found", found).select("_llm_k1", "_llm_k2", F.explode_outer("_found").alias("trigram")).where("trigram IS NOT NULL")
 
 
 # --- search -----------------------------------------------------------------------
@@ -136,7 +136,7 @@ def postings(docs: DataFrame, trigrams: list[str], *, text_col: str = "text") ->
 
 def _keys(id_col: str, text_col: str) -> tuple[Column, Column]:
     """128 bits that tell rows apart; rows that share them are equal and have equal results."""
-    return F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(text_col, F.length(text_col), id_col).alias("_k2")
+    return F.xxhash64(id_col, text_col).alias("_llm_k1"), F.xxhash64(text_col, F.length(text_col), id_col).alias("_llm_k2")
 
 
 def spans_of(text: Column, rule: Rule, place: int) -> Column:
@@ -166,22 +166,22 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ``_spans``: all spans of all rules, by start, then by the rules' order."""
+    """docs with ``_llm_spans``: all spans of all rules, by start, then by the rules' order."""
     queries = {rule: trigram_query(rule.pattern) for rule in rules}
     needed = sorted(set().union(*map(_trigrams, queries.values())))
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), _keys(id_col, text_col))))
+    keyed = docs.withColumns(dict(zip(("_llm_k1", "_llm_k2"), _keys(id_col, text_col))))
     rows = keyed
     if needed:
         index = settle(postings(keyed, needed, text_col=text_col).distinct(), "postings")
-        met = index.groupBy("_k1", "_k2").agg(F.collect_set("trigram").alias("_have"))
+        met = index.groupBy("_llm_k1", "_llm_k2").agg(F.collect_set("trigram").alias("_have"))
         names = [F.when(_holds(q, "_have"), F.lit(r.kind)) for r, q in queries.items() if q is not ALL]
-        met = met.select("_k1", "_k2", F.array_compact(F.array(*names)).alias("_rules")).where(F.size("_rules") > 0)
-        rows = keyed.join(met, ["_k1", "_k2"], "left")
+        met = met.select("_llm_k1", "_llm_k2", F.array_compact(F.array(*names)).alias("_llm_rules")).where(F.size("_llm_rules") > 0)
+        rows = keyed.join(met, ["_llm_k1", "_llm_k2"], "left")
     text, parts = text_of(text_col), []
     for place, (rule, q) in enumerate(queries.items()):
         found = spans_of(text, rule, place)
-        parts.append(found if q is ALL else F.when(F.array_contains("_rules", rule.kind), found).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,kind:string,part:int>>")))
-    return rows.withColumn("_spans", F.array_sort(F.concat(*parts))).select(*docs.columns, "_spans")
+        parts.append(found if q is ALL else F.when(F.array_contains("_llm_rules", rule.kind), found).otherwise(F.array().cast("array<struct<start:int,place:int,end:int,kind:string,part:int>>")))
+    return rows.withColumn("_llm_spans", F.array_sort(F.concat(*parts))).select(*docs.columns, "_llm_spans")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +191,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc
     an empty result; other columns are ignored.
     """
     found = with_spans(docs.select(id_col, text_col), rules, id_col=id_col, text_col=text_col)
-    return found.select(id_col, F.transform("_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return found.select(id_col, F.transform("_llm_spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -206,9 +206,9 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "d
         F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).alias("out"),
     )
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    masked = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    out = found.withColumn("_masked", F.when(F.size("_spans") > 0, masked).otherwise(text))
-    columns = {text_col: F.col("_masked")}
+    masked = F.aggregate("_llm_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    out = found.withColumn("_llm_masked", F.when(F.size("_llm_spans") > 0, masked).otherwise(text))
+    columns = {text_col: F.col("_llm_masked")}
     if chars_col in docs.columns:
-        columns[chars_col] = F.when(F.size("_spans") > 0, F.length("_masked").cast("bigint")).otherwise(F.col(chars_col))
+        columns[chars_col] = F.when(F.size("_llm_spans") > 0, F.length("_llm_masked").cast("bigint")).otherwise(F.col(chars_col))
     return out.withColumns(columns).select(*docs.columns)
