@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.softdtw import COLUMNS, dilate
+from ..functions.softdtw import COLUMNS, GAMMAS, dilate
 from ..operators import classify as K, episodes as E, forecast as Fc, metrics as M
 from .catalog import R, Tables, query, r
 from .q_episodes import CTX, EPISODES, FH, GAP, NUMBERED, STEP, midnight, numbered
@@ -210,6 +210,46 @@ def eva15(t: Tables):
     return out.select("vec_id", *[r(F.col(f"_d.{c}")).alias(c) for c in COLUMNS])
 
 
+def _alignments(n: int) -> list[list[tuple[int, int]]]:
+    """All monotone alignments of two series of n values."""
+    if n == 0:
+        return [[]]
+    open_, done = [[(1, 1)]], []
+    while open_:
+        path = open_.pop()
+        i, j = path[-1]
+        if (i, j) == (n, n):
+            done.append(path)
+        open_ += [[*path, (i + a, j + b)] for a, b in ((1, 1), (1, 0), (0, 1)) if i + a <= n and j + b <= n]
+    return sorted(done)
+
+
+def dilate_sql(source: str, key: str, n: int) -> str:
+    """CTE dl: the nine shape columns per key of ``source`` (key, a, p), by listing every alignment."""
+    rows = ", ".join(f"({[i for i, _ in x]}, {[j for _, j in x]})" for x in _alignments(n))
+    cells = lambda e: f"list_sum(list_transform(range(1, len(ii) + 1), lambda k: {e}))"
+    cols = []
+    for gamma, s in GAMMAS.items():
+        w = f"exp((c0 - c) / {gamma})"
+        shape, temporal = f"(min(c0) - {gamma} * ln(sum({w})))", f"(sum({w} * lag) / sum({w}) / {n * n})"
+        cols += [f"0.5 * {shape} + 0.5 * {temporal} AS dilate_{s}", f"{shape} AS shape_{s}", f"{temporal} AS temporal_{s}"]
+    return f"""al AS (SELECT * FROM (VALUES {rows}) t(ii, jj)),
+ac AS (SELECT {key}, {cells('(a[ii[k]] - p[jj[k]]) ** 2')} AS c, {cells('(ii[k] - jj[k]) ** 2')} AS lag FROM {source}, al),
+am AS (SELECT *, min(c) OVER (PARTITION BY {key}) AS c0 FROM ac),
+dl AS (SELECT {key}, {', '.join(cols)} FROM am GROUP BY {key})"""
+
+
+@query("eva15_dilate_short", f"""
+WITH x AS (SELECT a.vec_id, CAST(a.embedding[1:4] AS DOUBLE[]) AS a, CAST(b.embedding[1:4] AS DOUBLE[]) AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+{dilate_sql('x', 'vec_id', 4)}
+SELECT vec_id, {', '.join(f'{R(c)} AS {c}' for c in COLUMNS)} FROM dl""")
+def eva15_short(t: Tables):
+    a = t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("actual"))
+    b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("pred"))
+    out = a.join(b, "vec_id").withColumn("_d", dilate(F.col("pred"), F.col("actual")))
+    return out.select("vec_id", *[r(F.col(f"_d.{c}")).alias(c) for c in COLUMNS])
+
+
 @query("eva16_discontinuity", f"""
 WITH {EPISODES}, e AS (SELECT p_num, anchor, max(y) FILTER (k = {CTX - 1}) AS last, avg(y) FILTER (k < {CTX}) AS pred FROM ep GROUP BY ALL)
 SELECT p_num, {R('avg(abs(last - pred))')} AS mean_discontinuity FROM e GROUP BY p_num""")
@@ -532,6 +572,30 @@ def nocturnal_evaluation(t: Tables) -> dict[str, DataFrame]:
     return evaluate_nocturnal(numbered(t), lambda eps: Fc.baseline_quantiles(eps, FH, levels), levels, with_dilate=False)
 
 
+_Q9 = ", ".join(f"quantile_cont(y, {q})" for q in LEVELS)
+_P9 = f"{list(LEVELS)}"
+_ALL = ("rmse", "discontinuity", "wql", "brier", "coverage_50", "sharpness_50", "coverage_80", "sharpness_80", *COLUMNS)
+
+
+@query("eva17_nocturnal_complete", f"""
+WITH {NUMBERED},
+fx AS (SELECT episode_id, [{_Q9}] AS v, arg_max(y, k) AS last FROM e WHERE k < {CTX} GROUP BY ALL),
+ev AS (SELECT p_num, episode_id, y, v, last, k, {_P9} AS q, len(list_filter(v, lambda x: x < {THR})) AS m FROM e JOIN fx USING (episode_id) WHERE k >= {CTX}),
+st AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: CASE WHEN y >= v[i] THEN q[i] * (y - v[i]) ELSE (q[i] - 1) * (y - v[i]) END)) / 9 AS loss,
+  CASE WHEN m = 0 THEN q[1] WHEN m = 9 THEN q[9] ELSE q[m] + CASE WHEN v[m + 1] > v[m] THEN ({THR} - v[m]) / (v[m + 1] - v[m]) ELSE 0 END * (q[m + 1] - q[m]) END AS ph,
+  v[2] + 0.5 * (v[3] - v[2]) AS lo_50, v[7] + 0.5 * (v[8] - v[7]) AS hi_50, v[1] AS lo_80, v[9] AS hi_80 FROM ev),
+pe AS (SELECT p_num, episode_id, sqrt(avg((v[5] - y) ** 2)) AS rmse, any_value(abs(last - v[5])) AS discontinuity, avg(loss) AS wql, avg((ph - CASE WHEN y < {THR} THEN 1 ELSE 0 END) ** 2) AS brier,
+  {', '.join(f'avg(CASE WHEN y BETWEEN lo_{s} AND hi_{s} THEN 1.0 ELSE 0.0 END) AS coverage_{s}, avg(hi_{s} - lo_{s}) AS sharpness_{s}' for s in (50, 80))} FROM st GROUP BY ALL),
+x AS (SELECT episode_id, list(y ORDER BY k) AS a, list(v[5] ORDER BY k) AS p FROM ev GROUP BY episode_id),
+{dilate_sql('x', 'episode_id', FH)}
+SELECT p_num, episode_id, {', '.join(f'{R(c)} AS {c}' for c in _ALL)} FROM pe JOIN dl USING (episode_id)""")
+def eva17_complete(t: Tables):
+    from .evaluation import evaluate_nocturnal
+
+    out = evaluate_nocturnal(numbered(t), lambda eps: Fc.baseline_quantiles(eps, FH, LEVELS), LEVELS, threshold=THR)["per_episode"]
+    return rounded(out.select("p_num", "episode_id", *_ALL), *_ALL)
+
+
 @query("eva18_sliding_evaluation", f"""
 WITH ser AS (SELECT user_id AS p_num, epoch_us(ts) // 1000000 AS t, value / 5.0173 AS bg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events),
 m AS (SELECT p_num, max(pos) + 1 AS n FROM ser GROUP BY p_num),
