@@ -52,6 +52,26 @@ def epi1(t: Tables):
     return E.usable(midnight(t)).select("p_num", epoch("anchor").alias("anchor"), text("context").alias("context"), text("target").alias("target"))
 
 
+# duplicates on the grid and stamps beside it; the last event of a stamp counts
+_UNGRIDDED = f"""raw AS (SELECT user_id AS p_num, event_id, epoch_us(ts) // 1000000 // {STEP} * {STEP} AS slot, event_id % 4 = 0 AS beside, value / 5.0173 AS bg FROM events),
+lim AS (SELECT p_num, min(slot) AS lo, max(slot) AS hi FROM raw GROUP BY p_num),
+kept AS (SELECT p_num, slot, arg_max(bg, event_id) AS bg FROM raw WHERE NOT beside GROUP BY ALL),
+g AS (SELECT x.p_num, x.t, bg FROM (SELECT p_num, unnest(range(lo, hi + 1, {STEP})) AS t FROM lim) x LEFT JOIN kept ON kept.p_num = x.p_num AND kept.slot = x.t)"""
+
+
+@query("epi1_ungridded_episodes", f"""
+WITH {MIDNIGHT.replace(GRID, _UNGRIDDED, 1)}
+SELECT p_num, anchor, usable, CASE WHEN usable THEN {text_sql('y')} FILTER (k < {CTX}) END AS context, CASE WHEN usable THEN {text_sql('y')} FILTER (k >= {CTX}) END AS target
+FROM w JOIN v USING (p_num, anchor) GROUP BY p_num, anchor, usable""")
+def epi1_ungridded(t: Tables):
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / STEP) * STEP + F.when(F.col("event_id") % 4 == 0, 7).otherwise(0)
+    stamp = F.timestamp_seconds(slot).cast("timestamp_ntz")
+    src = t.events.select(F.col("user_id").alias("p_num"), stamp.alias("datetime"), (F.col("value") / 5.0173).alias("bg_mM"), "event_id")
+    eps = E.midnight_episodes(src, CTX, FH, STEP, max_gap=GAP, order=F.col("event_id"))
+    shown = {c: F.when(F.col("usable"), text(c)).alias(c) for c in ("context", "target")}
+    return eps.select("p_num", epoch("anchor").alias("anchor"), "usable", *shown.values())
+
+
 @query("epi1_skip_statistics", f"""
 WITH {MIDNIGHT} SELECT p_num, count(*) AS total_anchors, count(*) FILTER (NOT usable) AS skipped_bg_nan, count(*) FILTER (interpolated) AS interpolated_episodes
 FROM v GROUP BY p_num""")
