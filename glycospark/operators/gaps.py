@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timefn import micros
-from .blocks import Carry, Keys, halo, keep_last, own, scan
+from .blocks import BLOCK, OWN, Carry, Keys, halo, keep_last, own, scan
 
 GRID_KEYS = Keys()
 
@@ -24,17 +24,19 @@ def interpolate_small_gaps(
     if max_gap_rows <= 0:
         return df if not out else df.withColumn(out, F.col(col))
     reach = max_gap_rows * step
+    near = halo(df, keys, reach, reach)
+    return own(near.withColumn(out or col, _small_gap_fill(col, max_gap_rows, step, keys)))
+
+
+def _small_gap_fill(col: str, max_gap_rows: int, step: int, keys: Keys) -> Column:
+    """The value of a row or, in a small enough gap, of the line between its known neighbours in the block."""
     t = keys.second()
     known = F.when(F.col(col).isNotNull(), F.struct(t.alias("t"), F.col(col).alias("v")))
-    w = keys.window().rowsBetween(Window.unboundedPreceding, 0)
-    wb = keys.window_back().rowsBetween(Window.unboundedPreceding, 0)
-    near = halo(df, keys, reach, reach).withColumns(
-        {"_a": F.last(known, True).over(w), "_b": F.last(known, True).over(wb)}
-    )
-    span = F.col("_b.t") - F.col("_a.t")
-    line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * ((t - F.col("_a.t")) / span)
-    filled = F.when(F.col(col).isNotNull(), F.col(col)).when(span <= (max_gap_rows + 1) * step, line)
-    return own(near.withColumn(out or col, filled).drop("_a", "_b"))
+    a = F.last(known, True).over(keys.window().rowsBetween(Window.unboundedPreceding, 0))
+    b = F.last(known, True).over(keys.window_back().rowsBetween(Window.unboundedPreceding, 0))
+    span = b["t"] - a["t"]
+    line = a["v"] + (b["v"] - a["v"]) * ((t - a["t"]) / span)
+    return F.when(F.col(col).isNotNull(), F.col(col)).when(span <= (max_gap_rows + 1) * step, line)
 
 
 def null_runs(df: DataFrame, col: str = "bg_mM", keys: Keys = GRID_KEYS, pos: str = "pos") -> DataFrame:
@@ -81,36 +83,51 @@ def segment(
 ) -> DataFrame:
     """Fill small gaps, cut at the others, drop short pieces, number the rest from 0 (WIN7).
 
-    Only the run boundaries are numbered: rows are reduced to one record per run,
-    and runs, not rows, are windowed by patient.
+    One halo serves both: a row's fill looks ``threshold_mins`` to either side, and whether
+    it starts a run depends on the fill of the row before.  Rows are then counted per block
+    and run; only these counts are windowed by patient, and they meet the rows again by
+    block, so that a long run stays spread.
     """
-    filled = interpolate_small_gaps(df, threshold_mins * 60 // step, step, col, keys)
-    known = filled.where(F.col(col).isNotNull())
-    marked = run_start(known, keys, step)
-    return number_segments(marked, keys, min_rows)
+    by, cap = list(keys.by), max(0, threshold_mins * 60 // step)
+    near = halo(df, keys, (cap + 1) * step, cap * step)
+    t, w = keys.second(), keys.window()
+    value = _small_gap_fill(col, cap, step, keys) if cap else F.col(col)
+    known = near.withColumn(col, value).where(F.col(col).isNotNull())
+    prev = F.lag(t).over(w)
+    start = F.when(prev.isNull() | (t - prev != step), F.col("pos"))
+    rows = known.withColumn("_start", start).where(F.col(OWN)).drop(OWN)
+    here = F.last("_start", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_in", F.coalesce(here, F.lit(-1))).drop("_start")  # -1: began in an earlier block
+
+    series = Window.partitionBy(*by).orderBy(BLOCK, "_in")
+    parts = rows.groupBy(*by, BLOCK, "_in").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_run", F.last(F.when(F.col("_in") >= 0, F.col("_in")), True).over(series.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = _numbered_runs(parts, by, min_rows).drop("_run")
+    return rows.join(parts, [*by, BLOCK, "_in"]).drop(BLOCK, "_in").withColumn("segment_id", _segment_name(by))
 
 
-def run_start(known: DataFrame, keys: Keys, step: int, pos: str = "pos") -> DataFrame:
-    """Add ``_run``: the position at which the unbroken run of a row starts.
+def number_segments(marked: DataFrame, keys: Keys, min_rows: int) -> DataFrame:
+    """Number the runs ``_run`` that are long enough and name them ``{patient}_seg_{n}``.
 
-    Looking one grid row back finds the starts; the last start at or before a row
-    is carried over the blocks.
+    Counts per block and run are numbered and meet the rows by block, so that a long run
+    stays spread.
     """
-    t = keys.second()
-    edge = halo(known, keys, back=step)
-    prev = F.lag(t).over(keys.window())
-    start = F.when(prev.isNull() | (t - prev != step), F.col(pos))
-    return scan(own(edge.withColumn("_start", start)), keys, _run=Carry("last", F.col("_start"))).drop("_start")
+    by = list(keys.by)
+    rows = marked.withColumn(BLOCK, keys.block_of(keys.second()))
+    parts = rows.groupBy(*by, BLOCK, "_run").agg(F.count("*").alias("_n"))
+    parts = _numbered_runs(parts, by, min_rows)
+    return rows.join(parts, [*by, BLOCK, "_run"]).drop(BLOCK, "_run").withColumn("segment_id", _segment_name(by))
 
 
-def number_segments(marked: DataFrame, keys: Keys, min_rows: int) -> DataFrame:
-    """Number the runs that are long enough and name them ``{patient}_seg_{n}``."""
-    by = list(keys.by)
-    runs = marked.groupBy(*by, "_run").agg(F.count("*").alias("segment_rows")).where(F.col("segment_rows") >= min_rows)
-    number = F.row_number().over(Window.partitionBy(*by).orderBy("_run")) - 1
-    runs = runs.withColumn("segment_no", number)
-    name = F.concat_ws("_", *[F.col(c).cast("string") for c in by], F.lit("seg"), F.col("segment_no").cast("string"))
-    return marked.join(runs, [*by, "_run"]).drop("_run").withColumn("segment_id", name)
+def _numbered_runs(parts: DataFrame, by: Sequence[str], min_rows: int) -> DataFrame:
+    """Parts ``(_run, _n)`` of long enough runs with segment_rows and segment_no."""
+    total = F.sum("_n").over(Window.partitionBy(*by, "_run"))
+    long = parts.withColumn("segment_rows", total).where(F.col("segment_rows") >= min_rows).drop("_n")
+    return long.withColumn("segment_no", F.dense_rank().over(Window.partitionBy(*by).orderBy("_run")) - 1)
+
+
+def _segment_name(by: Sequence[str]) -> Column:
+    return F.concat_ws("_", *[F.col(c).cast("string") for c in by], F.lit("seg"), F.col("segment_no").cast("string"))
 
 
 def gap_stats(
