@@ -7,14 +7,15 @@ shingle costs one contiguous read instead of a hash for each coordinate.
 
 Signatures are banded.  Texts that meet in a band are candidates, and candidates are
 confirmed on their full shingle sets.  Texts with the same set are one node from the
-start.  A crowded band links its members to its smallest node first; only members that
-are still in different components are compared with each other, and of those only pairs
-that their counts of shared shingles allow.
+start.  A band links its members to its most central node first; only members that are
+still in different components are compared with each other, and in crowded bands only
+pairs that a bound on their shared shingles allows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ ROWS, BANDS = 4, 32  # a pair at the threshold stays unseen with probability 5e-
 SLOTS = 1 << 20
 #: A band with more nodes than this is searched with the bounds on shared shingles.
 CROWD = 64
+#: Bitmaps of so many 64-bit words bound what two nodes of a crowded band share.
+MAP_WORDS = 32
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +105,12 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = shingle_sets(list(pdf["text"]))
-        yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+        bits = []
+        for s in sets:
+            bitmap = np.zeros(64 * MAP_WORDS, dtype=bool)
+            bitmap[(s % np.uint64(len(bitmap))).astype(np.int64)] = True
+            bits.append(np.packbits(bitmap).view(np.int64))
+        yield pd.DataFrame({"id": pdf["id"], "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets], "bits": bits})
 
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,15 +151,19 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     known = signed.where("id IS NOT NULL AND n > 0")
     nodes = settle(known.groupBy("n", "low", "high").agg(F.min("id").alias("node")), "nodes")
     # the node of each id; equal sets are equal nodes
-    member = settle(known.join(nodes, ["n", "low", "high"]).select("id", "node").distinct(), "members")
+    member = known.join(nodes, ["n", "low", "high"]).select("id", "node").distinct()
     same_id = member.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
 
     reps = known.join(nodes.select("node"), F.col("id") == F.col("node"), "left_semi").select(F.col("id").alias("node"), "n", "bands")
     banded = settle(reps.select("node", "n", F.explode("bands").alias("band")).distinct(), "bands")
-    crowds = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("size")).where("hub <> last")
-    crowds = settle(crowds.select("band", "hub", "size"), "crowds")
-    banded = settle(banded.join(crowds, "band"), "banded")
-    sets = texts.join(banded.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInPandas(_sets, "id bigint, n bigint, shingles binary")
+    crowds = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first <> last")
+    banded = settle(banded.join(settle(crowds.select("band", "size"), "crowds"), "band"), "banded")
+    # the hub of a band is its node with the most company over all bands, the one nearest to the rest
+    company = settle(banded.groupBy("node").agg(F.sum("size").alias("company")), "company")
+    central = F.max(F.struct("company", -F.col("node"))).alias("central")
+    hubs = banded.join(company, "node").groupBy("band").agg(central).select("band", (-F.col("central.col2")).alias("hub"))
+    banded = settle(banded.join(settle(hubs, "hubs"), "band"), "banded")
+    sets = texts.join(banded.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInPandas(_sets, "id bigint, n bigint, shingles binary, bits array<bigint>")
     sets = settle(sets, "sets")
 
     stars = banded.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -165,10 +177,12 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     open_ = settle(placed.join(split, "band", "left_semi"), "open")
     rest = _pairs_of_small(open_.where(F.col("size") <= CROWD)).unionByName(_pairs_of_large(open_.where(F.col("size") > CROWD), sets))
-    links = links.unionByName(_confirm(rest.distinct().join(stars, ["a", "b"], "left_anti"), sets))
-    roots = components(links).select("id", F.col("root").alias("component_id"))
+    more = _confirm(rest.distinct().join(stars, ["a", "b"], "left_anti"), sets)
+    if not more.isEmpty():
+        roots = settle(components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))), "roots")
 
-    out = signed.select("id", F.col("n").alias("n_shingles")).join(settle(roots, "roots"), "id", "left")
+    roots = roots.select("id", F.col("root").alias("component_id"))
+    out = signed.select("id", F.col("n").alias("n_shingles")).join(roots, "id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
@@ -184,29 +198,19 @@ def _pairs_of_small(open_: DataFrame) -> DataFrame:
 def _pairs_of_large(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """The same for crowded bands, where most pairs are alike but not enough.
 
-    c counts the shingles of a node that any other node of such bands has; two nodes share
-    at most the smaller c.  A link needs (100 + p) * shared >= p * (na + nb), which both
-    must be able to meet.  Nodes that can't meet it with the smallest partner drop out.
+    Two nodes share at most the bits set in both their bitmaps plus what collides within
+    either.  A link needs (100 + p) * shared >= p * (na + nb); pairs whose bound is below
+    that are no links.
     """
-    crowd = settle(open_.select("node").distinct(), "crowd")
-    own = sets.join(crowd.select(F.col("node").alias("id")), "id", "left_semi")
-    pieces = settle(own.mapInPandas(_unpack, "id bigint, h bigint"), "pieces")
-    twice = settle(pieces.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "twice")
-    shared = pieces.join(twice, "h", "left_semi").groupBy("id").agg(F.count("*").alias("c"))
-    room = open_.join(shared.withColumnRenamed("id", "node"), "node").withColumn("room", ((100 + PERCENT) * F.col("c") - PERCENT * F.col("n")))
-    room = settle(room.where(F.col("room") >= 0), "room")
-    limits = settle(room.groupBy("band").agg(F.min("n").alias("least"), F.max("room").alias("most")), "limits")
-    room = settle(room.join(limits, "band").where((F.col("room") >= PERCENT * F.col("least")) & (F.col("most") >= PERCENT * F.col("n"))), "room")
-    a = room.select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("room").alias("ga"))
-    b = room.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("room").alias("gb"))
-    fits = (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb")) & (F.col("ga") >= PERCENT * F.col("nb")) & (F.col("gb") >= PERCENT * F.col("na"))
-    return a.join(b, (a["band"] == b["band"]) & fits).select("a", "b").distinct()
-
-
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for i, s in zip(pdf["id"], pdf["shingles"]):
-            yield pd.DataFrame({"id": i, "h": np.frombuffer(s, dtype=np.int64)})
+    words = [f"w{k}" for k in range(MAP_WORDS)]
+    ones = lambda cols: reduce(lambda x, y: x + y, map(F.bit_count, cols))
+    maps = sets.select(F.col("id").alias("node"), *[F.get("bits", F.lit(k)).alias(w) for k, w in enumerate(words)])
+    room = settle(open_.join(maps, "node").withColumn("beyond", F.col("n") - ones([F.col(w) for w in words])), "room")
+    a, b = (room.select("band", *[F.col(x).alias(f"{side}_{x}") for x in ("node", "n", "root", "beyond", *words)]) for side in "ab")
+    both = ones([F.col(f"a_{w}").bitwiseAND(F.col(f"b_{w}")) for w in words]) + F.least("a_beyond", "b_beyond")
+    enough = (100 + PERCENT) * F.least("a_n", "b_n", both) >= PERCENT * (F.col("a_n") + F.col("b_n"))
+    fits = (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & enough
+    return a.join(b, (a["band"] == b["band"]) & fits).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
