@@ -24,7 +24,7 @@ from .common import id_in, id_out, settle
 CAPACITY = 2048
 END = 0  # the id that closes each document
 #: Pieces of one length are ranked in groups of about so many.
-GROUP = 50_000
+GROUP = 2_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -133,14 +133,15 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` with sequence_id and offset: every piece in one sequence, no sequence above capacity."""
     cut = settle(cut, "pieces")
-    counts = {r[0]: r[1] for r in cut.groupBy("length").agg(F.count("*")).collect()}  # at most ``capacity`` numbers
-    layout = plan(counts, capacity)
-    salts = max(64, sum(counts.values()) // GROUP)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    lengths = settle(cut.groupBy("length").agg(F.count("*").alias("_count")), "lengths")  # at most ``capacity`` rows
+    layout = plan({r[0]: r[1] for r in lengths.collect()}, capacity)
+    # a length is ranked in groups, as many as it has pieces for; their sizes are summed up within the length
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.floor(F.col("_count") / GROUP) + 1)
+    salted = cut.join(F.broadcast(lengths), "length").withColumn("_salt", salt).drop("_count")
     order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = settle(salted.withColumn("_rank", F.row_number().over(order) - 1), "ranked")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = settle(ranked.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "sizes")
+    sizes = ranked.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     offsets = settle(sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")), "offsets")
     ranked = ranked.join(offsets, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     columns = [c.split()[0] for c in PIECES.split(", ")]

@@ -204,7 +204,9 @@ def check_packing(rows, texts, capacity=packing.CAPACITY):
     assert len(bins) <= -(-total // capacity) + 1  # as few as can be, or one more
 
 
-def test_packing(spark, texts):
+@pytest.mark.parametrize("group", [packing.GROUP, 2])  # with 2, most lengths are ranked in several groups
+def test_packing(spark, texts, monkeypatch, group):
+    monkeypatch.setattr(packing, "GROUP", group)
     check_packing(QUERIES["op6_best_fit_packing"](spark, FOLDER).collect(), texts)
 
 
