@@ -459,6 +459,20 @@ def udf3(t: Tables):
     return Fc.apply_per_patient(src, centre, "p_num bigint, event_id bigint, centred double", block_seconds=10 * 86_400)
 
 
+@query("udf3_fit_then_transform", f"""
+SELECT event_id, {R('(value - avg(value) OVER w) / stddev_pop(value) OVER w')} AS scaled FROM events WINDOW w AS (PARTITION BY user_id)""")
+def udf3_fit(t: Tables):
+    """Fitted by an aggregate, applied per time block: no task holds a patient."""
+    src = t.events.select(F.col("user_id").alias("p_num"), "event_id", F.col("ts").alias("datetime"), "value")
+
+    def scale(pdf):
+        pdf["scaled"] = ((pdf["value"] - pdf["fit_mean"]) / pdf["fit_std"]).round(6) + 0.0
+        return pdf[["event_id", "scaled"]]
+
+    fitted = src.join(Fc.fit_patients(src, "value"), "p_num")
+    return Fc.apply_per_patient(fitted, scale, "event_id bigint, scaled double", block_seconds=10 * 86_400)
+
+
 @query("udf3_fallback_for_unseen", f"""
 WITH f AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE user_id <> 4 GROUP BY 1), a AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM events WHERE user_id <> 4)
 SELECT event_id, f.m IS NOT NULL AS seen, {R('(value - coalesce(f.m, a.m)) / coalesce(f.s, a.s)')} AS scaled FROM events LEFT JOIN f USING (user_id), a""")

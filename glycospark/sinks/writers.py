@@ -78,7 +78,7 @@ def write_results(
 ) -> None:
     """Three tiers (SNK5): run summary, per-episode scalars, arrays with by-step vectors."""
     labelled = summary.withColumns({k: F.lit(v) for k, v in metadata.items()})
-    labelled.coalesce(1).write.mode("overwrite").json(f"{path}/results_summary")
+    labelled.write.mode("overwrite").json(f"{path}/results_summary")
     arrays = [f.name for f in episodes.schema.fields if f.dataType.typeName() == "array"]
     episodes.drop(*arrays).write.mode("overwrite").parquet(f"{path}/episodes")
     keys = [c for c in ("run", "episode_id", "p_num") if c in episodes.columns]
@@ -94,4 +94,4 @@ def write_leaderboards(runs: DataFrame, path: str, metric: str = "rmse") -> None
         "best_by_model_dataset": best_by_metric(runs, ["model", "dataset"], metric),
     }
     for name, df in tables.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
