@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timefn import floor_slot, round_slot
+from ..functions.timefn import round_slot
 from ..operators import align as A
-from ..operators.blocks import DAY, Keys, keep_last
+from ..operators.blocks import DAY, keep_last
 from ..operators.clean import keep_overlap
 from .catalog import GRID, R, RAW_KEYS, SER, STEP, US, Tables, epoch, grid, meals, query, r, round_slot_sql, series
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.softdtw import COLUMNS, GAMMAS, dilate
 from ..operators import classify as K, episodes as E, forecast as Fc, metrics as M
 from .catalog import R, Tables, query, r
-from .q_episodes import CTX, EPISODES, FH, GAP, NUMBERED, STEP, midnight, numbered
+from .q_episodes import CTX, EPISODES, FH, NUMBERED, midnight, numbered
 
 LEVELS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 THR = 12.0  # plays the hypo threshold on quantities

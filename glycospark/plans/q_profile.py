@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import carb_kernel, insulin_kernel
 from ..operators import clean as C, features as X, profile as P, sleep as Sl
 from ..operators.blocks import DAY, Keys
-from .catalog import GRID, GRID_KEYS, R, RAW_KEYS, SER, STEP, Tables, epoch, grid, grid_sql, query, r, series
+from .catalog import GRID_KEYS, R, RAW_KEYS, SER, STEP, Tables, epoch, grid_sql, query, r, series
 from .preprocess import physiological_features, preprocess
 from .q_features import WEARABLE, _wearable
 from .q_metrics import rounded

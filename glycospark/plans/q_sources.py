@@ -9,10 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import canonical_id
-from ..functions.timefn import parse_flexible, round_slot
-from ..operators import clean as C, features as X, leaderboard as L, meals as Me, splits as S
-from ..operators.align import regularize
-from ..operators.blocks import DAY, Keys
+from ..operators import clean as C, meals as Me
 from ..session import scratch
 from ..sinks import writers as Wr
 from ..sources import raw as Src, runs as Rn

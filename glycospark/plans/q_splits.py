@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import clean as C, splits as S
 from ..operators.blocks import DAY
 from ..operators.profile import column_matrix, dataset_share
-from .catalog import R, RAW_KEYS, SER, Tables, query, r, series
+from .catalog import RAW_KEYS, SER, Tables, query, r, series
 
 TEMPORAL = S.TemporalHoldout(0.2, 45, 12)
 PATIENTS = S.PatientHoldout(holdout_patients=(1, 4, 7), min_train_patients=2)
