@@ -12,7 +12,6 @@ need no second round either.  For the rest each window gets its rank pair.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
