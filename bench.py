@@ -44,8 +44,7 @@ HEADLINE = (
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cores, cores)
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))  # one machine
+    spark = local_session(cores, cores, tempfile.mkdtemp(prefix="bench-"))  # one machine
     queries = all_queries()[0]
     times: dict[str, float] = {}
     for name in HEADLINE:

@@ -28,17 +28,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
-    spark = (
+def local_session(cores: int | str = 8, shuffle_partitions: int = 8, shared: str | None = None) -> SparkSession:
+    """A session for tests and the bench; a cluster brings its own.
+
+    ``shared`` is its shared folder, which can't be set later.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("glycospark")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
 

@@ -11,8 +11,7 @@ from glycospark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = local_session(8, 4)
-    s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    s = local_session(8, 4, str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 
