@@ -24,7 +24,7 @@ from .common import id_in, id_out, settle
 CAPACITY = 2048
 END = 0  # the id that closes each document
 #: Pieces of one length are ranked in groups of about so many.
-GROUP = 2_000
+GROUP = 500
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
