@@ -21,14 +21,30 @@ BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre li dd dt td th blockquote figcaption caption address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEAD, P = frozenset(["head"]), frozenset(["p"])
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+FOREIGN, CHOICES = frozenset(["svg", "math"]), frozenset(["select", "datalist"])
+#: What stands in these is apart from what is around them.
+ISLANDS = frozenset(["foreignobject", "template", "object"])
+P_LIMIT = ISLANDS | frozenset("button table td th caption".split())
+ENDS_P = frozenset("aside dialog fieldset footer form header menu nav".split())
+LISTS = frozenset("ul ol menu".split())
+_APART = ISLANDS | frozenset("aside dialog footer form header nav table".split())
+_ROWS = frozenset("table template".split())
 #: A start tag of these ends an open element of the second set, up to the third.
 CLOSES = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol"])),
-    "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr"]), frozenset(["table", "tbody", "thead", "tfoot"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "a": (frozenset(["a"]), _APART | frozenset(["td", "th"])),
+    "li": (frozenset(["li"]), _APART | LISTS),
+    "dt": (frozenset(["dt", "dd"]), _APART | frozenset(["dl"])),
+    "dd": (frozenset(["dt", "dd"]), _APART | frozenset(["dl"])),
+    "tbody": (frozenset("caption tbody thead tfoot".split()), _ROWS),
+    "thead": (frozenset("caption tbody thead tfoot".split()), _ROWS),
+    "tfoot": (frozenset("caption tbody thead tfoot".split()), _ROWS),
+    "tr": (frozenset(["tr", "caption"]), _ROWS | frozenset(["tbody", "thead", "tfoot"])),
+    "td": (frozenset(["td", "th"]), _ROWS | frozenset(["tr"])),
+    "th": (frozenset(["td", "th"]), _ROWS | frozenset(["tr"])),
+    "option": (frozenset(["option"]), _APART | CHOICES),
 }
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|side-?bar|widgets?|comments?|disqus|respond|replies|reviews?|"
@@ -41,88 +57,136 @@ CONTENT = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story
 
 
 class _Page(HTMLParser):
-    """Elements with their parents, and the blocks of text outside skipped elements."""
+    """Elements with their parents, skipped ones too, and the blocks of text.
+
+    Elements of blocks all have a node; inline ones only if they are skipped or named like
+    noise, or stand in an open element of the same name, which their end tag must not close.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.liked = ["html"], [-1], [0.0]
+        self.skipped, self.noisy, self.links_before = [False], [False], [0]
         self.open = [0]
-        self.skipping: list[str] = []
         self.links = 0
-        self.run: list[str] = []
-        self.run_links = 0
-        self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
+        self.run: list[tuple[int, str, int]] = []  # element, text, characters in links
+        self.blocks: list[tuple[int, list[tuple[int, str, int]]]] = []
 
     def flush(self):
         if self.run:
-            text = " ".join("".join(self.run).split())
-            if text:
-                self.blocks.append((self.open[-1], text, min(self.run_links, len(text))))
-            self.run, self.run_links = [], 0
+            element = next(k for k in reversed(self.open) if not k or self.tags[k] in BLOCKS or self.tags[k] in SKIPPED)
+            self.blocks.append((element, self.run))
+            self.run = []
 
-    def handle_starttag(self, tag, attrs):
-        if self.skipping:
-            if tag == self.skipping[0]:
-                self.skipping.append(tag)
+    def close(self, depth=None):
+        """End the open elements from a depth on; without one, the end of the page."""
+        if depth is None:
+            super().close()
             return
+        for element in self.open[depth:]:
+            if self.skipped[element] or self.noisy[element]:
+                self.links = self.links_before[element]  # a link left open there ends there
+                break
+        del self.open[depth:]
+
+    def end(self, ended, limit=frozenset()):
+        """End the innermost open element of a set, with all in it, up to a limit."""
+        for depth in range(len(self.open) - 1, 0, -1):
+            tag = self.tags[self.open[depth]]
+            if tag in ended:
+                self.close(depth)
+                return
+            if tag in limit:
+                return
+
+    def imply_ends(self, tag):
+        top = self.tags[self.open[-1]]
+        if tag == "body":
+            self.end(HEAD)
+        elif top == "head" and tag not in IN_HEAD:
+            self.close(len(self.open) - 1)
+        if tag in BLOCKS:
+            self.end(FOREIGN, ISLANDS)
+            self.end(CHOICES, ISLANDS)
+        if tag in BLOCKS or tag in ENDS_P:
+            self.end(P, P_LIMIT)
+        if tag in HEADINGS and self.tags[self.open[-1]] in HEADINGS:
+            self.close(len(self.open) - 1)
+        if tag in CLOSES:
+            self.end(*CLOSES[tag])
+
+    def handle_starttag(self, tag, attrs):
         if tag == "br":
-            self.run.append(" ")
+            self.run.append((self.open[-1], " ", 0))
             return
         own = dict(attrs)
-        noisy = tag in SKIPPED or own.get("role") in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "")
-        if not noisy and tag not in ("html", "body", "article", "main"):
-            noisy = bool(NOISE.search(own.get("class") or "") or NOISE.search(own.get("id") or ""))
-        if noisy:
-            if tag in BLOCKS or tag in SKIPPED:
-                self.flush()
-            if tag not in VOID:
-                self.skipping = [tag]
-            return
+        names = f"{own.get('class') or ''} {own.get('id') or ''}"
+        skipped = tag in SKIPPED or own.get("role") in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "")
+        noisy = not skipped and tag not in ("html", "body", "article", "main") and bool(NOISE.search(own.get("class") or "") or NOISE.search(own.get("id") or ""))
+        block = tag in BLOCKS or tag in SKIPPED
+        if block:
+            self.flush()
+        if block or tag in CLOSES or tag == "a" or self.tags[self.open[-1]] == "head":
+            self.imply_ends(tag)
+        before = self.links
         if tag == "a":
-            self.links += 1
-        if tag not in BLOCKS:
-            return
-        self.flush()
-        if tag == "hr":
+            self.links = 1
+        if tag in VOID or not (block or skipped or noisy or tag in ISLANDS or any(self.tags[k] == tag for k in self.open)):
             return
-        if self.tags[self.open[-1]] == "p":
-            self.open.pop()
-        if tag in CLOSES:
-            ended, limit = CLOSES[tag]
-            for depth in range(len(self.open) - 1, 0, -1):
-                if self.tags[self.open[depth]] in limit:
-                    break
-                if self.tags[self.open[depth]] in ended:
-                    del self.open[depth:]
-                    break
         self.tags.append(tag)
         self.parents.append(self.open[-1])
-        self.liked.append(10.0 if tag in ("article", "main") or CONTENT.search(f"{own.get('class') or ''} {own.get('id') or ''}") else 0.0)
+        self.liked.append(10.0 if tag in ("article", "main") or tag in BLOCKS and CONTENT.search(names) else 0.0)
+        self.skipped.append(skipped)
+        self.noisy.append(noisy)
+        self.links_before.append(before)
         self.open.append(len(self.tags) - 1)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # a slash does not close an element
+        # a slash closes an element of drawings and formulas only
+        n = len(self.tags)
+        self.handle_starttag(tag, attrs)
+        if len(self.tags) > n and any(self.tags[k] in FOREIGN for k in self.open):
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.skipping:
-            if tag == self.skipping[0]:
-                self.skipping.pop()
-            return
+        block = tag in BLOCKS or tag in SKIPPED
+        if block:
+            self.flush()
         if tag == "a":
-            self.links = max(0, self.links - 1)
-        if tag not in BLOCKS:
-            return
-        self.flush()
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.tags[self.open[depth]] == tag:
-                del self.open[depth:]
-                break
+            self.links = 0
+        self.end(HEADINGS if tag in HEADINGS else frozenset([tag]), LISTS if tag == "li" else frozenset())
 
     def handle_data(self, data):
-        if not self.skipping:
-            self.run.append(data)
-            if self.links:
-                self.run_links += len(data.strip())
+        if self.tags[self.open[-1]] == "head" and data.strip():
+            self.close(len(self.open) - 1)
+        self.run.append((self.open[-1], data, len(data.strip()) if self.links else 0))
+
+
+def _points(text: str) -> float:
+    return min(len(text) / 100, 3.0) + (1 + text.count(",") if len(text) >= 25 else 0)
+
+
+def _blocks(page: _Page, gone: list[bool]) -> list[tuple[int, str, int]]:
+    """(element, text, characters in links) of the blocks outside the elements that are gone."""
+    out = []
+    for element, run in page.blocks:
+        if not gone[element]:
+            text = " ".join("".join(t for k, t, _ in run if not gone[k]).split())
+            if text:
+                out.append((element, text, min(sum(n for k, _, n in run if not gone[k]), len(text))))
+    return out
+
+
+def _inherited(page: _Page, marked: list[bool]) -> list[bool]:
+    gone = list(marked)
+    for k in range(1, len(gone)):
+        gone[k] = gone[k] or gone[page.parents[k]]
+    return gone
+
+
+def _gone(page: _Page) -> list[bool]:
+    """Elements that are skipped, or noise by their name, with all they hold."""
+    return _inherited(page, [a or b for a, b in zip(page.skipped, page.noisy)])
 
 
 def main_text(html: str | None) -> str:
@@ -133,11 +197,12 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
+    blocks = _blocks(page, _gone(page))
     n = len(page.tags)
     score, size, links = list(page.liked), [0] * n, [0] * n
     earned = [0.0] * n
-    for element, text, linked in page.blocks:
-        points = min(len(text) / 100, 3.0) + (1 + text.count(",") if len(text) >= 25 else 0)
+    for element, text, linked in blocks:
+        points = _points(text)
         up = page.parents[element] if page.tags[element] in PARAGRAPHS and element else element
         share = 1.0
         level = 0
@@ -171,7 +236,7 @@ def main_text(html: str | None) -> str:
             if density < 0.25 and (likely or page.tags[k] in ("p", "pre", "blockquote") and size[k] > 80):
                 chosen.add(k)
     out = []
-    for element, text, linked in page.blocks:
+    for element, text, linked in blocks:
         up = element
         while up >= 0 and up not in chosen:
             up = page.parents[up]

@@ -245,6 +245,33 @@ def test_main_text_of_other_layouts():
         assert main_text(f"<html><head><title>t</title></head><body>{page}</body></html>") == want
 
 
+STORY = "<p>First paragraph, with commas, and enough words to count as a paragraph.</p><p>Second one, also long enough, I would say, to be counted.</p>"
+STORY_TEXT = "First paragraph, with commas, and enough words to count as a paragraph.\nSecond one, also long enough, I would say, to be counted."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><p class="notice">We use cookies, and more.{STORY}',
+        f'<body><ul><li class="share">Share</ul><div>{STORY}</div>',
+        f'<body><div><ul><li class="share">Share <ul><li>here<li>there</ul></ul>{STORY}</div>',
+        f'<table><tr><td class="menu">Home<td>{STORY}<tr><td class="menu">Foot</table>',
+        f"<head><title>t</title><meta charset=utf-8><body><div>{STORY}</div>",
+        f"<head><title>t</title><article>{STORY}</article>",
+        f'<article><svg viewBox="0 0 1 1"/>{STORY}</article>',
+        f"<article><svg><g><path/><title>Icon</title></g>{STORY}</article>",
+        f'<article><div><nav><a href="/">Home</div>{STORY}</article>',
+        f'<article><h2 class="share">Share</h3>{STORY}</article>',
+        f'<article><div class="share"><div>Share</div> it</div><span class="share">Share <span>it</span> now</span>{STORY}</article>',
+        f'<article>{STORY[:-4]} <span class="share">Share</article><p>',
+    ],
+)
+def test_skipped_elements_end_as_in_a_browser(page):
+    from glycospark.llm.html_text import main_text
+
+    assert main_text(page) == STORY_TEXT
+
+
 def test_pipeline_stage_by_stage(spark, documents, tmp_path):
     """Each stage against a plain version, on what the stage before has kept."""
     docs, tables, stages = documents, [], dict(corpus_pipeline.STAGES)
