@@ -123,6 +123,8 @@ class _Page(HTMLParser):
         names = f"{own.get('class') or ''} {own.get('id') or ''}"
         skipped = tag in SKIPPED or own.get("role") in ROLES or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in (own.get("style") or "").replace(" ", "")
         noisy = not skipped and tag not in ("html", "body", "article", "main") and bool(NOISE.search(own.get("class") or "") or NOISE.search(own.get("id") or ""))
+        # a content name beside the noise name, as in "post no-sidebar", not within it, as in "post-share"
+        noisy = noisy and not any(CONTENT.search(name) and not NOISE.search(name) for name in names.split())
         block = tag in BLOCKS or tag in SKIPPED
         if block:
             self.flush()
@@ -185,8 +187,44 @@ def _inherited(page: _Page, marked: list[bool]) -> list[bool]:
 
 
 def _gone(page: _Page) -> list[bool]:
-    """Elements that are skipped, or noise by their name, with all they hold."""
-    return _inherited(page, [a or b for a, b in zip(page.skipped, page.noisy)])
+    """Elements that are skipped, or noise by their name, with all they hold.
+
+    A noise name loses if an article or main element lies within and none outside all noise,
+    where elements named like content have less than a quarter of the page's points; where
+    there is nothing of either kind, also if most of the points lie within and less than a
+    quarter outside all noise.  The elements with the most points are first to win, so
+    comments and related articles stay out where the text itself is outside.
+    """
+    hard = _inherited(page, page.skipped)
+    if not any(page.noisy):
+        return hard
+    n = len(page.tags)
+    points, holds = [0.0] * n, [False] * n
+    for element, text, _ in _blocks(page, hard):
+        points[element] += _points(text)
+    own = list(points)
+    whole = [page.tags[k] in ("article", "main") and not hard[k] for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        points[page.parents[k]] += points[k]
+        whole[k] = whole[k] and points[k] > 0
+        holds[k] = holds[k] or whole[k]
+        holds[page.parents[k]] = holds[page.parents[k]] or holds[k]
+    noisy = list(page.noisy)
+    while True:
+        gone = _inherited(page, [a or b for a, b in zip(page.skipped, noisy)])
+        outer = [k for k in range(1, n) if noisy[k] and not hard[k] and not gone[page.parents[k]]]
+        if any(whole[k] and not gone[k] for k in range(n)):
+            return gone
+        alive = [0.0 if gone[k] else own[k] for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            alive[page.parents[k]] += alive[k]
+        named = max((alive[k] for k in range(1, n) if page.liked[k] and page.tags[k] != "body"), default=0.0)
+        inside = [k for k in outer if holds[k]] if 4 * named < points[0] else []
+        if not inside and not named:
+            inside = [k for k in outer if 2 * points[k] > points[0] > 4 * alive[0]]
+        if not inside:
+            return gone
+        noisy[max(inside, key=lambda k: points[k])] = False
 
 
 def main_text(html: str | None) -> str:
@@ -229,12 +267,16 @@ def main_text(html: str | None) -> str:
         up = page.parents[up]
     best = up if up >= 0 else best
     chosen = {best}
-    for k in range(n):
-        if k != best and page.parents[k] == page.parents[best] and best and size[k]:
-            density = links[k] / size[k]
+    beside = [k for k in range(n) if page.parents[k] == page.parents[best] and best and size[k]]
+    for k in beside:
+        if k != best:
             likely = score[k] >= max(10.0, 0.2 * score[best]) and page.tags[k] not in ("ul", "ol")
-            if density < 0.25 and (likely or page.tags[k] in ("p", "pre", "blockquote") and size[k] > 80):
+            if links[k] / size[k] < 0.25 and (likely or page.tags[k] in ("p", "pre", "blockquote", "hgroup", *HEADINGS)):
                 chosen.add(k)
+    # a plain line between two that are chosen, such as a lead in a div, is one with them
+    ends = [at for at, k in enumerate(beside) if k in chosen]
+    leaves = {element for element, _, _ in blocks} - {page.parents[element] for element, _, _ in blocks}
+    chosen.update(k for k in beside[min(ends) : max(ends)] if k in leaves and page.tags[k] == "div" and links[k] / size[k] < 0.25) if ends else None
     out = []
     for element, text, linked in blocks:
         up = element

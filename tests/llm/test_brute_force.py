@@ -272,6 +272,30 @@ def test_skipped_elements_end_as_in_a_browser(page):
     assert main_text(page) == STORY_TEXT
 
 
+COMMENT = "No, no, no, no, no, no, no, no, no, no, no, no, no, this is not, not at all, the text that is wanted."
+
+
+@pytest.mark.parametrize(
+    ("page", "before"),
+    [
+        (f'<div><h1>Title</h1><p>Short lead.</p><div class="content">{STORY}</div></div>', "Title\nShort lead.\n"),
+        (f'<div><h1>Title</h1><div>Short lead.</div><div class="content">{STORY}</div><div>Imprint</div></div>', "Title\nShort lead.\n"),
+        (f'<div><h1><a href="/">Site</a></h1><div class="content">{STORY}</div></div>', ""),
+        (f'<div class="content has-sidebar">{STORY}<div class="sidebar">{COMMENT}</div></div>', ""),
+        (f'<div class="post no-sidebar">{STORY}</div><div class="post-share">{COMMENT}</div>', ""),
+        (f'<div class="entry share-enabled">{STORY}</div>', ""),
+        (f'<div class="has-sidebar"><article>{STORY}</article><div class="comments"><article>{COMMENT}</article></div></div>', ""),
+        (f'<div class="related"><article>Short one</article></div><div class="has-sidebar"><article>{STORY}</article></div>', ""),
+        (f'<div class="has-sidebar"><div>{STORY}</div></div>', ""),
+        (f'<div class="post">{STORY}</div><div class="comments"><article>{COMMENT}</article></div>', ""),
+    ],
+)
+def test_article_wins_over_noise_names_and_lengths(page, before):
+    from glycospark.llm.html_text import main_text
+
+    assert main_text(f"<body>{page}</body>") == before + STORY_TEXT
+
+
 def test_pipeline_stage_by_stage(spark, documents, tmp_path):
     """Each stage against a plain version, on what the stage before has kept."""
     docs, tables, stages = documents, [], dict(corpus_pipeline.STAGES)
