@@ -54,13 +54,13 @@ _DELAY_DAYS = 5
 WITH {SER}, b AS (SELECT p_num, {round_slot_sql('us', STEP)} AS t, count(*) AS n FROM ser GROUP BY ALL)
 SELECT p_num, t, n FROM b WHERE (t + {STEP} // 2) * 1000000 <= (SELECT max(us) FROM ser) // 1000 * 1000 - {_DELAY_DAYS} * 86400000000""")
 def str2_late(t: Tables):
-    """A second file brings rows from before the watermark: they change nothing that was written."""
+    """A second append brings rows from before the watermark: they change nothing that was written."""
     src = series(t).select("p_num", F.col("datetime").cast("timestamp").alias("datetime"), F.lit(1).alias("n"))
     path, out, mark = (scratch(t.spark, x) for x in ("feed", "out", "mark"))
-    src.coalesce(1).write.parquet(path)
+    src.write.parquet(path)
     for late in (False, True):
         if late:
-            src.groupBy("p_num").agg(F.min("datetime").alias("datetime"), F.max("n").alias("n")).coalesce(1).write.mode("append").parquet(path)
+            src.groupBy("p_num").agg(F.min("datetime").alias("datetime"), F.max("n").alias("n")).write.mode("append").parquet(path)
         bins = Fd.online_bins(Fd.read_feed(t.spark, path, src.schema), STEP, f"{_DELAY_DAYS} days")
         q = bins.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", mark)
         q.trigger(availableNow=True).start().awaitTermination()

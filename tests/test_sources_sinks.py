@@ -1,4 +1,6 @@
 import json
+import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +8,12 @@ from pyspark.sql import functions as F
 from glycospark.functions.ids import canonical_id, patient_column, prefix_for
 from glycospark.functions.timefn import parse_flexible
 from glycospark.operators import leaderboard as L
+from glycospark.plans import all_queries, q_sources, q_stream
 from glycospark.sinks import writers as W
 from glycospark.sources import raw as R, runs as Rn
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def test_canonical_ids(spark):
     raw = ["140", "p01", "92.0", "lynch_270", "007", "12abc"]
@@ -95,3 +100,35 @@ def test_registry():
     with pytest.raises(ValueError, match="unknown data set"):
         R.DEFAULT.about("nothing")
     assert "pump_trial" in R.DEFAULT.names()
+
+
+def _noting(monkeypatch, module):
+    """Folders that a module takes from ``scratch``, by label."""
+    folders, scratch = {}, module.scratch
+
+    def noted(spark, label):
+        return folders.setdefault(label, scratch(spark, label))
+
+    monkeypatch.setattr(module, "scratch", noted)
+    return folders
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")
+def test_legacy_results_hold_all_lines_in_bounded_documents(spark, monkeypatch):
+    folders = _noting(monkeypatch, q_sources)
+    monkeypatch.setattr(q_sources, "_DOCUMENT", 500, raising=False)
+    totals = all_queries()[0]["src16_legacy_results"](spark, FOLDER).collect()
+    assert {r.patient_id for r in totals} == {str(k) for k in range(10)}
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
+    documents = [json.loads(text) for f in Path(folders["legacy"].removeprefix("file:")).rglob("part-*") for text in f.read_text().splitlines()]
+    sizes = [sum(len(e["target_bg"]) for e in d["per_episode"]) for d in documents]
+    assert sum(sizes) == lines and len(sizes) > 5 and max(sizes) < 1000
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")
+def test_late_feed_is_written_by_as_many_tasks_as_it_has(spark, monkeypatch):
+    folders = _noting(monkeypatch, q_stream)
+    series = q_stream.series
+    monkeypatch.setattr(q_stream, "series", lambda t: series(t).repartition(4))
+    assert all_queries()[0]["str2_late_rows_dropped"](spark, FOLDER).count() > 0
+    assert len(list(Path(folders["feed"].removeprefix("file:")).glob("part-*"))) > 4
