@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes of a text; where its high bits are zero a chunk may end.
 The cut depends on the last 32 bytes alone, so an insertion moves the chunks behind it
 without changing them.  Chunks with equal digests are repeats; a run of repeated chunks
-counts from ``RUN`` bytes on, which keeps chance repeats of single chunks out.
+counts from ``RUN`` bytes on, which keeps chance repeats of single chunks out, or if it is
+a whole text.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def cuts(data: np.ndarray) -> list[int]:
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        ids, versions, starts, sizes, digests = [], [], [], [], []
+        ids, versions, starts, sizes, digests, lasts = [], [], [], [], [], []
         for i, v, text in zip(pdf["id"].tolist(), pdf["version"].tolist(), pdf["text"]):
             raw = text.encode()
             ends = cuts(np.frombuffer(raw, dtype=np.uint8))
@@ -64,6 +65,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             versions.append(np.full(len(ends), v))
             starts += begins[: len(ends)]
             sizes += [b - a for a, b in zip(begins, ends)]
+            lasts += [b == len(raw) for b in ends]
             digests += [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begins, ends)]
         yield pd.DataFrame(
             {
@@ -72,6 +74,7 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "start": np.array(starts, dtype=np.int32),
                 "size": np.array(sizes, dtype=np.int32),
                 "digest": np.array(digests, dtype=np.uint64).view(np.int64),
+                "last": np.array(lasts, dtype=bool),
             }
         )
 
@@ -80,18 +83,19 @@ SPANS = "array<struct<start:int,end:int,again:boolean>>"
 
 
 def _runs(found: pd.Series) -> pd.Series:
-    """Runs of adjoining repeated chunks, split where a first copy meets a repeat."""
+    """Runs of adjoining repeated chunks, long ones and whole texts, split where a first copy meets a repeat."""
     out = []
     for chunks in found:
-        rows = sorted((c["start"], c["size"], c["digest"], c["again"]) for c in chunks)
-        seen, runs, run = set(), [], []
-        for start, size, digest, again in [*rows, (-1, 0, 0, False)]:
+        rows = sorted((c["start"], c["size"], c["digest"], c["again"], c["last"]) for c in chunks)
+        seen, runs, run, whole = set(), [], [], False
+        for start, size, digest, again, last in [*rows, (-1, 0, 0, False, False)]:
             if run and (start < 0 or run[-1][1] != start):
-                if run[-1][1] - run[0][0] >= RUN:
+                if run[-1][1] - run[0][0] >= RUN or run[0][0] == 0 and whole:
                     runs += run
                 run = []
             run.append((start, start + size, again or digest in seen))
             seen.add(digest)
+            whole = last
         joined = []
         for start, end, again in runs:
             if joined and joined[-1][1] == start and joined[-1][2] == again:
@@ -108,10 +112,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     ``again`` is false for the copy that stays: the one in the smallest id, and there the first.
     """
     texts = docs.select(id_in(id_col).alias("id"), F.hash(text_of(text_col)).alias("version"), text_of(text_col).alias("text"))
-    chunks = settle(texts.mapInPandas(_chunks, "id bigint, version int, start int, size int, digest bigint"), "chunks")
+    chunks = settle(texts.mapInPandas(_chunks, "id bigint, version int, start int, size int, digest bigint, last boolean"), "chunks")
     twice = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1").select("digest", "first")
     found = chunks.join(settle(twice, "twice"), "digest").withColumn("again", F.col("id") != F.col("first"))
-    found = found.groupBy("id", "version").agg(F.collect_set(F.struct("start", "size", "digest", "again")).alias("found"))
+    found = found.groupBy("id", "version").agg(F.collect_set(F.struct("start", "size", "digest", "again", "last")).alias("found"))
     return found.select("id", "version", pandas_udf(_runs, SPANS)("found").alias("runs")).where(F.size("runs") > 0)
 
 
@@ -119,8 +123,8 @@ def passage_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row per row of docs: id, n_bytes, n_shared, n_removed, n_spans, spans.
 
     n_shared counts the bytes in repeated runs, n_removed those of them that another copy
-    stands for; spans lists the latter as start:end.  A null text is empty; empty and short
-    texts have no runs.  Rows with equal id and text are one text and keep their first copy
+    stands for; spans lists the latter as start:end.  A null text is empty; empty texts have
+    no runs, texts shorter than ``RUN`` only if the whole text is repeated.  Rows with equal id and text are one text and keep their first copy
     alike; an empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(id_in(id_col).alias("id"), F.hash(text_of(text_col)).alias("version"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"))

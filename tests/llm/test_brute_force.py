@@ -129,6 +129,17 @@ def test_repeated_passages(documents, texts):
     assert all(len(kept[i].encode()) == len(texts[i].encode()) - got[i].n_removed for i in texts)
 
 
+def test_short_whole_texts_are_repeats(spark):
+    short = ["a short text of some forty bytes or so, ok", "tiny", "another text, which comes twice here, of eighty bytes or so, more or less, I think"]
+    rows = [(1, short[0]), (2, short[0]), (3, short[1]), (4, short[2]), (5, short[2]), (6, short[1]), (7, "only once"), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shared, r.n_removed) for r in chunk_dedup.passage_report(docs).collect()}
+    again = {2, 5, 6}
+    assert got == {i: (0 if i > 6 else len(t), len(t) if i in again else 0) for i, t in rows}
+    kept = {r.doc_id: r.text for r in chunk_dedup.drop_repeats(docs).collect()}
+    assert kept == {i: "" if i in again else t for i, t in rows}
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(3)
     data = rng.integers(97, 123, 5000).astype(np.uint8)
