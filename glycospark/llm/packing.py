@@ -92,11 +92,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
     third = capacity // 3
     for size in sorted((s for s in left if s > third), reverse=True):
         while left[size]:
-            other = next((t for t in range(min(size, capacity - size), third, -1) if left.get(t)), None)
-            if other == size and left[size] > 1:
+            most = size if left[size] > 1 else size - 1  # a last piece has no partner of its own length
+            other = next((t for t in range(min(most, capacity - size), third, -1) if left.get(t)), None)
+            if other == size:
                 n = left[size] // 2
                 put(size, 2, n, bins, capacity)
-            elif other is None or other == size:
+            elif other is None:
                 n = left[size]
                 put(size, 1, n, bins, capacity)
             else:

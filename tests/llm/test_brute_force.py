@@ -215,6 +215,18 @@ def check_packing(rows, texts, capacity=packing.CAPACITY):
     assert len(bins) <= -(-total // capacity) + 1  # as few as can be, or one more
 
 
+def test_plan_pairs_large_pieces_only():
+    counts = {size: 15 for size in range(684, 1025)}
+    rows = sorted(map(tuple, packing.plan(counts)))
+    fill = collections.Counter()
+    for (size, rank, per_bin, first, _), after in zip(rows, [*rows[1:], None]):
+        upto = after[1] if after and after[0] == size else counts[size]
+        for r in range(rank, upto):
+            fill[first + (r - rank) // per_bin] += size
+    assert sum(fill.values()) == sum(s * n for s, n in counts.items()) and max(fill.values()) <= packing.CAPACITY
+    assert len(fill) == -(-sum(counts.values()) // 2)
+
+
 @pytest.mark.parametrize("group", [packing.GROUP, 2])  # with 2, most lengths are ranked in several groups
 def test_packing(spark, texts, monkeypatch, group):
     monkeypatch.setattr(packing, "GROUP", group)
