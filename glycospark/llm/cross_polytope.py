@@ -77,7 +77,8 @@ def hashes_for(nodes: int, size: int) -> int:
 
 
 def _padded(size: int) -> int:
-    return 1 << max(0, (size - 1).bit_length())
+    """Entries after filling up with zeros: a power of two, and enough for signs to make many rotations."""
+    return max(64, 1 << (size - 1).bit_length())
 
 
 def buckets(x: np.ndarray, base: np.ndarray, hashes: int) -> np.ndarray:
@@ -88,9 +89,8 @@ def buckets(x: np.ndarray, base: np.ndarray, hashes: int) -> np.ndarray:
     """
     size = _padded(x.shape[1])
     x = np.pad(x, ((0, 0), (0, size - x.shape[1])))
-    near = min(_NEAREST, 2 * size)
     # combinations of one axis for each hash, at most two of them not the nearest
-    combos = np.array([c for c in itertools.product(range(near), repeat=hashes) if sum(k > 0 for k in c) <= 2])
+    combos = np.array([c for c in itertools.product(range(_NEAREST), repeat=hashes) if sum(k > 0 for k in c) <= 2])
     n = tables(hashes)
     seeds = _seeds(n * hashes)
     rows = np.arange(len(x))[:, None]
@@ -101,7 +101,7 @@ def buckets(x: np.ndarray, base: np.ndarray, hashes: int) -> np.ndarray:
         for k in range(hashes):
             y = rotated(x, t * hashes + k)
             y = np.concatenate([y, -y], axis=1)
-            order = _top(y, near)
+            order = _top(y, _NEAREST)
             top = np.take_along_axis(y, order, axis=1)
             lost += np.square(top[:, :1] - top)[:, combos[:, k]]
             axes.append(mix(order.astype(np.uint64) + seeds[t * hashes + k]))
@@ -109,8 +109,7 @@ def buckets(x: np.ndarray, base: np.ndarray, hashes: int) -> np.ndarray:
         key = base[:, None] + seeds[t * hashes]
         for k in range(hashes):
             key = mix(key + axes[k][rows, combos[best, k]])
-        out[:, t, : key.shape[1]] = key
-        out[:, t, key.shape[1] :] = key[:, :1]  # fewer combinations than probes
+        out[:, t] = key
     return out
 
 
