@@ -82,6 +82,37 @@ def baseline_quantiles(
     return rows.withColumn("step", F.explode(ahead)).select("episode_id", "step", "_k.q", "_k.forecast")
 
 
+def predict_arrays(episodes: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], out: str = "values") -> DataFrame:
+    """Run a user's batch forecaster that keeps the episode row (UDF1).
+
+    ``model`` turns frames of episode rows into the same rows with a column ``out``: for
+    each step a list with one value per level, or None where it gives no forecast.
+    """
+    schema = T.StructType([*episodes.schema.fields, T.StructField(out, T.ArrayType(T.ArrayType(T.DoubleType())))])
+    return episodes.mapInPandas(model, schema)
+
+
+def baseline_arrays(
+    episodes: DataFrame, steps: int, levels: Sequence[float] = DEFAULT_LEVELS, context: str = "context", out: str = "values"
+) -> DataFrame:
+    """:func:`baseline_quantiles` within the episode row: per step one value for each level (UDF2)."""
+    ordered = F.array_sort(F.array_compact(F.col(context)))
+    rows = episodes.withColumn("_o", ordered).withColumn("_k", F.array(*[array_quantile(F.col("_o"), q) for q in levels]))
+    known = F.when(F.size("_o") > 0, F.array_repeat("_k", steps))
+    return rows.withColumn(out, known).drop("_o", "_k")
+
+
+def arrays_of(episodes: DataFrame, forecasts: DataFrame, levels: Sequence[float], out: str = "values") -> DataFrame:
+    """Long forecasts (episode_id, step, q, forecast) gathered into the episode rows, by one aggregate and one join.
+
+    A step without a row at some level has null there; an episode without forecasts has a null ``out``.
+    """
+    at = [F.max(F.when(F.abs(F.col("q") - q) < 1e-9, F.col("forecast"))) for q in levels]
+    steps = forecasts.groupBy("episode_id", "step").agg(F.array(*at).alias("_v"))
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("step", "_v"))), lambda x: x["_v"])
+    return episodes.join(steps.groupBy("episode_id").agg(packed.alias(out)), "episode_id", "left")
+
+
 def actuals(episodes: DataFrame, target: str = "target") -> DataFrame:
     """(episode, step, actual) from the target arrays."""
     rows = episodes.select("episode_id", F.posexplode(target).alias("_i", "actual"))

@@ -24,19 +24,22 @@ def interpolate_small_gaps(
     if max_gap_rows <= 0:
         return df if not out else df.withColumn(out, F.col(col))
     reach = max_gap_rows * step
-    near = halo(df, keys, reach, reach)
-    return own(near.withColumn(out or col, _small_gap_fill(col, max_gap_rows, step, keys)))
+    return own(_fill_small_gaps(halo(df, keys, reach, reach), col, max_gap_rows, step, keys, out or col))
 
 
-def _small_gap_fill(col: str, max_gap_rows: int, step: int, keys: Keys) -> Column:
-    """The value of a row or, in a small enough gap, of the line between its known neighbours in the block."""
+def _fill_small_gaps(near: DataFrame, col: str, max_gap_rows: int, step: int, keys: Keys, out: str) -> DataFrame:
+    """The value of a row or, in a small enough gap, of the line between its known neighbours in the block.
+
+    The neighbours are columns of their own, so that each window is evaluated once.
+    """
     t = keys.second()
     known = F.when(F.col(col).isNotNull(), F.struct(t.alias("t"), F.col(col).alias("v")))
-    a = F.last(known, True).over(keys.window().rowsBetween(Window.unboundedPreceding, 0))
-    b = F.last(known, True).over(keys.window_back().rowsBetween(Window.unboundedPreceding, 0))
+    upto = (Window.unboundedPreceding, 0)
+    sides = near.withColumns({"_a": F.last(known, True).over(keys.window().rowsBetween(*upto)), "_b": F.last(known, True).over(keys.window_back().rowsBetween(*upto))})
+    a, b = F.col("_a"), F.col("_b")
     span = b["t"] - a["t"]
     line = a["v"] + (b["v"] - a["v"]) * ((t - a["t"]) / span)
-    return F.when(F.col(col).isNotNull(), F.col(col)).when(span <= (max_gap_rows + 1) * step, line)
+    return sides.withColumn(out, F.when(F.col(col).isNotNull(), F.col(col)).when(span <= (max_gap_rows + 1) * step, line)).drop("_a", "_b")
 
 
 def null_runs(df: DataFrame, col: str = "bg_mM", keys: Keys = GRID_KEYS, pos: str = "pos") -> DataFrame:
@@ -91,8 +94,8 @@ def segment(
     by, cap = list(keys.by), max(0, threshold_mins * 60 // step)
     near = halo(df, keys, (cap + 1) * step, cap * step)
     t, w = keys.second(), keys.window()
-    value = _small_gap_fill(col, cap, step, keys) if cap else F.col(col)
-    known = near.withColumn(col, value).where(F.col(col).isNotNull())
+    filled = _fill_small_gaps(near, col, cap, step, keys, col) if cap else near
+    known = filled.where(F.col(col).isNotNull())
     prev = F.lag(t).over(w)
     start = F.when(prev.isNull() | (t - prev != step), F.col("pos"))
     rows = known.withColumn("_start", start).where(F.col(OWN)).drop(OWN)

@@ -15,7 +15,7 @@ from .blocks import exact_quantiles, with_row
 
 HYPO = 3.9  # mmol/L
 COVERAGE_LEVELS = (0.5, 0.8, 0.9, 0.95)
-_EPS = 2.220446049250313e-16
+EPS = 2.220446049250313e-16
 
 STEP_KEYS = ("run", "episode", "step")
 
@@ -26,7 +26,7 @@ STEP_KEYS = ("run", "episode", "step")
 def regression_aggs(pred: str = "forecast", actual: str = "actual", skip_zero: bool = False) -> list[Column]:
     """mse, rmse, mae and mape %; ``skip_zero`` leaves zero actuals out of mape (EVA1, EVA2)."""
     e, y = F.col(pred) - F.col(actual), F.col(actual)
-    rel = F.abs(e) / F.greatest(F.abs(y), F.lit(_EPS))
+    rel = F.abs(e) / F.greatest(F.abs(y), F.lit(EPS))
     return [
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),

@@ -536,78 +536,76 @@ def join11(t: Tables):
 
 # --- whole evaluations --------------------------------------------------------------------------
 
-_EVAL = f"""{NUMBERED},
-fx AS (SELECT episode_id, quantile_cont(y, 0.1) AS q1, quantile_cont(y, 0.5) AS q5, quantile_cont(y, 0.9) AS q9, arg_max(y, k) AS last FROM e WHERE k < {CTX} GROUP BY ALL),
-ev AS (SELECT p_num, episode_id, y, q1, q5, q9, last, k FROM e JOIN fx USING (episode_id) WHERE k >= {CTX}),
-pe AS (SELECT p_num, episode_id, sqrt(avg((q5 - y) ** 2)) AS rmse, any_value(abs(last - q5)) AS discontinuity,
-  avg((CASE WHEN y >= q1 THEN 0.1 * (y - q1) ELSE 0.9 * (q1 - y) END + 0.5 * abs(y - q5) + CASE WHEN y >= q9 THEN 0.9 * (y - q9) ELSE 0.1 * (q9 - y) END) / 3) AS wql,
-  avg(CASE WHEN y BETWEEN q1 AND q9 THEN 1.0 ELSE 0.0 END) AS coverage_80, avg(q9 - q1) AS sharpness_80 FROM ev GROUP BY ALL)"""
+_Q9 = ", ".join(f"quantile_cont(y, {q})" for q in LEVELS)
+_P9 = f"{list(LEVELS)}"
+_PROB = ("wql", "brier", "coverage_50", "sharpness_50", "coverage_80", "sharpness_80")
+_ALL = ("rmse", "discontinuity", *_PROB, *COLUMNS)
+
+# st: one row per step with its nine quantiles; pe: one row per episode; dl: its shape columns
+_STEPS = f"""{NUMBERED},
+fx AS (SELECT episode_id, [{_Q9}] AS v, arg_max(y, k) AS last FROM e WHERE k < {CTX} GROUP BY ALL),
+ev AS (SELECT p_num, episode_id, y, v, last, k, {_P9} AS q, len(list_filter(v, lambda x: x < {THR})) AS m FROM e JOIN fx USING (episode_id) WHERE k >= {CTX}),
+st AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: CASE WHEN y >= v[i] THEN q[i] * (y - v[i]) ELSE (q[i] - 1) * (y - v[i]) END)) / 9 AS loss,
+  CASE WHEN m = 0 THEN q[1] WHEN m = 9 THEN q[9] ELSE q[m] + CASE WHEN v[m + 1] > v[m] THEN ({THR} - v[m]) / (v[m + 1] - v[m]) ELSE 0 END * (q[m + 1] - q[m]) END AS ph,
+  v[2] + 0.5 * (v[3] - v[2]) AS lo_50, v[7] + 0.5 * (v[8] - v[7]) AS hi_50, v[1] AS lo_80, v[9] AS hi_80 FROM ev)"""
+_INTERVALS = ", ".join(f"avg(CASE WHEN y BETWEEN lo_{s} AND hi_{s} THEN 1.0 ELSE 0.0 END) AS coverage_{s}, avg(hi_{s} - lo_{s}) AS sharpness_{s}" for s in (50, 80))
+_EVAL = f"""{_STEPS},
+pe AS (SELECT p_num, episode_id, sqrt(avg((v[5] - y) ** 2)) AS rmse, any_value(abs(last - v[5])) AS discontinuity, avg(loss) AS wql, avg((ph - CASE WHEN y < {THR} THEN 1 ELSE 0 END) ** 2) AS brier,
+  {_INTERVALS} FROM st GROUP BY ALL)"""
+_SHAPES = f"""x AS (SELECT episode_id, list(y ORDER BY k) AS a, list(v[5] ORDER BY k) AS p FROM ev GROUP BY episode_id),
+{dilate_sql('x', 'episode_id', FH)}"""
+
+
+def nocturnal_evaluation(t: Tables) -> dict[str, DataFrame]:
+    """Nine levels, Brier score and shape metrics, of the baseline that answers with arrays."""
+    from .evaluation import evaluate_nocturnal
+
+    return evaluate_nocturnal(numbered(t), lambda eps: Fc.baseline_arrays(eps, FH, LEVELS), LEVELS, threshold=THR)
 
 
 @query("eva17_nocturnal_per_episode", f"""
-WITH {_EVAL} SELECT p_num, episode_id, {', '.join(f'{R(c)} AS {c}' for c in ('rmse', 'discontinuity', 'wql', 'coverage_80', 'sharpness_80'))} FROM pe""")
+WITH {_EVAL}, {_SHAPES}
+SELECT p_num, episode_id, {', '.join(f'{R(c)} AS {c}' for c in _ALL)} FROM pe JOIN dl USING (episode_id)""")
 def eva17(t: Tables):
-    out = nocturnal_evaluation(t)["per_episode"]
-    cols = ("rmse", "discontinuity", "wql", "coverage_80", "sharpness_80")
-    return rounded(out.select("p_num", "episode_id", *cols), *cols)
+    return rounded(nocturnal_evaluation(t)["per_episode"].select("p_num", "episode_id", *_ALL), *_ALL)
+
+
+@query("eva17_nocturnal_complete", f"""
+WITH {_EVAL}, {_SHAPES}
+SELECT p_num, episode_id, {', '.join(f'{R(c)} AS {c}' for c in _ALL)} FROM pe JOIN dl USING (episode_id)""")
+def eva17_complete(t: Tables):
+    """The same from a forecaster with long rows, gathered into the episodes."""
+    from .evaluation import evaluate_nocturnal
+
+    model = lambda eps: Fc.arrays_of(eps, Fc.baseline_quantiles(eps, FH, LEVELS), LEVELS)
+    out = evaluate_nocturnal(numbered(t), model, LEVELS, threshold=THR)["per_episode"]
+    return rounded(out.select("p_num", "episode_id", *_ALL), *_ALL)
 
 
 @query("eva17_nocturnal_per_patient", f"""
-WITH {_EVAL}, m AS (SELECT p_num, count(DISTINCT episode_id) AS episodes, sqrt(avg((q5 - y) ** 2)) AS rmse, avg(abs(q5 - y)) AS mae FROM ev GROUP BY p_num),
-mw AS (SELECT p_num, avg(wql) AS wql FROM pe GROUP BY p_num)
-SELECT p_num, episodes, {R('rmse')} AS rmse, {R('mae')} AS mae, {R('wql')} AS wql FROM m JOIN mw USING (p_num)""")
+WITH {_EVAL}, m AS (SELECT p_num, count(DISTINCT episode_id) AS episodes, avg((v[5] - y) ** 2) AS mse, avg(abs(v[5] - y)) AS mae, avg(abs(v[5] - y) / greatest(abs(y), 2.220446049250313e-16)) * 100 AS mape FROM st GROUP BY p_num),
+mw AS (SELECT p_num, avg(wql) AS wql, avg(brier) AS brier FROM pe GROUP BY p_num)
+SELECT p_num, episodes, {R('mse', 4)} AS mse, {R('sqrt(mse)')} AS rmse, {R('mae')} AS mae, {R('mape', 4)} AS mape, {R('wql')} AS wql, {R('brier')} AS brier FROM m JOIN mw USING (p_num)""")
 def eva17_patient(t: Tables):
-    return rounded(nocturnal_evaluation(t)["per_patient"].select("p_num", "episodes", "rmse", "mae", "wql"), "rmse", "mae", "wql")
+    out = nocturnal_evaluation(t)["per_patient"].select("p_num", "episodes", "mse", "rmse", "mae", "mape", "wql", "brier")
+    return rounded(rounded(out, "mse", "mape", places=4), "rmse", "mae", "wql", "brier")
 
 
 @query("eva17_nocturnal_overall", f"""
-WITH {_EVAL}, c AS (SELECT q, abs(avg(CASE WHEN y <= f THEN 1.0 ELSE 0.0 END) - q) AS d FROM (
-  SELECT y, 0.1 AS q, q1 AS f FROM ev UNION ALL SELECT y, 0.5, q5 FROM ev UNION ALL SELECT y, 0.9, q9 FROM ev) GROUP BY q)
-SELECT (SELECT count(*) FROM pe) AS total_episodes, {R('(SELECT sqrt(avg((q5 - y) ** 2)) FROM ev)')} AS overall_rmse, {R('(SELECT avg(discontinuity) FROM pe)')} AS mean_discontinuity,
-  {R('(SELECT avg(wql) FROM pe)')} AS overall_wql, {R('(SELECT avg(coverage_80) FROM pe)')} AS overall_coverage_80, {R('(SELECT avg(sharpness_80) FROM pe)')} AS overall_sharpness_80,
+WITH {_EVAL}, {_SHAPES}, c AS (SELECT i, abs(avg(CASE WHEN y <= v[i] THEN 1.0 ELSE 0.0 END) - any_value(q[i])) AS d FROM (SELECT *, unnest(range(1, 10)) AS i FROM st) GROUP BY i)
+SELECT (SELECT count(*) FROM pe) AS total_episodes, {R('(SELECT sqrt(avg((v[5] - y) ** 2)) FROM st)')} AS overall_rmse, {R('(SELECT avg(discontinuity) FROM pe)')} AS mean_discontinuity,
+  {', '.join(f'{R(f"(SELECT avg({c}) FROM pe)")} AS overall_{c}' for c in _PROB)}, {', '.join(f'{R(f"(SELECT avg({c}) FROM dl)")} AS overall_{c}' for c in COLUMNS)},
   {R('(SELECT avg(d) FROM c)')} AS overall_mace""")
 def eva17_overall(t: Tables):
-    out = nocturnal_evaluation(t)["overall"]
-    cols = ["overall_rmse", "mean_discontinuity", "overall_wql", "overall_coverage_80", "overall_sharpness_80", "overall_mace"]
-    return rounded(out.select("total_episodes", *cols), *cols)
+    cols = ["overall_rmse", "mean_discontinuity", *[f"overall_{c}" for c in (*_PROB, *COLUMNS)], "overall_mace"]
+    return rounded(nocturnal_evaluation(t)["overall"].select("total_episodes", *cols), *cols)
 
 
 @query("eva17_nocturnal_by_step", f"""
-WITH {_EVAL} SELECT CAST(k - {CTX - 1} AS INTEGER) AS step, {R('avg(CASE WHEN y BETWEEN q1 + 0.375 * (q5 - q1) AND q5 + 0.625 * (q9 - q5) THEN 1.0 ELSE 0.0 END)')} AS coverage_50,
-  {R('avg(0.625 * (q9 - q5) + 0.625 * (q5 - q1))')} AS sharpness_50, {R('avg(CASE WHEN y BETWEEN q1 AND q9 THEN 1.0 ELSE 0.0 END)')} AS coverage_80, {R('avg(q9 - q1)')} AS sharpness_80 FROM ev GROUP BY 1""")
+WITH {_STEPS}, b AS (SELECT k, {_INTERVALS} FROM st GROUP BY k)
+SELECT CAST(k - {CTX - 1} AS INTEGER) AS step, {', '.join(f'{R(c)} AS {c}' for c in _PROB[2:])} FROM b""")
 def eva17_step(t: Tables):
-    return rounded(nocturnal_evaluation(t)["by_step"], "coverage_50", "sharpness_50", "coverage_80", "sharpness_80")
-
-
-def nocturnal_evaluation(t: Tables) -> dict[str, DataFrame]:
-    from .evaluation import evaluate_nocturnal
-
-    levels = (0.1, 0.5, 0.9)
-    return evaluate_nocturnal(numbered(t), lambda eps: Fc.baseline_quantiles(eps, FH, levels), levels, with_dilate=False)
-
-
-_Q9 = ", ".join(f"quantile_cont(y, {q})" for q in LEVELS)
-_P9 = f"{list(LEVELS)}"
-_ALL = ("rmse", "discontinuity", "wql", "brier", "coverage_50", "sharpness_50", "coverage_80", "sharpness_80", *COLUMNS)
-
-
-@query("eva17_nocturnal_complete", f"""
-WITH {NUMBERED},
-fx AS (SELECT episode_id, [{_Q9}] AS v, arg_max(y, k) AS last FROM e WHERE k < {CTX} GROUP BY ALL),
-ev AS (SELECT p_num, episode_id, y, v, last, k, {_P9} AS q, len(list_filter(v, lambda x: x < {THR})) AS m FROM e JOIN fx USING (episode_id) WHERE k >= {CTX}),
-st AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: CASE WHEN y >= v[i] THEN q[i] * (y - v[i]) ELSE (q[i] - 1) * (y - v[i]) END)) / 9 AS loss,
-  CASE WHEN m = 0 THEN q[1] WHEN m = 9 THEN q[9] ELSE q[m] + CASE WHEN v[m + 1] > v[m] THEN ({THR} - v[m]) / (v[m + 1] - v[m]) ELSE 0 END * (q[m + 1] - q[m]) END AS ph,
-  v[2] + 0.5 * (v[3] - v[2]) AS lo_50, v[7] + 0.5 * (v[8] - v[7]) AS hi_50, v[1] AS lo_80, v[9] AS hi_80 FROM ev),
-pe AS (SELECT p_num, episode_id, sqrt(avg((v[5] - y) ** 2)) AS rmse, any_value(abs(last - v[5])) AS discontinuity, avg(loss) AS wql, avg((ph - CASE WHEN y < {THR} THEN 1 ELSE 0 END) ** 2) AS brier,
-  {', '.join(f'avg(CASE WHEN y BETWEEN lo_{s} AND hi_{s} THEN 1.0 ELSE 0.0 END) AS coverage_{s}, avg(hi_{s} - lo_{s}) AS sharpness_{s}' for s in (50, 80))} FROM st GROUP BY ALL),
-x AS (SELECT episode_id, list(y ORDER BY k) AS a, list(v[5] ORDER BY k) AS p FROM ev GROUP BY episode_id),
-{dilate_sql('x', 'episode_id', FH)}
-SELECT p_num, episode_id, {', '.join(f'{R(c)} AS {c}' for c in _ALL)} FROM pe JOIN dl USING (episode_id)""")
-def eva17_complete(t: Tables):
-    from .evaluation import evaluate_nocturnal
-
-    out = evaluate_nocturnal(numbered(t), lambda eps: Fc.baseline_quantiles(eps, FH, LEVELS), LEVELS, threshold=THR)["per_episode"]
-    return rounded(out.select("p_num", "episode_id", *_ALL), *_ALL)
+    return rounded(nocturnal_evaluation(t)["by_step"], *_PROB[2:])
 
 
 @query("eva18_sliding_evaluation", f"""
