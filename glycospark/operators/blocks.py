@@ -17,7 +17,8 @@ On a regular grid a block holds at most ``block / step`` rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -159,6 +160,65 @@ def scan(df: DataFrame, keys: Keys, **carries: Carry) -> DataFrame:
     return joined.select(*df.columns, *out)
 
 
+def affine_scan(
+    df: DataFrame,
+    keys: Keys,
+    value: Column,
+    factor: Callable[[Column], Column],
+    adds: dict[str, Callable[[Column, Column], Column]],
+    slowest: float,
+) -> DataFrame:
+    """Linear recurrences down the rows with a known value, one column per entry of ``adds``.
+
+    At a known row, ``state = factor(gap) * state + add(gap, value)``, where the gap is the
+    number of seconds since the known row before (NULL at the first one, whose state before
+    is 0).  A row without a value repeats the state before it; ahead of all values it is
+    NULL.  Factors lie above 0 and at or below ``slowest`` < 1.
+
+    Affine maps compose to affine maps.  Within a block, running sums of the additions,
+    weighted by the decay since the block's first known row, give each row's map; the decay
+    over a block must stay above exp(-600).  A block's map is one summary row.  Those are
+    composed along the series by doubling: a round puts together each map and the one as
+    many blocks before as it already spans.  So few rounds are needed that what lies further
+    back has lost its weight in double precision.
+    """
+    x, t, known = F.col("_x"), F.col("_t"), F.col("_x").isNotNull()
+    w = keys.window()
+    upto, past = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(known, t)
+    rows = df.withColumns({BLOCK: keys.block_of(keys.second()), "_t": keys.second(), "_x": value})
+    rows = rows.withColumns({"_p": F.last(at, True).over(past), "_any": F.last(at, True).over(upto).isNotNull()})
+    gap = t - F.col("_p")
+    later = known & F.col("_p").isNotNull()
+    rows = rows.withColumn("_m", F.coalesce(F.sum(F.when(later, -F.log(factor(gap)))).over(upto), F.lit(0.0)))
+    rows = rows.withColumns({f"_s_{n}": F.coalesce(F.sum(F.when(later, add(gap, x) * F.exp("_m"))).over(upto), F.lit(0.0)) for n, add in adds.items()})
+
+    order = F.when(known, keys.order_key())
+    ends = rows.groupBy(*keys.by, BLOCK).agg(
+        F.min_by(F.struct("_t", "_x"), order).alias("_first"), F.max_by(F.struct("_t", "_m", *[f"_s_{n}" for n in adds]), order).alias("_last")
+    )
+    # blocks without values stand apart, so that the others are neighbours
+    filled = Window.partitionBy(*keys.by, "_full").orderBy(BLOCK)
+    ends = ends.withColumn("_full", F.col("_first").isNotNull())
+    ends = ends.withColumn("_g", F.col("_first._t") - F.lag("_last._t").over(filled))
+    ends = ends.withColumns({"_f1": F.coalesce(factor(F.col("_g")), F.lit(0.0)), "_decay": F.exp(-F.col("_last._m"))})
+    ends = ends.withColumns({f"_g_{n}": add(F.col("_g"), F.col("_first._x")) for n, add in adds.items()})
+    ends = ends.withColumns({"_a": F.col("_f1") * F.col("_decay"), **{f"_b_{n}": (F.col(f"_g_{n}") + F.col(f"_last._s_{n}")) * F.col("_decay") for n in adds}})
+    for r in range(max(1, math.ceil(math.log2(math.log(1e-18) / math.log(slowest))))):
+        before = lambda c, r=r: F.coalesce(F.lag(c, 1 << r).over(filled), F.lit(0.0))
+        ends = ends.withColumns({"_la": before("_a"), **{f"_lb_{n}": before(f"_b_{n}") for n in adds}})
+        ends = ends.withColumns({"_a": F.col("_a") * F.col("_la"), **{f"_b_{n}": F.col(f"_b_{n}") + F.col("_a") * F.col(f"_lb_{n}") for n in adds}})
+    ends = ends.withColumns({f"_in_{n}": F.lag(f"_b_{n}").over(filled) for n in adds})
+    every = Window.partitionBy(*keys.by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    state = {f"_h_{n}": F.coalesce(F.col("_f1") * F.col(f"_in_{n}"), F.lit(0.0)) + F.col(f"_g_{n}") for n in adds}
+    earlier = {f"_e_{n}": F.last(F.when(F.col("_full"), F.col(f"_b_{n}")), True).over(every) for n in adds}
+    ends = ends.withColumns({**state, **earlier}).select(*keys.by, BLOCK, *state, *earlier)
+
+    joined = rows.join(ends, [*keys.by, BLOCK])
+    here = {n: F.when(F.col("_any"), F.exp(-F.col("_m")) * (F.col(f"_h_{n}") + F.col(f"_s_{n}"))).otherwise(F.col(f"_e_{n}")) for n in adds}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in here.items()])
+
+
 def number_rows(df: DataFrame, keys: Keys, rn: str = "rn", n: str | None = "n_rows") -> DataFrame:
     """Row number from 1 within the series, and the length of the series."""
     carries = {rn: Carry("sum", F.lit(1).cast("long"))}

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.kernels import carb_kernel, insulin_kernel
 from ..functions.timefn import cyclic, from_seconds, micros, seconds, weekday
-from .blocks import halo, number_rows, own, scan, text_rank, value_prefix, with_row, BLOCK, Carry, Keys, OWN
+from .blocks import affine_scan, halo, number_rows, own, scan, text_rank, value_prefix, with_row, BLOCK, Carry, Keys, OWN
 from .clean import same_resolution
 
 GRID_KEYS = Keys()
@@ -194,24 +193,6 @@ def centred_average(
     return own(source.withColumn(out, value))
 
 
-def _decay_rows(alpha: float, adjust: bool) -> int:
-    """Rows after which a value's weight is below one part in 1e18.
-
-    The recursive form renormalises over missing rows, so its slowest decay per
-    row is taken over all gap lengths.
-    """
-    keep = 1 - alpha
-    rate = math.log(keep)
-    if not adjust:
-        slow = lambda g: rate - math.log(keep**g + alpha) / g
-        low, high = 0.0, math.log(1e4 / alpha)  # of log(gap); beyond, decay only gets faster
-        for _ in range(200):  # one maximum, closed in on from both sides
-            a, b = low + (high - low) / 3, high - (high - low) / 3
-            low, high = (a, high) if slow(math.exp(a)) < slow(math.exp(b)) else (low, b)
-        rate = max(slow(1.0), slow(math.exp(low)))
-    return max(2, math.ceil(math.log(1e-18) / rate))
-
-
 def exponential_average(
     df: DataFrame,
     step: int,
@@ -223,32 +204,25 @@ def exponential_average(
 ) -> DataFrame:
     """Exponential smoothing (WIN16).
 
-    At a row with a value, older weights fall below double precision after a fixed
-    number of rows, so a halo of that many rows gives the full result there.  A row
-    without a value repeats the result before it.  The adjusted form is a ratio of
-    two running sums; the recursive form, whose factors depend on the gaps, is a
-    pandas step on one block.
+    The adjusted form is a ratio of two decaying sums.  The recursive form renormalises
+    over missing rows: after a gap of g rows the state weighs (1 - alpha)**g against
+    alpha.  Both are linear recurrences, see :func:`affine_scan`; however slow the decay,
+    a block holds no more rows than the keys' block has, and nothing is copied between
+    blocks.  A row without a value repeats the result before it.
     """
-    carry_on = lambda d: scan(d, keys, **{out: Carry("last", F.when(F.col(col).isNotNull(), F.col("_s")))}).drop("_s")
-    rows = _decay_rows(alpha, adjust)
-    k = Keys(keys.by, keys.time, keys.tie, 4 * rows * step)
-    near = halo(df, k, back=rows * step)
+    keep, x = 1.0 - alpha, F.col(col)
+    if not keep > 0:
+        return scan(df, keys, **{out: Carry("last", x)})
+    # the decay over a block must stay within the range of doubles
+    rows = max(1, min(keys.block // step, int(200 / -math.log(keep))))
+    k = Keys(keys.by, keys.time, keys.tie, rows * step)
+    old = lambda gap: F.pow(F.lit(keep), gap / step)
     if adjust:
-        place = (k.second() - F.col(BLOCK) * k.block) / step + rows
-        weight = F.pow(F.lit(1.0 - alpha), -place)
-        w = k.window().rowsBetween(Window.unboundedPreceding, 0)
-        top = F.sum(F.col(col) * weight).over(w)
-        bottom = F.sum(F.when(F.col(col).isNotNull(), weight)).over(w)
-        return carry_on(own(near.withColumn("_s", top / bottom)))
-    schema = T.StructType([*df.schema.fields, T.StructField("_s", T.DoubleType())])
-    names, order = [*df.columns, "_s"], [k.time, *k.tie]
-
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        pdf["_s"] = pdf[col].ewm(alpha=alpha, adjust=False).mean()
-        return pdf.loc[pdf[OWN].astype(bool), names]
-
-    return carry_on(near.groupBy(*k.by, BLOCK).applyInPandas(smooth, schema))
+        adds = {"_top": lambda gap, v: v, "_bottom": lambda gap, v: F.lit(1.0)}
+        sums = affine_scan(df, k, x, old, adds, keep)
+        return sums.withColumn(out, F.col("_top") / F.col("_bottom")).drop("_top", "_bottom")
+    share = lambda gap: old(gap) / (old(gap) + alpha)
+    return affine_scan(df, k, x, share, {out: lambda gap, v: F.when(gap.isNull(), v).otherwise((1 - share(gap)) * v)}, keep)
 
 
 # --- CGM features ------------------------------------------------------------

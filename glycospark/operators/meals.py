@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timefn import MICROS, from_seconds, micros, seconds
 from ..schema import LOW_MEAL, MEAL
+from ..session import settle
 from .align import overlay_meals
-from .blocks import BLOCK, Carry, Keys, halo, own, scan
+from .blocks import BLOCK, Keys, halo, own
 from .gaps import drop_gappy_days
 
 
@@ -21,22 +21,45 @@ def drop_days_with_meals(df: DataFrame, count: int, meal: str = MEAL) -> DataFra
     return out.join(days.where(F.col("_n") == count), ["p_num", "_day"], "left_anti").drop("_day")
 
 
-def _pick_spaced(length_us: int):
-    """Of each sorted array of stamps keep those more than ``length_us`` after the last kept one."""
+def spaced_stamps(stamps: DataFrame, length: int, keys: Keys, col: str = "us") -> DataFrame:
+    """Of the distinct stamps of each key those that a greedy pass keeps: more than ``length`` after the last kept one.
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            who, kept = [], []
-            for p, stamps in zip(pdf["p_num"], pdf["stamps"]):
-                until = None
-                for us in stamps.tolist():
-                    if until is None or us > until:
-                        until = us + length_us
-                        who.append(p)
-                        kept.append(us)
-            yield pd.DataFrame({"p_num": pd.Series(who, dtype=pdf["p_num"].dtype), "us": pd.Series(kept, dtype="int64")})
-
-    return pick
+    Every stamp that follows a longer pause is kept; these are the starts.  Any other kept
+    stamp is the successor of a kept one, the first stamp more than ``length`` after it, and
+    that is never more than twice the length away.  So the successors are found within a
+    halo, and which stamps the starts lead to by pointer doubling: a round follows, from
+    all kept stamps at once, jumps of twice as many successors as the round before, and
+    joins the jumps with themselves.  The rounds grow with the logarithm of the longest
+    chain, joins are on (key, stamp), which is unique, and a run of stamps without a pause
+    is spread over all tasks like any other.
+    """
+    by = list(keys.by)
+    seconds_ = -(-length // MICROS)
+    near = halo(stamps, keys, back=seconds_ + 1, ahead=2 * seconds_ + 1)
+    reach = Window.partitionBy(*by, BLOCK).orderBy(col)
+    near = near.withColumns(
+        {
+            "_prev": F.lag(col).over(reach),
+            "_end": F.max(col).over(reach.rangeBetween(0, length)),
+            "_next": F.min(col).over(reach.rangeBetween(length + 1, 2 * length)),
+        }
+    )
+    start = F.col("_prev").isNull() | (F.col(col) - F.col("_prev") > length)
+    # a successor after a pause is a start itself
+    follows = F.when(F.col("_next") - F.col("_end") <= length, F.col("_next"))
+    nodes = settle(own(near).select(*by, col, start.alias("_start"), follows.alias("_next")), "stamps")
+    kept = [nodes.where("_start").select(*by, col)]
+    jumps = nodes.where(F.col("_next").isNotNull()).select(*by, col, "_next")
+    while True:
+        every = kept[0]
+        for more in kept[1:]:
+            every = every.unionByName(more)
+        reached = settle(every.join(jumps, [*by, col]).select(*by, F.col("_next").alias(col)), "reached")
+        if reached.isEmpty():
+            return every
+        kept.append(reached)
+        ahead = jumps.select(*by, F.col(col).alias("_next"), F.col("_next").alias("_far"))
+        jumps = settle(jumps.join(ahead, [*by, "_next"]).select(*by, col, F.col("_far").alias("_next")), "jumps")
 
 
 def merge_meals(
@@ -48,26 +71,20 @@ def merge_meals(
     positive carbs of the rows in (t, t + length] and blanks them.  A blanked meal
     has no carbs left when its turn comes.
 
-    Only which meals absorb depends on order, and only among large meals less than
-    ``length_s`` apart.  These are cut into islands at longer pauses; the fold sees
-    the bare stamps of one island (8 bytes each), many islands per Arrow batch.
+    Only which meals absorb depends on order; see :func:`spaced_stamps`, which runs jobs
+    of its own.
     """
     us, length = micros(F.col("datetime")), length_s * MICROS
-    by, p_type = list(keys.by), dict(df.dtypes)["p_num"]
+    by = list(keys.by)
     is_meal = F.coalesce(F.col("msg_type") == meal, F.lit(False))
-    big = df.where(is_meal & (F.col("food_g") > min_carbs)).select("p_num", "datetime", us.alias("us")).distinct()
-    k = Keys(keys.by, keys.time, (), keys.block)
-    near = halo(big, k, back=length_s + 1)
-    prev = F.lag("us").over(k.window())
-    start = F.when(prev.isNull() | (F.col("us") - prev > length), F.col("us"))
-    chained = scan(own(near.withColumn("_st", start)), k, island=Carry("last", F.col("_st")))
-    islands = chained.groupBy("p_num", "island").agg(F.sort_array(F.collect_list("us")).alias("stamps"))
-    picked = islands.select("p_num", "stamps").mapInPandas(_pick_spaced(length), f"p_num {p_type}, us bigint")
-    picked = picked.select("p_num", F.timestamp_micros("us").cast("timestamp_ntz").alias("datetime"), F.col("us").alias("_abs"))
+    big = df.where(is_meal & (F.col("food_g") > min_carbs)).select(*by, "datetime", us.alias("us")).distinct()
+    picked = spaced_stamps(big, length, Keys(keys.by, keys.time, (), min(keys.block, 8 * length_s))).select(
+        *by, F.timestamp_micros("us").cast("timestamp_ntz").alias("datetime"), F.col("us").alias("_abs")
+    )
 
     # no other meal absorbs inside an absorber's window, so both the absorber of a
     # row and the carbs an absorber gains lie within one window length
-    marked = halo(df.join(picked, ["p_num", "datetime"], "left"), keys, back=length_s + 1, ahead=length_s + 1)
+    marked = halo(df.join(picked, [*by, "datetime"], "left"), keys, back=length_s + 1, ahead=length_s + 1)
     marked = marked.withColumn("_us", us)
     upto = keys.window().rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*by, BLOCK).orderBy("_us").rangeBetween(1, length)

@@ -108,19 +108,30 @@ def win16(t: Tables):
     return X.exponential_average(grid(t), STEP, 0.3, keys=GRID_KEYS).select("p_num", epoch(), r("smoothed").alias("smoothed"))
 
 
-@query("win16_exponential_recursive", f"""
+def _recursive_sql(keep: str, alpha: str) -> str:
+    return f"""
 WITH RECURSIVE {GRID},
 o AS (SELECT p_num, t, pos, bg, row_number() OVER (PARTITION BY p_num ORDER BY pos) AS i FROM g WHERE bg IS NOT NULL),
 e AS (SELECT p_num, t, pos, i, bg AS y FROM o WHERE i = 1
   UNION ALL
-  SELECT o.p_num, o.t, o.pos, o.i, (pow(0.7, o.pos - e.pos) * e.y + 0.3 * o.bg) / (pow(0.7, o.pos - e.pos) + 0.3) FROM e JOIN o ON o.p_num = e.p_num AND o.i = e.i + 1)
+  SELECT o.p_num, o.t, o.pos, o.i, (pow({keep}, o.pos - e.pos) * e.y + {alpha} * o.bg) / (pow({keep}, o.pos - e.pos) + {alpha}) FROM e JOIN o ON o.p_num = e.p_num AND o.i = e.i + 1)
 SELECT g.p_num, g.t, {R('last_value(e.y IGNORE NULLS) OVER (PARTITION BY g.p_num ORDER BY g.t ROWS UNBOUNDED PRECEDING)')} AS smoothed
-FROM g LEFT JOIN e ON e.p_num = g.p_num AND e.pos = g.pos""")
+FROM g LEFT JOIN e ON e.p_num = g.p_num AND e.pos = g.pos"""
+
+
+@query("win16_exponential_recursive", _recursive_sql("0.7", "0.3"))
 def win16_recursive(t: Tables):
     slim = grid(t).select("p_num", "datetime", "pos", "bg_mM")
     return X.exponential_average(slim, STEP, 0.3, False, keys=GRID_KEYS).select("p_num", epoch(), r("smoothed").alias("smoothed"))
 
 
+@query("win16_exponential_slow", _recursive_sql("0.999", "0.001"))
+def win16_slow(t: Tables):
+    """A memory of many blocks."""
+    slim = grid(t).select("p_num", "datetime", "pos", "bg_mM")
+    return X.exponential_average(slim, STEP, 0.001, False, keys=GRID_KEYS).select("p_num", epoch(), r("smoothed").alias("smoothed"))
+
+
 @query("win17_cgm_features", f"""
 WITH {SER}, a AS (SELECT *, us - lag(us) OVER (PARTITION BY p_num ORDER BY us, event_id) AS du, bg - lag(bg) OVER (PARTITION BY p_num ORDER BY us, event_id) AS db FROM ser),
 x AS (SELECT *, avg(bg) OVER h1 AS m1, stddev_samp(bg) OVER h1 AS s1, avg(bg) OVER h3 AS m3, stddev_samp(bg) OVER h3 AS s3 FROM a

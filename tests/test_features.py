@@ -2,10 +2,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
 from glycospark.functions.kernels import carb_kernel, insulin_kernel
 from glycospark.operators import features as X
-from glycospark.operators.blocks import Keys
+from glycospark.operators.blocks import Keys, affine_scan
 from glycospark.plans.preprocess import physiological_features, preprocess
 
 HOUR = Keys(block=3600)
@@ -92,13 +93,45 @@ def test_future_covariates_cross_midnight(frame):
 
 
 @pytest.mark.parametrize("adjust", [True, False])
-def test_exponential_smoothing_matches_pandas(frame, adjust):
+@pytest.mark.parametrize("alpha, block", [(0.3, 86400), (0.3, 900), (0.001, 3000), (0.95, 86400), (1.0, 3600)])
+def test_exponential_smoothing_matches_pandas(frame, adjust, alpha, block):
+    """Leading and long gaps, memories of many blocks, blocks without a value."""
     rng = np.random.default_rng(4)
     v = [None if rng.random() < 0.3 else float(rng.random() * 10) for _ in range(600)]
-    v[200:460] = [None] * 260  # longer than the halo
-    want = pd.Series(v, dtype=float).ewm(alpha=0.3, adjust=adjust).mean()
-    got = values(X.exponential_average(frame(bg_mM=v), 300, 0.3, adjust, keys=Keys(block=86400)), "smoothed")
-    np.testing.assert_allclose(np.array(got, float), want, rtol=1e-9)
+    v[:40] = [None] * 40
+    v[200:460] = [None] * 260
+    want = pd.Series(v, dtype=float).ewm(alpha=alpha, adjust=adjust).mean()
+    out = X.exponential_average(frame(bg_mM=v), 300, alpha, adjust, keys=Keys(block=block))
+    got = values(out, "smoothed")
+    assert got[:40] == [None] * 40
+    np.testing.assert_allclose(np.array(got[40:], float), want[40:], rtol=1e-9)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Generate" not in plan  # native, and no row is copied to another block
+
+
+def test_smoothing_keeps_patients_apart(frame):
+    one, two = frame(p_num="a", bg_mM=[1.0] * 30), frame(p_num="b", bg_mM=[None] * 3 + [9.0] * 27)
+    out = X.exponential_average(one.unionByName(two), 300, 0.01, False, keys=Keys(block=1200)).toPandas()
+    assert set(out[out.p_num == "a"].smoothed.round(9)) == {1.0}
+    assert set(out[out.p_num == "b"].smoothed.dropna().round(9)) == {9.0}
+
+
+def test_affine_scan_sums_with_decay(frame):
+    """A one-compartment state: what is left of all doses before."""
+    rng = np.random.default_rng(9)
+    doses = [float(rng.integers(1, 9)) if rng.random() < 0.2 else None for _ in range(300)]
+    half = lambda gap: F.pow(F.lit(0.5), gap / 3600)
+    out = affine_scan(frame(dose=doses), Keys(block=7200), F.col("dose"), half, {"left": lambda gap, v: v}, 0.5 ** (300 / 3600))
+    state, want = None, []
+    last = None
+    for k, d in enumerate(doses):
+        if d is not None:
+            state = d + (0 if state is None else state * 0.5 ** ((k - last) / 12))
+            last = k
+        want.append(state)
+    got = values(out, "left")
+    assert [g is None for g in got] == [x is None for x in want]
+    np.testing.assert_allclose([g for g in got if g is not None], [x for x in want if x is not None])
 
 
 @pytest.mark.parametrize("rows,need,centre", [(5, 3, True), (4, 1, True), (5, 5, True), (5, 1, False)])

@@ -37,6 +37,46 @@ def test_greedy_merge_matches_rule(frame):
     assert values(out, "msg_type") == want_msg
 
 
+def greedy(stamps, length):
+    kept = []
+    for t in sorted(stamps):
+        if not kept or t - kept[-1] > length:
+            kept.append(t)
+    return kept
+
+
+def spaced(spark, stamps, length_s, block):
+    rows = [(p, t * 1_000_000) for p, ts in stamps.items() for t in ts]
+    df = spark.createDataFrame(rows, "p_num string, us long").select("p_num", F.timestamp_micros("us").cast("timestamp_ntz").alias("datetime"), "us")
+    out = M.spaced_stamps(df, length_s * 1_000_000, Keys(block=block))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.p_num, []).append(r.us // 1_000_000)
+    return {p: sorted(ts) for p, ts in got.items()}
+
+
+@pytest.mark.parametrize("length, block", [(7200, 3600), (7200, 86_400), (60, 600)])
+def test_spaced_stamps_match_a_greedy_pass(spark, length, block):
+    rng = np.random.default_rng(length + block)
+    stamps = {p: np.unique(np.cumsum(rng.exponential(scale * length, 150)).astype(int)).tolist() for p, scale in (("a", 0.3), ("b", 0.9), ("c", 2.5))}
+    stamps["d"] = [0, length, length + 1, 2 * length, 2 * length + 1, 2 * length + 2, 4 * length + 3]  # at the limits
+    assert spaced(spark, stamps, length, block) == {p: greedy(ts, length) for p, ts in stamps.items()}
+
+
+def test_a_run_without_a_pause_takes_few_rounds(spark, monkeypatch):
+    """One patient, 20,000 stamps a minute apart, one island: the chain has 500 links."""
+    rounds = []
+    write = M.settle
+    monkeypatch.setattr(M, "settle", lambda df, label: rounds.append(label) or write(df, label))
+    stamps = {"a": list(range(0, 20_000 * 60, 60))}
+    assert spaced(spark, stamps, 2400, 7200) == {"a": greedy(stamps["a"], 2400)}
+    assert rounds.count("reached") <= 11
+
+
+def test_no_stamps_and_one(spark):
+    assert spaced(spark, {}, 60, 600) == {} and spaced(spark, {"a": [5]}, 60, 600) == {"a": [5]}
+
+
 def test_top_meals_and_meal_days(frame):
     df = frame(step_min=60, start="2024-01-01 06:00", food_g=[50.0, 0.0, 30.0, 20.0, 0.0], msg_type=["ANNOUNCE_MEAL", "", "ANNOUNCE_MEAL", "ANNOUNCE_MEAL", ""])
     assert values(M.keep_top_meals(df, 2), "food_g") == [50.0, 0.0, 30.0, 0.0, 0.0]
