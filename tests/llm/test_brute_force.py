@@ -319,6 +319,91 @@ def test_article_wins_over_noise_names_and_lengths(page, before):
     assert main_text(f"<body>{page}</body>") == before + STORY_TEXT
 
 
+@pytest.mark.parametrize(
+    "broken",
+    [
+        "<![foo[x]]>", "<![ x]>", "<![endif]-->", "<!-->", "<!--->", "<!-- a -- b --!>", "<!x y>", "<?php echo 1 ?>", "</ x>", "</>", "<!doctype>", "<![CDATA[x]]>", "&#99999999999;",
+        "<img / alt=x>", '<img alt="a"b=c/d>', "<img =>", "<textarea></div></article></textarea>", "<!>", "<?>", "</3>",
+    ],
+)
+def test_broken_markup_is_a_comment_or_a_tag(broken):
+    from glycospark.llm.html_text import main_text
+
+    for page in (f"{broken}<body><article>{STORY}</article>", f"<body><article>{STORY[:-4]}</p>{broken}</article>", f"<body><div>{STORY}</div>{broken}"):
+        assert main_text(page).replace("\n\ufffd", "") == STORY_TEXT
+    assert main_text(f"<article>{STORY}</article>" + broken[:3]) in (STORY_TEXT, STORY_TEXT + "\n" + broken[:3])
+
+
+@pytest.mark.parametrize("open_end", ["<!-- never closed <p>No, no, and no</p>", "<p class='x", '<a href="', "</p", "<![CDATA[ no, no", "<?x", "<!", "<script>var no = 1;", "<style>p {}", "<textarea><p>No, no, no</p>"])
+def test_what_never_ends_is_no_text(open_end):
+    from glycospark.llm.html_text import main_text
+
+    assert main_text(f"<article>{STORY}{open_end}") == STORY_TEXT
+
+
+def test_numbers_of_any_length():
+    from glycospark.llm.html_text import main_text
+
+    assert main_text("<p>a&#65;b&#0000000000000065;c&#x41;d</p>") == "aAbAcAd"
+    assert main_text(f"<p>a&#{'9' * 5000};b&#{'0' * 5000}66;</p>") == "a\ufffdbB"
+
+
+def test_given_pages_survive_mutations(spark):
+    """Random changes of bytes, cuts and copied pieces: no error, and only code points that the page has or stands for."""
+    import random
+
+    from glycospark.llm.html_text import main_text
+
+    pages = [r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()]
+    rng = random.Random(4)
+    for k in range(1500):
+        page = list(rng.choice(pages))
+        for _ in range(rng.choice([1, 5, 60])):
+            at = rng.randrange(len(page))
+            what = rng.random()
+            if what < 0.5:
+                page[at] = rng.choice("<>/!-[]&;#\"'= \x00?ap")
+            elif what < 0.8:
+                del page[at : at + rng.randrange(1, 30)]
+            else:
+                page[at:at] = rng.choice(["<![", "<!--", "]]>", "</", "<div ", "&#", "<svg>", "<table><td>", "<template>", "-->"])
+        assert isinstance(main_text("".join(page)), str)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><header><h1>Title</h1><p>By A. Writer</p></header>{STORY}</article>", "Title\nBy A. Writer\n" + STORY_TEXT),
+        (f'<header><h1>Site</h1></header><article><header><nav><a href="/">Up</a></nav><h1>Title</h1></header>{STORY}</article>', "Title\n" + STORY_TEXT),
+        (f'<form id="aspnetForm"><div>{STORY}</div></form>', STORY_TEXT),
+        (f'<form id="f"><div class="content">{STORY}</div><div class="comments"><p>{"No, no, no, not at all. "}</p></div></form>', STORY_TEXT),
+        (f'<form id="aspnetForm"><article>{STORY}</article><form class="search"><p>Find it, here, or elsewhere, or not.</p></form></form>', STORY_TEXT),
+        (f'<article>{STORY}<ul><li><a href="/s">A long title of a source, and its year</a></li><li><a href="/t">Another</a></li></ul></article>', STORY_TEXT + "\nA long title of a source, and its year\nAnother"),
+        (f'<article>{STORY}<p class="alert">Mind the gap.</p><div class="review">Five stars.</div></article>', STORY_TEXT + "\nMind the gap.\nFive stars."),
+        (f'<article>{STORY}<div class="ad">Buy, buy, buy</div><section id="comments"><p>No, no, no, not at all, not that, I say.</p></section></article>', STORY_TEXT),
+        (f'<div class="alert">Site notice, closing on Monday</div><div>{STORY}</div>', STORY_TEXT),
+        ("<div class=sidebar>" * 200 + f"<div>{STORY}</div>", STORY_TEXT),
+    ],
+)
+def test_what_belongs_to_the_article_stays(page, want):
+    from glycospark.llm.html_text import main_text
+
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
+@pytest.mark.parametrize("opened", ["<div>", "<div class=x>", "<b>", "<div class=sidebar>", "<table><tr><td>", "<ul><li>", "<form>", "<p><a href=x>", "<!--", "<svg>", "<h1>", "<span class=share>"])
+def test_deep_pages_take_time_in_proportion(opened):
+    import time
+
+    from glycospark.llm.html_text import main_text
+
+    n = 50_000
+    page = "<body>" + opened * n + STORY + "x, and y, " * 10
+    start = time.perf_counter()
+    assert isinstance(main_text(page), str)
+    assert time.perf_counter() - start < 6  # quadratic work takes minutes
+
+
 def test_pipeline_stage_by_stage(spark, documents, tmp_path):
     """Each stage against a plain version, on what the stage before has kept."""
     docs, tables, stages = documents, [], dict(corpus_pipeline.STAGES)
