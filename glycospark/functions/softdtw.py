@@ -1,12 +1,12 @@
 """Shape and temporal distortion of a forecast, batched over many pairs.
 
 The dynamic programme is swept along anti-diagonals, so every step is one array
-operation over all pairs of an Arrow batch.
+operation over all pairs of an Arrow batch and all smoothing strengths.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,41 +21,32 @@ SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in COLUMNS])
 _FAR = 1e8
 
 
-def distortion(pred: np.ndarray, actual: np.ndarray, gamma: float, alpha: float = ALPHA):
-    """(dilate, shape, temporal) for arrays of shape (pairs, n).
+def distortion(pred: np.ndarray, actual: np.ndarray, gammas: Sequence[float], alpha: float = ALPHA):
+    """(dilate, shape, temporal), each of shape (gammas, pairs), for arrays of shape (pairs, n).
 
-    With ``cost`` the squared differences, ``best[i, j]`` is the soft minimum over
-    the alignments ending in (i, j).  ``share[i, j]`` is the probability that the
-    soft-optimal alignment passes (i, j): the soft-min weights of the moves out of
-    the later cells, multiplied on the way back.
+    With the squared differences as cost, ``best`` at (i, j) is the soft minimum over the
+    alignments that end there.  The temporal part is the derivative of the last ``best`` in
+    the direction of the squared lags: a cell's share in the soft-optimal alignment times
+    its lag.  It is carried along as ``slope``, by the soft-min weights of the three moves,
+    so that two diagonals are all there is to keep.
     """
     pairs, n = pred.shape
-    cost = (actual[:, :, None] - pred[:, None, :]) ** 2
-    best = np.full((pairs, n + 1, n + 1), _FAR)
-    best[:, 0, 0] = 0.0
-    weights = np.zeros((3, pairs, n + 2, n + 2))  # move weights: diagonal, down, right
+    g = np.asarray(gammas, dtype=float)[:, None, None]
+    far = lambda: np.full((len(gammas), pairs, n + 1), _FAR)  # noqa: E731  by row i; column d - i
+    best, before = far(), far()
+    before[:, :, 0] = 0.0
+    slope, slope_before = np.zeros_like(best), np.zeros_like(best)
     for d in range(2, 2 * n + 1):
         i = np.arange(max(1, d - n), min(n, d - 1) + 1)
-        j = d - i
-        z = np.stack([best[:, i - 1, j - 1], best[:, i - 1, j], best[:, i, j - 1]]) / -gamma
+        z = np.stack([before[:, :, i - 1], best[:, :, i - 1], best[:, :, i]]) / -g
         top = z.max(axis=0)
         e = np.exp(z - top)
         total = e.sum(axis=0)
-        best[:, i, j] = cost[:, i - 1, j - 1] - gamma * (np.log(total) + top)
-        weights[:, :, i, j] = e / total
-    share = np.zeros((pairs, n + 2, n + 2))
-    share[:, n, n] = 1.0
-    for d in range(2 * n - 1, 1, -1):
-        i = np.arange(max(1, d - n), min(n, d - 1) + 1)
-        j = d - i
-        share[:, i, j] = (
-            share[:, i + 1, j + 1] * weights[0][:, i + 1, j + 1]
-            + share[:, i + 1, j] * weights[1][:, i + 1, j]
-            + share[:, i, j + 1] * weights[2][:, i, j + 1]
-        )
-    lag2 = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2
-    shape = best[:, n, n]
-    temporal = (share[:, 1 : n + 1, 1 : n + 1] * lag2).sum(axis=(1, 2)) / (n * n)
+        now, slope_now = far(), np.zeros_like(best)
+        now[:, :, i] = (actual[:, i - 1] - pred[:, d - i - 1]) ** 2 - g * (np.log(total) + top)
+        slope_now[:, :, i] = (2 * i - d) ** 2 + (e * np.stack([slope_before[:, :, i - 1], slope[:, :, i - 1], slope[:, :, i]])).sum(axis=0) / total
+        best, before, slope, slope_before = now, best, slope_now, slope
+    shape, temporal = best[:, :, n], slope[:, :, n] / (n * n)
     return alpha * shape + (1 - alpha) * temporal, shape, temporal
 
 
@@ -69,13 +60,13 @@ def _batch(pred: pd.Series, actual: pd.Series) -> pd.DataFrame:
         if n < 2:
             continue
         rows = np.flatnonzero((length == n).to_numpy())
-        size = max(1, 4_000_000 // (5 * n * n))  # bounds the arrays to about 32 MB each
+        size = max(1, 1_000_000 // (len(GAMMAS) * (n + 1)))  # bounds the arrays to about 8 MB each
         for k in range(0, len(rows), size):
             part = rows[k : k + size]
             p = np.stack([np.asarray(pred.iloc[r], dtype=float) for r in part])
             a = np.stack([np.asarray(actual.iloc[r], dtype=float) for r in part])
-            for gamma, suffix in GAMMAS.items():
-                for name, v in zip(("dilate", "shape", "temporal"), distortion(p, a, gamma)):
+            for name, values in zip(("dilate", "shape", "temporal"), distortion(p, a, list(GAMMAS))):
+                for suffix, v in zip(GAMMAS.values(), values):
                     out.iloc[part, out.columns.get_loc(f"{name}_{suffix}")] = v
     return out
 

@@ -24,12 +24,17 @@ def win12(t: Tables):
     return out.select("p_num", epoch(), r("dose_units").alias("dose_units"))
 
 
+def temp_sql(step: int) -> str:
+    """CTEs up to o: the grid with the last basal order of each slot, its rate r0, minutes d0 and position op."""
+    order = lambda c: f"last_value(CASE WHEN rate IS NOT NULL THEN {c} END IGNORE NULLS) OVER w"
+    return f"""{grid_sql(step)},
+o AS MATERIALIZED (SELECT p_num, t, pos, bg, food, rate, dose, {order('pos')} AS op, {order('rate')} AS r0, {order('dur')} AS d0
+  FROM g WINDOW w AS (PARTITION BY p_num ORDER BY t ROWS UNBOUNDED PRECEDING))"""
+
+
 @query("win13_rollover_temp", f"""
-WITH {grid_sql(3600)}, a AS (
-  SELECT p_num, t, pos, coalesce(dose, 0) AS dose,
-    max(CASE WHEN rate IS NOT NULL THEN pos END) OVER {W} AS op FROM g)
-SELECT a.p_num, a.t, {R('a.dose + CASE WHEN o.dur IS NOT NULL AND o.rate IS NOT NULL AND a.pos - op < floor(o.dur / 60) THEN o.rate ELSE 0 END')} AS dose_units
-FROM a LEFT JOIN g o ON o.p_num = a.p_num AND o.pos = a.op""")
+WITH {temp_sql(3600)}
+SELECT p_num, t, {R('coalesce(dose, 0) + CASE WHEN pos - op < floor(d0 / 60) THEN r0 ELSE 0 END')} AS dose_units FROM o""")
 def win13(t: Tables):
     out = X.rollover_temp(grid(t, 3600).fillna(0.0, ["dose_units"]), 3600, FINE_KEYS)
     return out.select("p_num", epoch(), r("dose_units").alias("dose_units"))

@@ -202,7 +202,32 @@ def eva14_repair(t: Tables):
     return out.select("run", "episode", "step", r(F.col("values")[3]).alias("q40"), r(F.col("values")[4]).alias("q50"))
 
 
-@query("eva15_dilate")
+def _full_dilate_sql(n: int) -> str:
+    """The nine shape columns by a recursion over anti-diagonals, for pairs of series of n values.
+
+    ``r1`` and ``r2`` hold the soft minima of the last two diagonals by row, ``s1`` and ``s2``
+    their derivatives in the direction of the squared lags.
+    """
+    x, y, z = "r2[i]", "r1[i]", "r1[i + 1]"
+    w = lambda c: f"exp((least({x}, {y}, {z}) - {c}) / gamma)"
+    cell = f"CASE WHEN i < 1 OR d + 1 - i < 1 OR d + 1 - i > {n} THEN"
+    best = f"{cell} 1e8 ELSE (a[i] - p[d + 1 - i]) ** 2 + least({x}, {y}, {z}) - gamma * ln({w(x)} + {w(y)} + {w(z)}) END"
+    slope = f"{cell} 0.0 ELSE (2 * i - d - 1) ** 2 + ({w(x)} * s2[i] + {w(y)} * s1[i] + {w(z)} * s1[i + 1]) / ({w(x)} + {w(y)} + {w(z)}) END"
+    rows = f"range(0, {n + 1})"
+    show = [f"max({e}) FILTER (gamma = {g}) AS {m}_{s}" for g, s in GAMMAS.items() for m, e in (("dilate", "0.5 * shape + 0.5 * temporal"), ("shape", "shape"), ("temporal", "temporal"))]
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+w AS (
+  SELECT a.vec_id, gamma, a.e AS a, b.e AS p, 1 AS d, [1e8 for i in {rows}] AS r1, [CASE WHEN i = 0 THEN 0.0 ELSE 1e8 END for i in {rows}] AS r2, [0.0::DOUBLE for i in {rows}] AS s1, [0.0::DOUBLE for i in {rows}] AS s2
+  FROM v a JOIN v b ON b.vec_id = a.vec_id + 1, (SELECT unnest({list(GAMMAS)}) AS gamma)
+  UNION ALL
+  SELECT vec_id, gamma, a, p, d + 1, list_transform({rows}, lambda i: {best}), r1, list_transform({rows}, lambda i: {slope}), s1 FROM w WHERE d < {2 * n}),
+u AS (SELECT vec_id, gamma, r1[{n + 1}] AS shape, s1[{n + 1}] / {n * n} AS temporal FROM w WHERE d = {2 * n}),
+k AS (SELECT vec_id, {', '.join(show)} FROM u GROUP BY vec_id)
+SELECT vec_id, {', '.join(f'{R(c)} AS {c}' for c in COLUMNS)} FROM k"""
+
+
+@query("eva15_dilate", _full_dilate_sql(64))
 def eva15(t: Tables):
     a = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("actual"))
     b = t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").cast("array<double>").alias("pred"))

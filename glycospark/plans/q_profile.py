@@ -9,7 +9,7 @@ from ..operators import clean as C, features as X, profile as P, sleep as Sl
 from ..operators.blocks import DAY, Keys
 from .catalog import GRID_KEYS, R, RAW_KEYS, SER, STEP, Tables, epoch, grid_sql, query, r, series
 from .preprocess import physiological_features, preprocess
-from .q_features import WEARABLE, _wearable
+from .q_features import WEARABLE, _wearable, temp_sql
 from .q_metrics import rounded
 
 HOUR = 3600
@@ -21,13 +21,16 @@ def _kern(name: str, kernel) -> str:
 
 
 def _features_sql(base: str, dose: str) -> str:
-    return f"""{base}, {_kern('kc', carb_kernel(60))}, {_kern('ki', insulin_kernel(60))},
-d AS (SELECT p_num, t, pos, bg, food, rate, {dose} AS dose FROM gd),
-c AS (SELECT p_num, t + k * {HOUR} AS t, sum(food * a) AS ca, sum(food * b) AS cob FROM d, kc WHERE food IS NOT NULL GROUP BY 1, 2),
-i AS (SELECT p_num, t + k * {HOUR} AS t, sum(dose * a) AS ia, sum(dose * b) AS iob FROM d, ki WHERE dose > 0 GROUP BY 1, 2)
-SELECT d.p_num, d.t, {R('d.bg', 2)} AS bg_mM, {R('d.dose', 2)} AS dose_units, {R('coalesce(cob, 0)', 2)} AS cob, {R('coalesce(ca, 0)', 2)} AS carb_availability,
-  {R('coalesce(iob, 0)', 2)} AS iob, {R('coalesce(ia, 0)', 2)} AS insulin_availability, {R('sin(2 * pi() * ((d.t % 86400) // 60) / 1440)')} AS hour_sin
-FROM d LEFT JOIN c ON c.p_num = d.p_num AND c.t = d.t LEFT JOIN i ON i.p_num = d.p_num AND i.t = d.t"""
+    """Kernel sums as sums over the slots before; the grid is complete."""
+    before = lambda c, weights: " + ".join(f"coalesce(lag({c}, {k}) OVER w, 0) * {x!r}" for k, x in enumerate(weights))
+    (ca, cob), (ia, iob) = carb_kernel(60), insulin_kernel(60)
+    return f"""{base},
+d AS MATERIALIZED (SELECT p_num, t, bg, food, {dose} AS dose FROM gd),
+x AS (SELECT p_num, t, bg, food, dose, CASE WHEN dose > 0 THEN dose END AS given FROM d),
+y AS (SELECT *, {before('food', ca)} AS ca, {before('food', cob)} AS cob, {before('given', ia)} AS ia, {before('given', iob)} AS iob FROM x WINDOW w AS (PARTITION BY p_num ORDER BY t))
+SELECT p_num, t, {R('bg', 2)} AS bg_mM, {R('dose', 2)} AS dose_units, {R('cob', 2)} AS cob, {R('ca', 2)} AS carb_availability,
+  {R('iob', 2)} AS iob, {R('ia', 2)} AS insulin_availability, {R('sin(2 * pi() * ((t % 86400) // 60) / 1440)')} AS hour_sin
+FROM y"""
 
 
 _FFILL = "dose + coalesce(last_value(rate IGNORE NULLS) OVER (PARTITION BY p_num ORDER BY t ROWS UNBOUNDED PRECEDING), 0)"
@@ -44,11 +47,7 @@ def phy3(t: Tables):
     return out.select("p_num", epoch(), *[(F.col(c) + 0).alias(c) for c in _COLS], (r("hour_sin") + 0).alias("hour_sin"))
 
 
-_TEMP = f"""{_HOURLY}, op AS (SELECT *, max(CASE WHEN rate IS NOT NULL THEN pos END) OVER (PARTITION BY p_num ORDER BY t) AS op FROM g),
-gd AS (SELECT op.*, o.rate AS r0, o.dur AS d0 FROM op LEFT JOIN g o ON o.p_num = op.p_num AND o.pos = op.op)"""
-
-
-@query("phy4_preprocess_temp_basal", "WITH " + _features_sql(_TEMP, "dose + CASE WHEN pos - op < floor(d0 / 60) THEN r0 ELSE 0 END"))
+@query("phy4_preprocess_temp_basal", "WITH " + _features_sql(f"{temp_sql(HOUR)}, gd AS (SELECT * FROM o)", "dose + CASE WHEN pos - op < floor(d0 / 60) THEN r0 ELSE 0 END"))
 def phy4(t: Tables):
     out = preprocess(series(t).drop("msg_type"), HOUR, use_aggregation=True, delivery="temp", tie=("event_id",), keys=HOUR_KEYS)
     return out.select("p_num", epoch(), *[(F.col(c) + 0).alias(c) for c in _COLS], (r("hour_sin") + 0).alias("hour_sin"))

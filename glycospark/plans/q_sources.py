@@ -517,13 +517,6 @@ def src16(t: Tables):
     return rounded(Rn.prediction_actual(t.spark.read.parquet(path)), "forecast", "actual")
 
 
-@query("src16_legacy_results", """
-SELECT CAST(l_suppkey AS VARCHAR) AS patient_id, count(DISTINCT l_orderkey) AS n_episodes, count(*) AS n_values, round(sum(l_quantity), 4) + 0.0 AS total
-FROM lineitem WHERE l_suppkey <= 10 GROUP BY 1""")
-def src16_legacy(t: Tables):
-    return _legacy_totals(t).where(F.col("patient_id").cast("bigint") <= 10)
-
-
 @query("src16_legacy_results_all", """
 SELECT CAST(l_suppkey AS VARCHAR) AS patient_id, count(DISTINCT l_orderkey) AS n_episodes, count(*) AS n_values, round(sum(l_quantity), 4) + 0.0 AS total
 FROM lineitem GROUP BY 1""")
