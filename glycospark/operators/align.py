@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -216,7 +217,7 @@ def attach_closest(readings: DataFrame, messages: DataFrame, keys: Keys = Keys()
     marks = readings.select(*by, t).distinct().withColumn("_kind", F.lit(0)).unionByName(
         messages.withColumn("_kind", F.lit(1)), allowMissingColumns=True
     )
-    k = Keys(keys.by, t, ("_kind", *keys.tie), keys.block)
+    k = replace(keys, tie=("_kind", *keys.tie))
     reading_time = F.when(F.col("_kind") == 0, F.col(t))
     seen = scan(marks, k, _a=Carry("last", reading_time), _b=Carry("next", reading_time)).where("_kind = 1")
     us = micros

@@ -12,7 +12,8 @@ partitioned by (patient, time block) instead:
   summaries, whose number per patient is bounded by the calendar, are windowed by
   patient, and the carried values are joined back to the block.
 
-On a regular grid a block holds at most ``block / step`` rows.
+On a regular grid a block holds at most ``block / step`` rows.  A raw series may have any
+number of rows in a time; :func:`cut` then takes ranges of like row count for blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timefn import seconds
-from ..session import scratch
+from ..session import scratch, settle
 
 DAY = 86_400
 WEEK = 7 * DAY
@@ -39,6 +40,8 @@ class Keys:
     time: str = "datetime"
     tie: tuple[str, ...] = ()
     block: int = WEEK
+    #: Rows that a block may hold; 0 if the time bounds them, as on a grid.
+    rows: int = 0
 
     def second(self) -> Column:
         return seconds(F.col(self.time))
@@ -60,19 +63,68 @@ class Keys:
         return Window.partitionBy(*self.by, BLOCK).orderBy(*[c.desc() for c in self.order()])
 
 
+def cut(df: DataFrame, keys: Keys) -> tuple[DataFrame, bool]:
+    """The rows with their block, and whether blocks are ranges of rows instead of times.
+
+    Blocks are spans of ``keys.block`` seconds.  With ``keys.rows``, one aggregate looks at
+    the fullest of them; if it holds more, the table is cut into ranges of like row count in
+    the order of (key, time, tie) and written to the shared folder with their numbers.  So a
+    patient with most of the rows in one day is spread like any other.  Only rows that are
+    equal in all of these stay together.
+    """
+    timed = df.withColumn(BLOCK, keys.block_of(keys.second()))
+    if not keys.rows:
+        return timed, False
+    sizes = timed.groupBy(*keys.by, BLOCK).agg(F.count("*").alias("n"))
+    seen = sizes.agg(F.max("n").alias("fullest"), F.sum("n").alias("all")).first()
+    if (seen["fullest"] or 0) <= keys.rows:
+        return timed, False
+    parts = -(-2 * seen["all"] // keys.rows)  # bounds come from a sample, so aim at half
+    ranged = df.repartitionByRange(int(parts), *keys.by, keys.time, *keys.tie)
+    return settle(ranged.withColumn(BLOCK, F.spark_partition_id().cast("long")), "ranges"), True
+
+
 def halo(df: DataFrame, keys: Keys, back: int = 0, ahead: int = 0) -> DataFrame:
     """Copy rows into every block whose own rows may look at them.
 
     ``back`` and ``ahead`` are the seconds a row looks back and ahead.  Compute on
     ``keys.window()`` and finish with :func:`own`.
     """
-    home = keys.block_of(keys.second())
+    base, ranged = cut(df, keys)
+    if ranged:
+        return _halo_of_ranges(base, keys, back, ahead)
     first = keys.block_of(keys.second() - F.lit(ahead))
     last = keys.block_of(keys.second() + F.lit(back))
-    spread = df.withColumn("_home", home).withColumn(BLOCK, F.explode(F.sequence(first, last)))
+    spread = base.withColumnRenamed(BLOCK, "_home").withColumn(BLOCK, F.explode(F.sequence(first, last)))
     return spread.withColumn(OWN, F.col(BLOCK) == F.col("_home")).drop("_home")
 
 
+def _halo_of_ranges(base: DataFrame, keys: Keys, back: int, ahead: int) -> DataFrame:
+    """The same where blocks are ranges of rows.
+
+    The ranges of a key follow each other in time, so those within reach of one are its
+    neighbours, a few to either side; the rows of a range are tested against these only.
+    """
+    by, t = list(keys.by), keys.second()
+    parts = settle(base.groupBy(*by, BLOCK).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi")), "parts")
+    beside = 2
+    while True:
+        w = Window.partitionBy(*by).orderBy(BLOCK)
+        # a row at r belongs to the ranges from the one that still looks ahead to it to the one that still looks back
+        reach = lambda q: (q["_lo"] - back <= F.col("_hi")) & (q["_hi"] + ahead >= F.col("_lo"))
+        near = parts.withColumn("_all", F.collect_list(F.struct(BLOCK, "_lo", "_hi")).over(w.rowsBetween(-beside, beside)))
+        outer = lambda k: F.coalesce(reach(F.lag(F.struct("_lo", "_hi"), k).over(w)), F.lit(False))
+        near = near.withColumn("_more", outer(beside + 1) | outer(-beside - 1))
+        if near.where("_more").isEmpty():
+            break
+        beside *= 2
+    near = near.select(*by, F.col(BLOCK).alias("_home"), F.filter("_all", reach).alias("_near"))
+    rows = base.withColumnRenamed(BLOCK, "_home").withColumn("_t", t).join(near, [*by, "_home"])
+    hit = F.filter("_near", lambda q: (q[BLOCK] == F.col("_home")) | (F.col("_t") >= q["_lo"] - back) & (F.col("_t") <= q["_hi"] + ahead))
+    spread = rows.withColumn(BLOCK, F.explode(F.transform(hit, lambda q: q[BLOCK])))
+    return spread.withColumn(OWN, F.col(BLOCK) == F.col("_home")).drop("_home", "_near", "_t")
+
+
 def own(df: DataFrame) -> DataFrame:
     return df.where(F.col(OWN)).drop(OWN, BLOCK)
 
@@ -98,7 +150,7 @@ class Carry:
 
 def scan(df: DataFrame, keys: Keys, **carries: Carry) -> DataFrame:
     """Add one column per :class:`Carry`."""
-    base = df.withColumn(BLOCK, keys.block_of(keys.second()))
+    base, _ = cut(df, keys)
     for name, c in carries.items():
         base = base.withColumn(f"_v_{name}", c.value)
 

@@ -242,7 +242,7 @@ def cgm_features(df: DataFrame, keys: Keys = GRID_KEYS, col: str = "bg_mM") -> D
     hour = F.hour(keys.time)
     out = near.withColumns(
         {
-            "glucose_roc": (v - F.col("_p.v")) / mins,
+            "glucose_roc": F.try_divide(v - F.col("_p.v"), mins),  # NULL between readings of one stamp
             "mean_1h": F.avg(v).over(h1),
             "std_1h": F.stddev_samp(v).over(h1),
             "mean_3h": F.avg(v).over(h3),

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timefn import micros
-from .blocks import BLOCK, OWN, Carry, Keys, halo, keep_last, own, scan
+from .blocks import BLOCK, OWN, Carry, Keys, cut, halo, keep_last, own, scan
 
 GRID_KEYS = Keys()
 
@@ -116,7 +117,7 @@ def number_segments(marked: DataFrame, keys: Keys, min_rows: int) -> DataFrame:
     stays spread.
     """
     by = list(keys.by)
-    rows = marked.withColumn(BLOCK, keys.block_of(keys.second()))
+    rows, _ = cut(marked, keys)
     parts = rows.groupBy(*by, BLOCK, "_run").agg(F.count("*").alias("_n"))
     parts = _numbered_runs(parts, by, min_rows)
     return rows.join(parts, [*by, BLOCK, "_run"]).drop(BLOCK, "_run").withColumn("segment_id", _segment_name(by))
@@ -178,7 +179,7 @@ def split_on_breaks(df: DataFrame, step: int, min_rows: int, keys: Keys, order:
     """
     single = keep_last(df, [*keys.by, keys.time], order) if order is not None else df
     now = micros(F.col(keys.time))
-    k = Keys(keys.by, keys.time, (), keys.block)
+    k = replace(keys, tie=())
     lagged = scan(single, k, _p=Carry("prev", now))
     start = F.when(F.col("_p").isNull() | (now - F.col("_p") != step * 1_000_000), now)
     marked = scan(lagged.withColumn("_st", start), k, _run=Carry("last", F.col("_st"))).drop("_st", "_p")

@@ -26,7 +26,7 @@ ORACLES: dict[str, str] = {}
 STEP = 21_600  # six-hour slots: about 120 per user
 US = 1_000_000
 GRID_KEYS = Keys(block=8 * DAY)
-RAW_KEYS = Keys(tie=("event_id",), block=2 * DAY)
+RAW_KEYS = Keys(tie=("event_id",), block=2 * DAY, rows=200_000)
 
 
 @dataclass
