@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -57,6 +57,179 @@ def online_bins(stream: DataFrame, step: int, watermark: str, drop: Sequence[str
     return out.withColumn("datetime", from_seconds(slot)).drop("_w")
 
 
+class _OpenBins(StatefulProcessor):
+    """Sums and counts of a patient's open slots; a slot is closed when the deadline passes its end."""
+
+    def __init__(self, step: int, columns: Sequence[str], slack_ms: int):
+        self.step, self.columns, self.slack_ms = step, list(columns), slack_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        fields = ", ".join(f"s_{c} double, n_{c} bigint" for c in self.columns)
+        self.open = handle.getMapState("open", "slot bigint", f"rows bigint, {fields}")
+
+    def _close_at(self, slot: int) -> int:
+        """When the stream's watermark, which trails the deadline by the slack, says that the slot is over."""
+        return (slot + self.step - self.step // 2) * 1000 - self.slack_ms
+
+    def _frame(self, kind: str, who, rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=["epoch", "n_rows", *self.columns])
+        frame.insert(0, "p_num", who)
+        frame.insert(0, "kind", kind)
+        return frame
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            ended = (frame["slot"].to_numpy() + self.step - self.step // 2) * 1000 - self.slack_ms <= mark
+            if ended.any():
+                late = frame[ended]
+                values = [[None if x != x else x for x in late[c].tolist()] for c in self.columns]
+                yield self._frame("late", key[0], list(zip(late["epoch"].tolist(), [1] * len(late), *values)))
+            frame = frame[~ended]
+            for slot, part in frame.groupby("slot"):
+                slot = int(slot)
+                old = self.open.getValue((slot,)) if self.open.containsKey((slot,)) else None
+                if old is None:
+                    self.handle.registerTimer(self._close_at(slot))
+                new = [len(part) + (old[0] if old else 0)]
+                for k, c in enumerate(self.columns):
+                    known = part[c].dropna()
+                    new += [float(known.sum()) + (old[1 + 2 * k] if old else 0.0), len(known) + (old[2 + 2 * k] if old else 0)]
+                self.open.updateValue((slot,), tuple(new))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, out = timerValues.getCurrentWatermarkInMs(), []
+        for slot in sorted(s for (s,) in self.open.keys()):
+            if self._close_at(slot) <= mark:
+                v = self.open.getValue((slot,))
+                out.append((slot, v[0], *[v[1 + 2 * k] / v[2 + 2 * k] if v[2 + 2 * k] else None for k in range(len(self.columns))]))
+                self.open.removeKey((slot,))
+        if out:
+            yield self._frame("bin", key[0], out)
+
+    def close(self) -> None:
+        pass
+
+
+def bins_with_late(stream: DataFrame, step: int, columns: Sequence[str], delay: int, grace: int) -> DataFrame:
+    """Closed slots with the means of ``columns``, and the rows that came too late for theirs (STR2).
+
+    One state serves both: rows ``kind = 'bin'`` (epoch: the slot) and ``kind = 'late'``
+    (epoch and values of the row itself).  A slot closes ``delay`` seconds behind the newest
+    stamp and leaves the state.  Rows up to ``grace`` seconds behind that are handed on as
+    late; what is later still is dropped by the stream and counted, see :func:`late_rows`.
+    Slots are rounded to the nearest, as in :func:`online_bins`.
+    """
+    p_type = dict(stream.dtypes)["p_num"]
+    epoch = F.unix_seconds("datetime")
+    slot = F.floor((epoch + step // 2) / step) * step
+    rows = stream.withWatermark("datetime", f"{delay + grace} seconds").select(
+        "p_num", "datetime", epoch.alias("epoch"), slot.cast("bigint").alias("slot"), *[F.col(c).cast("double").alias(c) for c in columns]
+    )
+    fields = ", ".join(f"{c} double" for c in columns)
+    return rows.groupBy("p_num").transformWithStateInPandas(
+        _OpenBins(step, columns, grace * 1000), f"kind string, p_num {p_type}, epoch bigint, n_rows bigint, {fields}", "append", "eventTime"
+    )
+
+
+def to_two_sinks(stream: DataFrame, bins: str, late: str, checkpoint: str) -> StreamingQuery:
+    """Write what :func:`bins_with_late` gives, a folder for each micro-batch and kind; a replayed batch replaces its own."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for kind, path in (("bin", bins), ("late", late)):
+            batch.where(F.col("kind") == kind).drop("kind").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.unpersist()
+
+    return stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _OrderedPatient(StatefulProcessor):
+    """Holds a patient's rows until the watermark has passed them, and then takes them in order."""
+
+    def __init__(self, step: int):
+        self.step, self.iob, self.horizon = step, insulin_kernel(step // 60)[1], ACTION_MINUTES * 60
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "epoch bigint, bg_mM double, dose_units double")
+        self.done = handle.getValueState("done", "last bigint, segment int, times array<bigint>, doses array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            if len(frame):
+                frame = frame[["epoch", "bg_mM", "dose_units"]]
+                self.waiting.appendList([tuple(None if x != x else x for x in r) for r in zip(*(frame[c].tolist() for c in frame))])
+                first = min(first or 1 << 62, int(frame["epoch"].min()))
+        if first is not None:
+            self.handle.registerTimer(first * 1000 - 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get(), key=lambda r: (r[0], repr(r)))
+        ready = [r for r in held if r[0] * 1000 <= limit]
+        if not ready:
+            return
+        later = held[len(ready) :]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] * 1000 - 1)
+        else:
+            self.waiting.clear()
+        last, segment, times, doses = self.done.get() if self.done.exists() else (None, -1, [], [])
+        live = list(zip(times, doses))
+        out = []
+        for t, bg, dose in ready:
+            if last is None or t - last not in (0, self.step):
+                segment += 1
+            last = t
+            if dose is not None and dose > 0:
+                live.append((t, dose))
+            live = [(a, d) for a, d in live if t - a < self.horizon]
+            out.append((t, bg, segment, sum(d * self.iob[(t - a) // self.step] for a, d in live)))
+        self.done.update((last, segment, [a for a, _ in live], [d for _, d in live]))
+        frame = pd.DataFrame(out, columns=["epoch", "bg_mM", "segment_no", "iob"])
+        frame.insert(0, "p_num", key[0])
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_state(stream: DataFrame, step: int, watermark: str) -> DataFrame:
+    """Segment number and trailing insulin on board in event order, whatever the order of arrival (STR3).
+
+    Rows wait in the patient's state until the watermark has passed them; then a timer of
+    the patient fires and they are taken in the order of their stamps.  So files that arrive
+    out of order within the watermark give what sorted files give.  Rows behind the
+    watermark are left out and counted by the stream, see :func:`late_rows`.  The state of a
+    patient is the rows within the watermark, the open segment and the doses of the last
+    three hours.  Rows of one stamp stay in one segment.
+
+    ``datetime`` must be a TIMESTAMP; needs the state store that ``session.prepare`` names.
+    """
+    p_type = dict(stream.dtypes)["p_num"]
+    rows = stream.withWatermark("datetime", watermark).select(
+        "p_num", "datetime", F.unix_seconds("datetime").alias("epoch"), F.col("bg_mM").cast("double"), F.col("dose_units").cast("double")
+    )
+    return rows.groupBy("p_num").transformWithStateInPandas(
+        _OrderedPatient(step), f"p_num {p_type}, epoch bigint, bg_mM double, segment_no int, iob double", "append", "eventTime"
+    )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark, over the batches whose progress the query still holds."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
+
+
+def state_rows(query: StreamingQuery) -> list[int]:
+    """Rows held in state after each batch whose progress the query still holds."""
+    return [sum(int(o["numRowsTotal"]) for o in p["stateOperators"]) for p in query.recentProgress]
+
+
 def online_state(stream: DataFrame, step: int) -> DataFrame:
     """Segment number and trailing insulin on board per patient (STR3).
 
