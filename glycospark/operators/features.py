@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.kernels import carb_kernel, insulin_kernel
+from ..functions.kernels import as_exponentials, carb_kernel, insulin_kernel
 from ..functions.timefn import cyclic, from_seconds, micros, seconds, weekday
 from .blocks import affine_scan, halo, number_rows, own, scan, text_rank, value_prefix, with_row, BLOCK, Carry, Keys, OWN
 from .clean import same_resolution
@@ -89,26 +89,82 @@ def convolve(
 
 def convolve_grid(
     df: DataFrame, responses: Mapping[str, Mapping[str, Sequence[float]]], step: int, keys: Keys = GRID_KEYS,
-    positive_only: Sequence[str] = (),
+    positive_only: Sequence[str] = (), decays: Mapping[str, Sequence[float]] = {},
 ) -> DataFrame:
     """Kernel sums on a complete grid: one halo, no join (JOIN8).
 
-    ``responses`` maps an amount column to its named kernels.  On a complete grid a
-    lag of k rows is a lag of k steps.
+    ``responses`` maps an amount column to its named kernels.  On a complete grid a lag of
+    k rows is a lag of k steps, and a short kernel is a sum of lags.  A long one that is a
+    sum of exponentials with the given ``decays`` is a few differences of running sums,
+    however many steps it has.
     """
     longest = max(len(k) for ks in responses.values() for k in ks.values())
     w = keys.window()
     lags, out = {}, {}
+    near = halo(df, keys, back=(longest - 1) * step)
+    sums: list[str] = []
     for value, kernels in responses.items():
         amount = F.when(F.col(value) > 0, F.col(value)) if value in positive_only else F.col(value)
         amount = F.coalesce(amount, F.lit(0.0))
-        for k in range(max(len(v) for v in kernels.values())):
+        size = max(len(v) for v in kernels.values())
+        terms = _exponential_terms(kernels, decays.get(value, ()), keys.block // step + longest) if size > _LAGS else None
+        if terms:
+            near, made = _running_sums(near, value, amount, size, {(d, q) for ts, _ in terms.values() for _, d, q in ts}, w)
+            sums += made
+            for name, (ts, extra) in terms.items():
+                out[name] = sum((F.lit(c) * F.col(_sum_name(value, d, q)) for c, d, q in ts), F.lit(extra) * amount)
+            continue
+        for k in range(size):
             lags[f"_l_{value}_{k}"] = F.coalesce(F.lag(amount, k).over(w), F.lit(0.0)) if k else amount
         for name, weights in kernels.items():
-            terms = [F.col(f"_l_{value}_{k}") * F.lit(float(x)) for k, x in enumerate(weights) if x != 0]
-            out[name] = sum(terms[1:], terms[0]) if terms else F.lit(0.0)
-    near = halo(df, keys, back=(longest - 1) * step).withColumns(lags)
-    return own(near.withColumns(out).drop(*lags))
+            parts = [F.col(f"_l_{value}_{k}") * F.lit(float(x)) for k, x in enumerate(weights) if x != 0]
+            out[name] = sum(parts[1:], parts[0]) if parts else F.lit(0.0)
+    near = near.withColumns(lags) if lags else near
+    return own(near.withColumns(out).drop(*lags, *sums))
+
+
+#: Longer kernels are not written as a lag for each step.
+_LAGS = 48
+
+
+def _exponential_terms(kernels: Mapping[str, Sequence[float]], decays: Sequence[float], rows: int):
+    """The kernels' terms, if all are sums of exponentials whose powers over a block's rows are doubles."""
+    if not decays or any(q <= 0 or -math.log(q) * rows > 600 for q in decays):
+        return None
+    terms = {name: as_exponentials(weights, decays) for name, weights in kernels.items()}
+    return terms if all(terms.values()) and len({len(k) for k in kernels.values()}) == 1 else None
+
+
+def _sum_name(value: str, d: int, q: float) -> str:
+    return f"_e_{value}_{d}_{str(q).replace('.', '_')}"
+
+
+def _running_sums(near: DataFrame, value: str, amount: Column, size: int, basis: set[tuple[int, float]], w) -> tuple[DataFrame, list[str]]:
+    """For each (d, q) the sum of ``k**d * q**k`` times the amount k rows ago, over the last ``size`` rows.
+
+    With the row's number i in its block, q**i * sum(u / q**j) is the sum over all rows
+    before; what is older than the kernel is the same sum at the row where it ends.  Growing
+    weights keep the older part the smaller one, so the difference loses no digits.
+    """
+    number = "_i"
+    near = near.withColumns({number: F.row_number().over(w).cast("double"), "_u": amount})
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    qs = sorted({q for _, q in basis})
+    raw = {}
+    for n, q in enumerate(qs):
+        grown = F.col("_u") * F.pow(F.lit(q), -F.col(number))
+        raw[f"_r0_{n}"] = F.sum(grown).over(run)
+        if (1, q) in basis:
+            raw[f"_r1_{n}"] = F.sum(grown * F.col(number)).over(run)
+    near = near.withColumns(raw)
+    near = near.withColumns({c: F.col(c) - F.coalesce(F.lag(c, size).over(w), F.lit(0.0)) for c in raw})
+    out = {}
+    for d, q in basis:
+        n = qs.index(q)
+        back = F.pow(F.lit(q), F.col(number))
+        total = F.col(f"_r0_{n}")
+        out[_sum_name(value, d, q)] = back * (F.col(number) * total - F.col(f"_r1_{n}") if d else total)
+    return near.withColumns(out).drop(number, "_u", *raw), list(out)
 
 
 def carbs_on_board(df: DataFrame, step: int, keys: Keys = GRID_KEYS) -> DataFrame:

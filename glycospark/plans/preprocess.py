@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.kernels import carb_kernel, insulin_kernel
+from ..functions.kernels import carb_decays, carb_kernel, insulin_decays, insulin_kernel
 from ..operators import clean as C, features as X
 from ..operators.align import asof_grid, regularize
 from ..operators.blocks import Carry, Keys, scan
@@ -16,13 +16,13 @@ OUTPUTS = {"food_g": ("carb_availability", "cob"), "dose_units": ("insulin_avail
 
 
 def physiological_features(
-    df: DataFrame, step: int, use_aggregation: bool = True, delivery: str | None = None, tie: Sequence[str] = (), keys: Keys = Keys()
+    df: DataFrame, step: int, use_aggregation: bool = True, delivery: str | None = None, tie: Sequence[str] = (), keys: Keys = Keys(), precise: bool = False
 ) -> DataFrame:
     """Regularise, roll basal over, carbs and insulin on board, time of day, round (PHY3).
 
     A patient without any food (dose) value gets NULL on-board columns.  After
     aggregation every filled slot has a value, so only the as-of grid needs the
-    check, and it shares a scan.
+    check, and it shares a scan.  ``precise`` leaves out the rounding.
     """
     grid = regularize(df, step, tie) if use_aggregation else asof_grid(df, step, "forward", keys, tie)
     if {"rate", "dose_units"} <= set(grid.columns):
@@ -36,14 +36,16 @@ def physiological_features(
         grid = scan(grid, keys, **seen)
     kernels = {"food_g": carb_kernel(step // 60), "dose_units": insulin_kernel(step // 60)}
     responses = {c: dict(zip(OUTPUTS[c], kernels[c])) for c in have}
-    out = X.convolve_grid(grid, responses, step, keys, positive_only=("dose_units",)) if responses else grid
+    decays = {"food_g": carb_decays(step // 60), "dose_units": insulin_decays(step // 60)}
+    out = X.convolve_grid(grid, responses, step, keys, positive_only=("dose_units",), decays=decays) if responses else grid
     for c, names in OUTPUTS.items():
         for name in names:
             if c not in have:
                 out = out.withColumn(name, F.lit(None).cast("double"))
             elif c in check:
                 out = out.withColumn(name, F.when(F.col(f"_seen_{c}") > 0, F.col(name)))
-    return C.reduce_precision(X.time_of_day(out.drop(*[f"_seen_{c}" for c in check])))
+    out = X.time_of_day(out.drop(*[f"_seen_{c}" for c in check]))
+    return out if precise else C.reduce_precision(out)
 
 
 def preprocess(df: DataFrame, step: int, **kw) -> DataFrame:

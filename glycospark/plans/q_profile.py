@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import carb_kernel, insulin_kernel
 from ..operators import clean as C, features as X, profile as P, sleep as Sl
 from ..operators.blocks import DAY, Keys
-from .catalog import GRID_KEYS, R, RAW_KEYS, SER, STEP, Tables, epoch, grid_sql, query, r, series
+from .catalog import GRID_KEYS, R, RAW_KEYS, SER, STEP, Tables, epoch, grid_sql, query, r, round_slot_sql, series
 from .preprocess import physiological_features, preprocess
 from .q_features import WEARABLE, _wearable, temp_sql
 from .q_metrics import rounded
@@ -47,6 +47,34 @@ def phy3(t: Tables):
     return out.select("p_num", epoch(), *[(F.col(c) + 0).alias(c) for c in _COLS], (r("hour_sin") + 0).alias("hour_sin"))
 
 
+_MINUTE = 60
+
+
+def _minute_sql() -> str:
+    def kern(name, kernel):
+        return f"{name}(k, a, b) AS (VALUES " + ", ".join(f"({i}, {a!r}, {b!r})" for i, (a, b) in enumerate(zip(*kernel))) + ")"
+
+    slot = round_slot_sql("us", _MINUTE)
+    return f"""
+WITH {SER}, m AS (SELECT p_num, {slot} AS t, coalesce(sum(food), 0) AS food, coalesce(sum(dose), 0) AS dose FROM ser GROUP BY ALL),
+l AS (SELECT p_num, min(t) AS lo, max(t) AS hi FROM m GROUP BY p_num), {kern('kc', carb_kernel(1))}, {kern('ki', insulin_kernel(1))},
+s AS (SELECT p_num, t + 60 * k AS t, food * a AS ca, food * b AS cob, 0.0 AS ia, 0.0 AS iob FROM m, kc WHERE food <> 0
+  UNION ALL SELECT p_num, t + 60 * k, 0.0, 0.0, dose * a, dose * b FROM m, ki WHERE dose > 0)
+SELECT p_num, t // 3600 AS hour, {R('sum(ca)', 4)} AS carb_availability, {R('sum(cob)', 4)} AS cob, {R('sum(ia)', 4)} AS insulin_availability, {R('sum(iob)', 4)} AS iob
+FROM s JOIN l USING (p_num) WHERE t <= hi GROUP BY ALL HAVING sum(ca) + sum(cob) + sum(ia) + sum(iob) > 0.001"""
+
+
+@query("phy3_on_board_by_minute", _minute_sql())
+def phy3_minute(t: Tables):
+    """Kernels of 180 steps on a grid of minutes, as hourly sums where there is something on board."""
+    src = series(t).select("p_num", "datetime", "event_id", "food_g", "dose_units")
+    out = physiological_features(src, _MINUTE, True, None, ("event_id",), Keys(block=DAY), precise=True)
+    cols = ["carb_availability", "cob", "insulin_availability", "iob"]
+    hours = out.groupBy("p_num", F.floor(F.unix_seconds(F.col("datetime").cast("timestamp")) / 3600).cast("bigint").alias("hour")).agg(*[F.sum(c).alias(c) for c in cols])
+    hours = hours.where(sum((F.col(c) for c in cols[1:]), F.col(cols[0])) > 0.001)
+    return hours.select("p_num", "hour", *[(r(c, 4) + 0).alias(c) for c in cols])
+
+
 @query("phy4_preprocess_temp_basal", "WITH " + _features_sql(f"{temp_sql(HOUR)}, gd AS (SELECT * FROM o)", "dose + CASE WHEN pos - op < floor(d0 / 60) THEN r0 ELSE 0 END"))
 def phy4(t: Tables):
     out = preprocess(series(t).drop("msg_type"), HOUR, use_aggregation=True, delivery="temp", tie=("event_id",), keys=HOUR_KEYS)

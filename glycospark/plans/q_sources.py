@@ -382,6 +382,27 @@ def snk2(t: Tables):
     return files.groupBy("partition").agg(F.sum("k").alias("n"), (F.max("k") <= 1000).alias("bounded"))
 
 
+_PACKED = (7, 0.006)  # patients and MB a file
+
+
+@query("snk2_packed_files", f"""
+WITH r AS (SELECT user_id // 50 AS part, user_id, 24 + octet_length(encode('app_' || user_id)) AS b FROM events), u AS (SELECT part, user_id, count(*) AS n, sum(b) AS b FROM r GROUP BY ALL)
+SELECT CAST(part AS INTEGER) AS "partition", CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS bytes, count(*) AS patients, true AS patients_bounded, true AS bytes_bounded, true AS whole FROM u GROUP BY part""")
+def snk2_packed(t: Tables):
+    """What the files hold: no more patients or bytes than allowed, and a patient that fits into a file is in one."""
+    path, (patients, mb) = scratch(t.spark, "snk2"), _PACKED
+    src = _canon(t).select("p_num", "datetime", "event_id", F.col("bg_mM").alias("bg"))
+    Wr.write_packed(src, path, 50, patients, mb)
+    back = t.spark.read.schema("p_num string, datetime timestamp_ntz, event_id bigint, bg double, partition int, batch string").parquet(path)
+    back = back.withColumn("_b", Wr.row_bytes(src))
+    files = back.groupBy("partition", F.col("_metadata.file_path").alias("f")).agg(F.count_distinct("p_num").alias("k"), F.sum("_b").alias("b"))
+    bounds = files.groupBy("partition").agg((F.max("k") <= patients).alias("patients_bounded"), (F.max("b") <= int(mb * 1e6)).alias("bytes_bounded"))
+    each = back.groupBy("partition", "p_num").agg(F.count("*").alias("n"), F.sum("_b").alias("b"), F.count_distinct(F.col("_metadata.file_path")).alias("f"))
+    whole = (F.col("f") == 1) | (F.col("b") > int(mb * 1e6))
+    each = each.groupBy("partition").agg(F.sum("n").alias("n"), F.sum("b").alias("bytes"), F.count("*").alias("patients"), F.bool_and(whole).alias("whole"))
+    return each.join(bounds, "partition")
+
+
 @query("snk3_processed_series", "SELECT 'events' AS dataset, 'app_' || user_id AS p_num, count(*) AS n FROM events GROUP BY ALL")
 def snk3(t: Tables):
     path = scratch(t.spark, "snk3")

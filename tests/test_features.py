@@ -4,7 +4,7 @@ import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
-from glycospark.functions.kernels import carb_kernel, insulin_kernel
+from glycospark.functions.kernels import as_exponentials, carb_decays, carb_kernel, insulin_decays, insulin_kernel
 from glycospark.operators import features as X
 from glycospark.operators.blocks import Keys, affine_scan
 from glycospark.plans.preprocess import physiological_features, preprocess
@@ -141,3 +141,35 @@ def test_centred_mean_matches_pandas(frame, rows, need, centre):
     want = pd.Series(v, dtype=float).rolling(rows, min_periods=need, center=centre).mean()
     got = values(X.centred_average(frame(bg_mM=v), rows, 300, need, keys=HOUR, centre=centre), "smoothed")
     np.testing.assert_allclose(np.array(got, float), want)
+
+
+@pytest.mark.parametrize("ts", [1, 2, 3])
+def test_long_kernels_are_sums_of_exponentials(ts):
+    for kernel, decays in ((carb_kernel(ts), carb_decays(ts)), (insulin_kernel(ts), insulin_decays(ts))):
+        for weights in kernel:
+            terms, extra = as_exponentials(weights, decays)
+            k = np.arange(len(weights))
+            got = sum(c * k.astype(float) ** d * q**k for c, d, q in terms) + extra * (k == 0)
+            np.testing.assert_allclose(got, weights, atol=1e-10)
+    assert as_exponentials(np.sin(np.arange(100)).tolist(), [0.9]) is None
+    assert as_exponentials([1.0, 0.5, 0.25], [0.5]) is None  # too short to tell
+
+
+def test_minute_kernels_match_convolution(frame):
+    """Running sums over blocks, against a plain convolution; nothing is left after the kernel's end."""
+    rng = np.random.default_rng(12)
+    n = 900
+    food = [float(rng.integers(5, 80)) if rng.random() < 0.03 else None for _ in range(n)]
+    dose = [float(rng.random() * 6) if rng.random() < 0.05 else (-1.0 if rng.random() < 0.02 else None) for _ in range(n)]
+    food[500:], dose[500:] = [None] * (n - 500), [None] * (n - 500)
+    df = frame(step_min=1, food_g=food, dose_units=dose)
+    responses = {"food_g": dict(zip(("ca", "cob"), carb_kernel(1))), "dose_units": dict(zip(("ia", "iob"), insulin_kernel(1)))}
+    out = X.convolve_grid(df, responses, 60, Keys(block=7200), ("dose_units",), {"food_g": carb_decays(1), "dose_units": insulin_decays(1)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lag(") < 40
+    for col, amounts, names in (("food_g", food, ("ca", "cob")), ("dose_units", dose, ("ia", "iob"))):
+        u = np.array([a if a is not None and (a > 0 or col == "food_g") else 0.0 for a in amounts])
+        for name in names:
+            want = np.convolve(u, responses[col][name])[:n]
+            np.testing.assert_allclose(values(out, name), want, atol=1e-9)
+            assert abs(np.array(values(out, name))[700:]).max() < 1e-9

@@ -117,7 +117,7 @@ def _noting(monkeypatch, module):
 def test_legacy_results_hold_all_lines_in_bounded_documents(spark, monkeypatch):
     folders = _noting(monkeypatch, q_sources)
     monkeypatch.setattr(q_sources, "_DOCUMENT", 500, raising=False)
-    totals = all_queries()[0]["src16_legacy_results"](spark, FOLDER).collect()
+    totals = all_queries()[0]["src16_legacy_results_all"](spark, FOLDER).collect()
     assert {r.patient_id for r in totals} == {str(k) for k in range(10)}
     lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet").count()
     documents = [json.loads(text) for f in Path(folders["legacy"].removeprefix("file:")).rglob("part-*") for text in f.read_text().splitlines()]
@@ -132,3 +132,37 @@ def test_late_feed_is_written_by_as_many_tasks_as_it_has(spark, monkeypatch):
     monkeypatch.setattr(q_stream, "series", lambda t: series(t).repartition(4))
     assert all_queries()[0]["str2_late_rows_dropped"](spark, FOLDER).count() > 0
     assert len(list(Path(folders["feed"].removeprefix("file:")).glob("part-*"))) > 4
+
+
+def test_packed_files_are_bounded(spark, tmp_path):
+    """Small patients share files, a large one is cut along its time, and none is lost."""
+    import datetime
+
+    import pandas as pd
+
+    start = datetime.datetime(2024, 1, 1)
+    sizes = {f"app_{i}": 5 + 7 * (i % 9) for i in range(40)} | {"app_12": 1500, "app_39": 1}
+    rows = [(p, start + datetime.timedelta(minutes=k), float(k), "x" * (k % 4)) for p, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "p_num string, datetime timestamp_ntz, v double, note string")
+    limit = 4000
+    W.write_packed(df, str(tmp_path / "t"), 20, 6, limit / 1e6)
+    back = spark.read.parquet(str(tmp_path / "t")).withColumn("f", F.input_file_name()).toPandas()
+    assert len(back) == len(rows)
+    back["b"] = back.p_num.str.len() + 16 + back.note.str.len()
+    per = back.groupby("f").agg(k=("p_num", "nunique"), b=("b", "sum"), batches=("batch", "nunique"))
+    assert per.k.max() <= 6 and per.b.max() <= limit and per.batches.max() == 1
+    files = back.groupby("p_num").f.nunique()
+    assert (files.drop("app_12") == 1).all() and files["app_12"] == -(-back[back.p_num == "app_12"].b.sum() // (limit - 25)) 
+    large = back[back.p_num == "app_12"].groupby("batch").datetime.agg(["min", "max"]).sort_values("min")
+    assert (large["max"].iloc[:-1].to_numpy() < large["min"].iloc[1:].to_numpy()).all()
+    assert isinstance(large, pd.DataFrame)
+    # no more files than first fit needs, and a partition holds its patients only
+    assert (back.p_num.str.extract(r"(\d+)$")[0].astype(int) // 20 == back.partition.astype(int)).all()
+
+
+def test_longest_first(spark):
+    sizes = spark.createDataFrame([(0, f"p{i}", b) for i, b in enumerate([60, 50, 50, 40, 30, 30, 10])] + [(1, "q", 100)], "partition int, p_num string, bytes long")
+    got = {(r.partition, r.p_num): r.batch for r in W.pack_patients(sizes, 9, 100).collect()}
+    assert [got[0, f"p{i}"] for i in range(7)] == ["b000", "b001", "b001", "b000", "b002", "b002", "b002"] and got[1, "q"] == "b000"
+    two = {r.p_num: r.batch for r in W.pack_patients(sizes.where("partition = 0"), 2, 1000).collect()}
+    assert sorted(two.values()) == ["b000"] * 2 + ["b001"] * 2 + ["b002"] * 2 + ["b003"]
