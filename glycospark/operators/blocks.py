@@ -383,24 +383,95 @@ def value_prefix(
     return joined.withColumns(out).drop("_b", *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], levels: int = 10) -> DataFrame:
-    """Exact linear-interpolated quantiles of large groups.
+#: Values of a group that one task sorts.
+SORTABLE = 1_000_000
+_CELLS = 64
 
-    Values are counted first; the two order statistics around each quantile are
-    found by their running counts, so no task ever holds a whole group.
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float], limit: int = SORTABLE) -> DataFrame:
+    """Exact linear-interpolated quantiles of groups of any size, by selection.
+
+    Groups of up to ``limit`` values are sorted.  For a larger one, approximate percentiles
+    with a proven error give a bracket around each quantile; what lies below is counted,
+    and only the values inside go on.  Brackets that still hold too many distinct values are
+    cut into cells, and the cells with the wanted ranks go on, until all are small.  A round
+    leaves a fixed share, so the rounds grow with the logarithm of the group.  ``by`` must
+    not be NULL.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
-    ranked = value_prefix(counts, by, value, {"_less": "_k"}, levels, df)
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("_v"), F.lit(0).alias("_one"))
+    keys = keys or ["_one"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    largest = sizes.agg(F.max("_n").alias("m")).first()["m"] or 0
+    names = list(wanted)
+    if largest <= limit:
+        counts = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_k"))
+        total = F.sum("_k").over(Window.partitionBy(*keys))
+        found = _picked(counts.withColumn("_n", total), keys, {n: wanted[n] for n in names})
+    else:
+        small = rows.join(sizes.where(F.col("_n") <= limit), keys).groupBy(*keys, "_v").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"))
+        found = _picked(small, keys, wanted)
+        inside = _bracketed(rows, sizes.where(F.col("_n") > limit), keys, wanted, limit)
+        parts = [_picked(inside.where(F.col("_q") == i), keys, {n: wanted[n]}) for i, n in enumerate(names)]
+        large = parts[0]
+        for part in parts[1:]:
+            large = large.join(part, keys)
+        found = found.unionByName(large)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *names)
+
+
+def _ranks(n: Column, q: float) -> tuple[Column, Column]:
+    place = F.lit(float(q)) * (n - 1)
+    return F.floor(place), F.least(F.floor(place) + 1, n - 1)
+
+
+def _picked(counts: DataFrame, keys: Sequence[str], wanted: dict[str, float]) -> DataFrame:
+    """Quantiles from counts per value, ``_k`` of ``_n`` in all; a NULL value stands for all that is smaller."""
+    upto = F.sum("_k").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto)
     aggs = []
     for name, q in wanted.items():
-        place = F.lit(float(q)) * (F.col("_less_total") - 1)
-        for tag, rank in (("lo", F.floor(place)), ("hi", F.least(F.floor(place) + 1, F.col("_less_total") - 1))):
-            here = (F.col("_less") <= rank) & (rank < F.col("_less") + F.col("_k"))
-            aggs.append(F.max(F.when(here, F.col(value))).alias(f"_{tag}_{name}"))
-    out = ranked.groupBy(*by).agg(F.max("_less_total").alias("_n"), *aggs)
+        for tag, rank in zip(("lo", "hi"), _ranks(F.col("_n"), q)):
+            here = (F.col("_upto") - F.col("_k") <= rank) & (rank < F.col("_upto"))
+            aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{tag}_{name}"))
+    out = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
     mix = []
     for name, q in wanted.items():
         place = F.lit(float(q)) * (F.col("_n") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         mix.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
-    return out.select(*by, *mix)
+    return out.select(*keys, *mix)
+
+
+def _bracketed(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], wanted: dict[str, float], limit: int) -> DataFrame:
+    """For each large group and quantile ``_q`` the counts of the values around it, and of all below as one NULL row."""
+    accuracy, margin = 10_000, 1e-3
+    probs = [min(1.0, max(0.0, q + side * margin)) for q in wanted.values() for side in (-1, 1)]
+    large = rows.join(sizes, keys)
+    ends = large.groupBy(*keys).agg(F.percentile_approx("_v", probs, accuracy).alias("_p"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # a group too small for its margin to cover the ranks beside a quantile goes on whole
+    sure = F.col("_n") * (margin - 1 / accuracy) > 2
+    brackets = []
+    for i, q in enumerate(wanted.values()):
+        lo = F.when(sure & F.lit(q > margin), F.col("_p")[2 * i]).otherwise(F.col("_min"))
+        hi = F.when(sure & F.lit(q < 1 - margin), F.col("_p")[2 * i + 1]).otherwise(F.col("_max"))
+        brackets.append(F.struct(F.lit(i).alias("_q"), lo.alias("lo"), hi.alias("hi")))
+    ends = settle(ends.join(sizes, keys).select(*keys, F.array(*brackets).alias("_b")), "brackets")
+    met = large.join(ends, keys).withColumn("_in", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])))
+    met = met.withColumn("_v", F.when(F.col("_v") >= F.col("_in.lo"), F.col("_v")))
+    counts = settle(met.groupBy(*keys, F.col("_in._q").alias("_q"), "_v").agg(F.count("*").alias("_k"), F.first("_n").alias("_n")), "inside")
+    group = [*keys, "_q"]
+    while (counts.groupBy(*group).agg(F.count("*").alias("m")).agg(F.max("m").alias("m")).first()["m"] or 0) > limit:
+        cuts = counts.groupBy(*group).agg(F.percentile_approx("_v", [i / _CELLS for i in range(1, _CELLS)], accuracy).alias("_cuts"))
+        celled = counts.join(cuts, group).withColumn("_cell", F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("_v")))))
+        cells = celled.groupBy(*group, "_cell").agg(F.sum("_k").alias("_sum"))
+        before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # at most 65 rows
+        cells = cells.withColumn("_below", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        place = F.element_at(F.array(*[F.lit(float(q)) for q in wanted.values()]), F.col("_q") + 1) * (F.col("_n") - 1)
+        first, last = F.floor(place), F.least(F.floor(place) + 1, F.col("_n") - 1)
+        celled = celled.join(cells, [*group, "_cell"])
+        holds = (F.col("_below") <= last) & (first < F.col("_below") + F.col("_sum")) & (F.col("_cell") >= 0)
+        low = F.col("_below") + F.col("_sum") <= first
+        kept = celled.where(holds | low).withColumn("_v", F.when(holds, F.col("_v")))
+        counts = settle(kept.groupBy(*group, "_v").agg(F.sum("_k").alias("_k"), F.first("_n").alias("_n")), "inside")
+    return counts

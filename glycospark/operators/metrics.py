@@ -280,12 +280,11 @@ def cumulative_rmse(df: DataFrame, checkpoints: Sequence[int], by: Sequence[str]
 
 
 def sample_summary(samples: DataFrame, by: Sequence[str], threshold: float = HYPO) -> DataFrame:
-    """Percentiles and hypo share per step from sample paths (EVA24)."""
-    p = F.percentile(F.col("sample"), F.array(*[F.lit(x) for x in (0.1, 0.25, 0.75, 0.9)]))
-    out = samples.groupBy(*by, "step").agg(
-        p.alias("_p"), F.avg((F.col("sample") < threshold).cast("double")).alias("p_hypo"), F.first("actual").alias("actual")
-    )
-    return out.select(*by, "step", "actual", "p_hypo", *[F.col("_p")[i].alias(n) for i, n in enumerate(("p10", "p25", "p75", "p90"))])
+    """Percentiles and hypo share per step from any number of sample paths (EVA24)."""
+    keys = [*by, "step"]
+    out = samples.groupBy(*keys).agg(F.avg((F.col("sample") < threshold).cast("double")).alias("p_hypo"), F.first("actual").alias("actual"))
+    bands = exact_quantiles(samples, keys, "sample", {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9})
+    return out.join(bands, keys).select(*keys, "actual", "p_hypo", "p10", "p25", "p75", "p90")
 
 
 def sample_calibration(summary: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def test_halo_copies_and_owns_each_row_once(spark):
 def test_exact_quantiles_on_a_hot_group(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.choice(["hot", "b"], 5000, p=[0.9, 0.1]), "v": rng.integers(0, 700, 5000) / 7})
-    out = B.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.1, "m": 0.5, "z": 0.99}, levels=4).toPandas().set_index("g")
+    out = B.exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.1, "m": 0.5, "z": 0.99}, 100).toPandas().set_index("g")
     for g, want in pdf.groupby("g")["v"]:
         np.testing.assert_allclose(out.loc[g, ["a", "m", "z"]].astype(float), want.quantile([0.1, 0.5, 0.99]))
 
@@ -75,3 +76,35 @@ def test_text_rank_is_the_sorted_position(spark):
     out = B.text_rank(df, "name", "rank").orderBy("rank").toPandas()
     assert list(out["rank"]) == list(range(len(names)))
     assert list(out["name"]) == names
+
+
+@pytest.mark.parametrize("limit", [10**6, 3000, 200, 70])
+def test_selection_is_exact_at_every_size(spark, limit):
+    """Groups below and above the limit; ties, few values, rounds of cells."""
+    rng = np.random.default_rng(limit)
+    data = {
+        "big": rng.standard_normal(30_000), "skewed": np.exp(4 * rng.standard_normal(9_000)), "tied": rng.integers(0, 5, 12_000).astype(float),
+        "half": np.r_[np.zeros(4_000), rng.random(4_000)], "small": rng.random(90), "two": np.array([3.0, 1.0]), "one": np.array([7.0]),
+    }
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("small", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    wanted = {"lo": 0.0, "a": 0.1, "m": 0.5, "z": 0.99, "hi": 1.0}
+    got = {r.g: r for r in B.exact_quantiles(df, ["g"], "x", wanted, limit).collect()}
+    assert set(got) == set(data)
+    for k, v in data.items():
+        for name, q in wanted.items():
+            assert got[k][name] == pytest.approx(np.quantile(v, q), rel=1e-12, abs=1e-12), (k, name)
+    whole = B.exact_quantiles(df, [], "x", {"m": 0.5}, limit).collect()
+    assert [r.m for r in whole] == [pytest.approx(np.median(np.concatenate(list(data.values()))))]
+
+
+def test_no_group_is_handed_to_one_task(spark, monkeypatch):
+    """Beyond the limit no sort sees more values of a group than the limit."""
+    seen = []
+    picked = B._picked
+    monkeypatch.setattr(B, "_picked", lambda counts, keys, wanted: seen.append(counts.groupBy(*keys).count().agg({"count": "max"}).first()[0]) or picked(counts, keys, wanted))
+    df = spark.range(40_000).selectExpr("'a' AS g", "cast(hash(id) AS double) AS x")
+    got = B.exact_quantiles(df, ["g"], "x", {"m": 0.5, "z": 0.9}, 500).first()
+    x = sorted(r.x for r in df.collect())
+    assert got.m == pytest.approx(np.quantile(x, 0.5)) and got.z == pytest.approx(np.quantile(x, 0.9))
+    assert max(s or 0 for s in seen) <= 500
