@@ -6,6 +6,7 @@ back through the readers.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ids import canonical_id
@@ -123,6 +124,32 @@ def _sensor_tree(t: Tables) -> str:
     return path
 
 
+@query("src4_quoted_line_breaks", """
+SELECT CAST(event_id AS VARCHAR) AS rec, 'said "' || event_type || '",' || chr(10) || 'then ' || user_id AS note, CAST(user_id AS VARCHAR) AS p_num FROM events
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'plain', CAST(o_custkey AS VARCHAR) FROM orders""")
+def src4_breaks(t: Tables):
+    """Notes of two lines with quotes and commas, beside files of another header without."""
+    path = scratch(t.spark, "sensor")
+    note = F.concat(F.lit('"said ""'), F.col("event_type"), F.lit('"",\nthen '), F.col("user_id").cast("string"), F.lit('"'))
+    one = t.events.select(F.concat_ws(",", F.col("event_id").cast("string"), note, F.col("user_id").cast("string")).alias("value"))
+    two = t.orders.select(F.concat_ws(",", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"), F.lit("plain")).alias("value"))
+    for name, rows, head in (("a", one, "RecID,Note,PtID"), ("b", two, "PtID,RecID,Note")):
+        text = rows.mapInPandas(lambda batches, head=head: _with_head(batches, head), "value string")
+        text.write.text(f"{path}/{name}")
+    out = Src.sensor_csv(t.spark, path, ".txt")
+    return out.select(F.col("RecID").alias("rec"), F.col("Note").alias("note"), F.col("PtID").alias("p_num"))
+
+
+def _with_head(batches, head: str):
+    """Each file begins with its header."""
+    first = True
+    for pdf in batches:
+        if first and len(pdf):
+            pdf = pd.concat([pd.DataFrame({"value": [head]}), pdf])
+            first = False
+        yield pdf
+
+
 @query("src4_expected_columns", """
 SELECT * FROM (VALUES ('RecID', true, (SELECT count(*) FROM events WHERE event_type IN ('click', 'error', 'view'))),
   ('Note', true, (SELECT count(*) FROM events WHERE event_type = 'view')), ('Units', false, 0)) t(name, present, n_set)""")

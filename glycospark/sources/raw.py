@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import csv
 import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from .. import schema as S
@@ -16,6 +15,7 @@ from ..functions.units import clamp_sentinel
 from ..operators.align import first_by, floor_bins, join_bins_keep_last, join_sources, last_by, regularize
 from ..operators.blocks import text_rank
 from ..operators.clean import offset_stamp, parse_stamps, require_columns, suspend_rate
+from ..session import settle
 
 # --- text tables ---------------------------------------------------------------------
 
@@ -100,27 +100,71 @@ def sensor_csv(spark: SparkSession, folder: str, name_part: str = "DataRTCGM") -
 
     Each file has its own header, and columns may stand in any order; what a file lacks is
     NULL.  Files that are not UTF-8 are read as Latin-1.  Lines are read as text, so that
-    one scan finds headers and encodings; only the distinct headers reach the planner.
-    A record is one line.
+    large files are split and one scan finds headers and encodings.  A header is parsed once
+    for its file, to where each column stands; only the distinct column names reach the
+    planner.  Fields may hold line breaks within quotes; see :func:`_records`.
     """
     options = {"recursiveFileLookup": True, "pathGlobFilter": f"*{name_part}*"}
     meta = F.col("_metadata")
     lines = spark.read.options(**options).text(folder).select("value", meta["file_path"].alias("_file"), meta["file_block_start"].alias("_start"))
     lines = lines.withColumn("_n", F.monotonically_increasing_id())
-    files = lines.groupBy("_file").agg(F.min_by("value", F.struct("_start", "_n")).alias("_head"), F.bool_or(~F.is_valid_utf8("value")).alias("_latin"))
-    files = files.withColumn("_head", F.regexp_replace("_head", "^\ufeff", ""))
-    heads = [next(csv.reader([r[0]])) for r in files.select("_head").distinct().collect()]
-    names = list(dict.fromkeys(c for head in heads for c in head))
-    widest = max((len(h) for h in heads), default=0)
-    if not names:
+    files = lines.groupBy("_file").agg(
+        F.min_by("value", F.struct("_start", "_n")).alias("_head"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("_latin"),
+        F.bool_or(_quotes("value") % 2 == 1).alias("_broken"),
+    )
+    files = settle(files.withColumn("_head", F.regexp_replace("_head", "^\ufeff", "")), "files")
+    commas = F.length("_head") - F.length(F.replace("_head", F.lit(",")))
+    seen = files.agg(F.max(commas).alias("commas"), F.bool_or("_broken").alias("broken")).first()
+    if seen["commas"] is None:
         raise ValueError(f"no CSV file with {name_part!r} in its name below {folder}")
-    generic = ", ".join(f"c{i} STRING" for i in range(widest))
-    cells = lambda line: F.from_csv(line, generic)
+    width = seen["commas"] + 1
+    cells = lambda text: F.from_csv(text, ", ".join(f"c{i} STRING" for i in range(width)), {"escape": '"'})
+    flat = lambda c: F.array(*[F.col(f"{c}.c{i}") for i in range(width)])
+    files = files.withColumn("_h", cells(F.col("_head"))).withColumn("_names", flat("_h"))
+    opened = files.select(F.posexplode("_names").alias("place", "name")).where(F.col("name").isNotNull())
+    names = [r["name"] for r in opened.groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()]
+    where = F.array(*[F.array_position("_names", F.lit(n)).cast("int") for n in names])
+    files = files.select("_file", "_head", "_latin", "_broken", where.alias("_where"))
+
     rows = lines.join(files, "_file").withColumn("value", F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value")))
+    if seen["broken"]:
+        whole = rows.where(~F.col("_broken")).select("value", "_head", "_where")
+        rows = whole.unionByName(_records(rows.where("_broken")).join(files, "_file").select("value", "_head", "_where"))
     rows = rows.where(~((F.regexp_replace("value", "^\ufeff", "") == F.col("_head")) | (F.trim("value") == "")))
-    rows = rows.withColumn("_cells", cells(F.col("value"))).withColumn("_heads", cells(F.col("_head")))
-    pick = lambda name: F.coalesce(*[F.when(F.col(f"_heads.c{i}") == name, F.col(f"_cells.c{i}")) for i in range(widest)])
-    return rows.select(*[pick(name).alias(name) for name in names])
+    rows = rows.withColumn("_c", cells(F.col("value"))).select("_where", flat("_c").alias("_cells"))
+    at = lambda i: F.get("_where", F.lit(i))
+    return rows.select(*[F.when(at(i) > 0, F.get("_cells", at(i) - 1)).alias(n) for i, n in enumerate(names)])
+
+
+def _quotes(col: str) -> Column:
+    """Quotes in a line of any encoding."""
+    text = F.decode(F.col(col).cast("binary"), "ISO-8859-1")
+    return F.length(text) - F.length(F.replace(text, F.lit('"')))
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines (value, _file, _start, _n) put together where a quoted field goes on, as (_file, value).
+
+    A line goes on the one before if the quotes ahead of it in its file are odd in number.
+    They are counted within the blocks in which Spark reads a file and carried over them by
+    one row a block, so that a large file is split, wherever its records end.  A record
+    belongs to its first line; its line breaks are line feeds.
+    """
+    lines = settle(lines.select("value", "_file", "_start", "_n", _quotes("value").alias("_q")), "lines")
+    here = Window.partitionBy("_file", "_start").orderBy("_n")
+    before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("_file", "_start").agg(F.sum("_q").alias("_q"))
+    blocks = blocks.select("_file", "_start", F.coalesce(F.sum("_q").over(before), F.lit(0)).alias("_ahead"))
+    ahead = F.col("_ahead") + F.coalesce(F.sum("_q").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = lines.join(blocks, ["_file", "_start"]).withColumn("_first", F.when(ahead % 2 == 0, F.col("_n")))
+    marked = settle(marked.select("value", "_file", "_start", "_n", "_first"), "marked")
+    ends = marked.groupBy("_file", "_start").agg(F.max("_first").alias("_l"))
+    ends = ends.select("_file", "_start", F.last("_l", True).over(before).alias("_carried"))
+    own = F.coalesce(F.last("_first", True).over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carried"))
+    joined = marked.join(ends, ["_file", "_start"]).withColumn("_record", own)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("_n", "value"))), lambda x: x["value"])
+    return joined.groupBy("_file", "_record").agg(F.array_join(parts, "\n").alias("value")).drop("_record")
 
 
 def sensor_report(df: DataFrame, expected: Sequence[str]) -> DataFrame:

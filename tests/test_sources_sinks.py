@@ -96,6 +96,37 @@ def test_latin_files_are_read(spark, tmp_path):
     assert got == [("1", "café"), ("2", "café")]
 
 
+@pytest.mark.parametrize("block", [None, 64, 700])
+def test_records_over_several_lines(spark, tmp_path, block):
+    """Line breaks within quotes, however a file is split; mixed headers and encodings in one tree."""
+    import csv
+    import io
+    import random
+
+    rng = random.Random(block)
+    want, tree = [], {"aDataRTCGM.csv": (["PtID", "Note", "Value"], "utf-8"), "deep/bDataRTCGM.csv": (["Value", "PtID", "Note"], "latin-1"), "cDataRTCGM.csv": (["Note", "PtID"], "utf-8")}
+    for name, (head, encoding) in tree.items():
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(head)
+        for k in range(60):
+            note = rng.choice(["plain", "café", "two\nlines", 'a "quote"', "x,\n\n,y", "\nfirst", "PtID,Note,Value", "four\n\n\nlines"])
+            row = {"PtID": f"{name[0]}{k}", "Note": note if name[0] != "c" else note.replace("\n", " "), "Value": str(k)}
+            writer.writerow([row[c] for c in head])
+            want.append(tuple(row[c] if c in head else None for c in ("PtID", "Note", "Value")))
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(out.getvalue().encode(encoding))
+    if block:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = [tuple(r) for r in R.sensor_csv(spark, str(tmp_path)).select("PtID", "Note", "Value").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_registry():
     with pytest.raises(ValueError, match="unknown data set"):
         R.DEFAULT.about("nothing")
