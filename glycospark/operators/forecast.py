@@ -132,6 +132,10 @@ def check_forecasts(forecasts: DataFrame, by: Sequence[str] = ("episode_id",)) -
     return out.withColumn("state", state)
 
 
+#: Rows of a patient that a transformer gets in one frame, unless the caller says otherwise.
+GROUP_ROWS = 2_000_000
+
+
 def apply_per_patient(
     df: DataFrame,
     transform: Callable[[pd.DataFrame], pd.DataFrame],
@@ -139,16 +143,21 @@ def apply_per_patient(
     by: Sequence[str] = ("p_num",),
     block_seconds: int | None = None,
     time: str = "datetime",
+    most_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """A user's transformer on every patient (UDF3).
 
-    With ``block_seconds`` it runs per patient and time block, which bounds the
-    group; transformers that need the whole series may leave it out.
+    With ``block_seconds`` it runs per patient and time block, which bounds the group.
+    Transformers that need the whole series leave it out; then a patient must not have more
+    than ``most_rows`` rows, which one aggregate checks before any row reaches Python.
     """
-    keys = [F.col(c) for c in by]
     if block_seconds:
-        keys.append(F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / block_seconds).alias("_blk"))
-    return df.groupBy(*keys).applyInPandas(transform, schema)
+        block = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / block_seconds).alias("_blk")
+        return df.groupBy(*by, block).applyInPandas(transform, schema)
+    largest = df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n")).first()
+    if largest and largest["n"] > most_rows:
+        raise ValueError(f"{dict(zip(by, largest))} has {largest['n']} rows, more than {most_rows} for one frame: give block_seconds, or fit by an aggregate (fit_patients)")
+    return df.groupBy(*by).applyInPandas(transform, schema)
 
 
 def fit_patients(df: DataFrame, col: str, by: str = "p_num") -> DataFrame:

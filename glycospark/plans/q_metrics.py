@@ -484,6 +484,20 @@ def udf3(t: Tables):
     return Fc.apply_per_patient(src, centre, "p_num bigint, event_id bigint, centred double", block_seconds=10 * 86_400)
 
 
+@query("udf3_whole_patient_transform", f"""
+SELECT event_id, {R('value - first_value(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS since_first FROM events""")
+def udf3_whole(t: Tables):
+    """A transformer that needs the whole series, behind the check of its size."""
+
+    def since_first(pdf):
+        first = pdf.sort_values(["datetime", "event_id"])["value"].iloc[0]
+        pdf["since_first"] = (pdf["value"] - first).round(6) + 0.0
+        return pdf[["event_id", "since_first"]]
+
+    src = t.events.select(F.col("user_id").alias("p_num"), "event_id", F.col("ts").alias("datetime"), "value")
+    return Fc.apply_per_patient(src, since_first, "event_id bigint, since_first double")
+
+
 @query("udf3_fit_then_transform", f"""
 SELECT event_id, {R('(value - avg(value) OVER w) / stddev_pop(value) OVER w')} AS scaled FROM events WINDOW w AS (PARTITION BY user_id)""")
 def udf3_fit(t: Tables):

@@ -238,6 +238,35 @@ def jdbc_table(spark: SparkSession, url: str, table: str, column: str, low: int,
     )
 
 
+def patient_predicates(groups: DataFrame, parts: int, key: str = "gid", weight: str | None = None) -> list[str]:
+    """Conditions on the database's index of patients that split a table into ranges of like size (SRC7).
+
+    ``groups`` is the patient index, one row a patient, with the number of its rows in
+    ``weight`` if known.  Every key meets exactly one condition.  Bounds come from running
+    sums over the index, which is as long as there are patients; only the bounds reach the
+    driver.
+    """
+    size = F.col(weight).cast("double") if weight else F.lit(1.0)
+    ids = groups.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(size).alias("_n"))
+    ranked = text_rank(ids, key, "_place") if dict(ids.dtypes)[key] == "string" else ids.withColumn("_place", F.col(key))
+    total = ids.agg(F.sum("_n").alias("all")).select("all").scalar()
+    upto = F.sum("_n").over(Window.orderBy("_place"))  # a row a patient
+    share = F.floor((upto - F.col("_n")) * parts / F.nullif(total, F.lit(0.0)))
+    firsts = ranked.withColumn("_part", F.least(share, F.lit(parts - 1))).groupBy("_part").agg(F.min(key).alias("first"))
+    bounds = [r["first"] for r in firsts.where("_part > 0").orderBy("first").collect()]
+    text = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    edges = [None, *map(text, bounds), None]
+    return [" AND ".join([f"{key} >= {a}"] * (a is not None) + [f"{key} < {b}"] * (b is not None)) or f"{key} IS NOT NULL" for a, b in zip(edges, edges[1:])]
+
+
+def jdbc_by_patient(spark: SparkSession, url: str, table: str, predicates: Sequence[str], **options) -> DataFrame:
+    """A database table read with one task for each condition of :func:`patient_predicates` (SRC7).
+
+    Filters and the choice of columns that follow are handed to the database.
+    """
+    return spark.read.jdbc(url, table, predicates=list(predicates), properties={"pushDownPredicate": "true", **{k: str(v) for k, v in options.items()}})
+
+
 def patient_map(groups: DataFrame) -> DataFrame:
     """Distinct (group, patient) pairs (SRC8)."""
     return groups.select("gid", "p_num").distinct().orderBy("gid", "p_num")

@@ -120,3 +120,13 @@ def test_no_exchange_between_forecast_and_episode_row(episodes, data):
     plan = evaluate_nocturnal(episodes, model_of(data[1]), LEVELS)["per_episode"]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "Generate" not in plan
     assert M.supported_levels(LEVELS) == [0.5, 0.8]
+
+
+def test_whole_patients_only_behind_a_size_bound(spark):
+    df = spark.createDataFrame([("a", k) for k in range(20)] + [("b", 1)], "p_num string, v long")
+    count = lambda pdf: pd.DataFrame({"p_num": [pdf["p_num"].iloc[0]], "n": [len(pdf)]})
+    out = Fc.apply_per_patient(df, count, "p_num string, n long")
+    assert sorted(map(tuple, out.collect())) == [("a", 20), ("b", 1)]
+    with pytest.raises(ValueError, match="20 rows, more than 10"):
+        Fc.apply_per_patient(df, count, "p_num string, n long", most_rows=10)
+    assert Fc.apply_per_patient(df.limit(0), count, "p_num string, n long").collect() == []

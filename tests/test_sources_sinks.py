@@ -127,6 +127,23 @@ def test_records_over_several_lines(spark, tmp_path, block):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("parts", [1, 4, 50])
+def test_every_patient_meets_one_condition(spark, kind, parts):
+    """The conditions are what a database would get; here Spark evaluates them (no database is at hand)."""
+    names = [f"g'{i * 7919 % 100}" for i in range(30)] if kind == "string" else [i * 7919 % 1000 for i in range(30)]
+    groups = spark.createDataFrame([(n, 1000 if k == 3 else 10 + k) for k, n in enumerate(names)], f"gid {kind}, n long")
+    conditions = R.patient_predicates(groups, parts, weight="n")
+    assert 1 <= len(conditions) <= parts
+    sizes = []
+    for c in conditions:
+        sizes.append(groups.where(c).agg(F.sum("n")).first()[0])
+    met = groups.select(sum((F.expr(c).cast("int") for c in conditions[1:]), F.expr(conditions[0]).cast("int")).alias("k"))
+    assert {r.k for r in met.collect()} == {1} and sum(sizes) == sum(r.n for r in groups.collect())
+    if parts == 4:
+        assert max(sizes) < 1000 + 500  # the large patient and few others
+
+
 def test_registry():
     with pytest.raises(ValueError, match="unknown data set"):
         R.DEFAULT.about("nothing")
