@@ -1,7 +1,8 @@
 """Quality classifier: averaged vectors of hashed words and character n-grams under a softmax.
 
-A text is the mean of the learned vectors of its words, word pairs and byte 3- and
-4-grams, each hashed to one of ``BUCKETS`` rows.  Vectors and softmax weights are trained
+A text is the mean of the learned vectors of its words, word pairs and subwords, each
+hashed to one of ``BUCKETS`` rows.  Subwords are the 3- and 4-grams of a word's characters,
+the bounds of the word included, so none reaches over white space or cuts a character.  Vectors and softmax weights are trained
 together by stochastic gradient descent in numpy, in one task over a bounded sample of
 labelled texts.  As nothing stands between the mean and the softmax, scoring needs only
 the difference of the two logits per bucket: a table of ``BUCKETS`` floats, which is all
@@ -28,16 +29,14 @@ RATE = 0.5
 SAMPLE = 4000
 
 
+_BOUND = np.uint32(0x110000)  # no code point
+
+
 def _features(texts: list[str | None]) -> Iterator[np.ndarray]:
     """Per text the buckets of its features, in uint16."""
     for text in texts:
-        raw = (text or "").encode()
-        data = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
-        parts = []
-        if len(data) >= 3:
-            three = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
-            parts.append(three * np.uint32(0x9E3779B1) >> np.uint32(16))
-            parts.append((three[:-1] | data[3:] << np.uint32(24)) * np.uint32(0x85EBCA77) >> np.uint32(16))
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        parts = list(_subwords(text or ""))
         words = _words(raw)
         if len(words):
             parts.append(mix(words) >> np.uint64(48))
@@ -46,6 +45,26 @@ def _features(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield np.concatenate(parts).astype(np.uint16) if parts else np.empty(0, dtype=np.uint16)
 
 
+def _subwords(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the character 3- and 4-grams of ``<word>``, in 16 bits."""
+    codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    # runs of white space are one bound
+    keep = np.ones(len(codes), dtype=bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    blank, codes = blank[keep], codes[keep]
+    codes = np.where(blank, _BOUND, codes) * np.uint32(0x9E3779B1)
+    if len(codes) < 3:
+        return
+    inner = ~blank[1:-1]
+    three = ((codes[:-2] * np.uint32(31) + codes[1:-1]) * np.uint32(0x85EBCA77)) ^ (codes[2:] >> np.uint32(3))
+    three *= np.uint32(0xC2B2AE3D)
+    yield three[inner] >> np.uint32(16)
+    if len(codes) > 3:
+        four = (three[:-1] ^ (codes[3:] >> np.uint32(5))) * np.uint32(0x27D4EB2F)
+        yield four[inner[:-1] & inner[1:]] >> np.uint32(16)
+
+
 def _words(raw: bytes) -> np.ndarray:
     data = np.frombuffer(raw, dtype=np.uint8)
     blank = np.concatenate([[True], (data == 32) | ((data >= 9) & (data <= 13)), [True]])
@@ -135,6 +154,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that score 0.5 or more."""
+    """The rows of docs, with all their columns, that score 0.5 or more.
+
+    Null and empty texts score by the bias alone; repeated rows stay or go together; an
+    empty table gives an empty result.  Without labels of both kinds all rows stay.
+    """
     model = fit(docs, labels.where(~held_out(id_col)), id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     return docs.where(scorer(model)(F.col(text_col).cast("string")) >= 0.5)
