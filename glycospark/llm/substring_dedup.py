@@ -1,13 +1,18 @@
 """Removal of byte strings that occur twice, by prefix doubling of ranks.
 
 Every byte covered by a string of ``LENGTH`` bytes that also starts elsewhere goes.  The
-rank of a position is the fingerprint of the bytes that start there; two ranks half a
-length apart make the rank of the double length, and a position whose rank is unique is
-done.  The first round ranks strings of ``HALF`` bytes, and only at anchors: each window of
-``LENGTH`` bytes points to the string of ``HALF`` bytes in it with the least hash, so equal
-windows point to equal anchors.  An anchor whose rank occurs once ends all windows that
-point to it.  Anchors whose whole surroundings, the windows that point to them, occur twice
-need no second round either.  For the rest each window gets its rank pair.
+rank of a position tells the bytes that start there, the first ``QUARTER`` of a half to
+begin with; a position's rank and the rank one length further on make the pair that is its
+rank of the double length.  Each round brings equal ranks together in Spark, and positions
+whose rank is unique are done: 25, 50 and 100 bytes, and then the pairs of 100 bytes that
+make up ``LENGTH``.  Ranks are 64-bit fingerprints.
+
+Not every position takes part, which would be many times the input.  Each window of
+``LENGTH`` bytes points to one anchor in its first half, the position with the least rank
+of the first round, so that equal windows point to equal anchors, and the bytes up to a
+half behind an anchor lie within the window.  An anchor whose rank is unique at any length
+ends all windows that point to it.  Anchors whose whole surroundings, the windows that point
+to them, occur twice need no last round either.  For the rest each window gets its pair.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from .hashing import Spans, as_long, mix
 
 HALF = 100
 LENGTH = 2 * HALF
+QUARTER = HALF // 4  # bytes of the first round
 #: Anchors of one rank with more different surroundings than this are compared row by row in Spark.
-CROWD = 20_000
+CROWD = 1_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -50,7 +56,7 @@ class _Text:
             return
         self.spans = Spans(self.data)
         at = np.arange(len(self.data) - HALF + 1)
-        ranks = self.spans.hash(at, at + HALF)
+        ranks = self.spans.hash(at, at + QUARTER)
         least = _least(ranks & ~_LOW | at.astype(np.uint64), LENGTH - HALF + 1)
         points = (least & _LOW).astype(np.int64)
         change = np.flatnonzero(points[1:] != points[:-1]) + 1
@@ -59,6 +65,10 @@ class _Text:
         self.anchor = points[self.first]
         self.rank = ranks[self.anchor]
 
+    def ranks_at(self, offset: int, size: int) -> np.ndarray:
+        """Ranks of so many bytes, so far behind the anchors."""
+        return self.spans.hash(self.anchor + offset, self.anchor + offset + size) if self.windows else self.rank
+
     def around(self) -> np.ndarray:
         """Hash of all bytes of the windows of each anchor, and of where it lies in them."""
         return mix(self.spans.hash(self.first, self.last + LENGTH) + (self.anchor - self.first).astype(np.uint64))
@@ -73,17 +83,33 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "id": np.repeat(pdf["id"].to_numpy(), sizes),
                 "version": np.repeat(pdf["version"].to_numpy(), sizes),
                 "place": np.concatenate([np.arange(n) for n in sizes] or [np.empty(0, dtype=np.int64)]).astype(np.int32),
-                "rank": as_long(np.concatenate([t.rank for t in texts] or [np.empty(0, dtype=np.uint64)])),
+                "rank": _column([t.rank for t in texts]),
+                "then_25": _column([t.ranks_at(QUARTER, QUARTER) for t in texts]),
+                "then_50": _column([t.ranks_at(2 * QUARTER, 2 * QUARTER) for t in texts]),
             }
         )
 
 
+def _column(parts: list[np.ndarray]) -> np.ndarray:
+    return as_long(np.concatenate(parts or [np.empty(0, dtype=np.uint64)]))
+
+
+def _doubled(rows: DataFrame, following: str) -> DataFrame:
+    """A round: positions whose rank occurs twice, each with its rank paired with the one that follows."""
+    return settle(_repeated(rows).withColumn("rank", F.xxhash64("rank", following)).drop(following), "round")
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    twice = rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    return rows.join(settle(twice, "twice"), "rank", "left_semi")
+
+
 def _surroundings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for i, v, text, places in zip(pdf["id"].tolist(), pdf["version"].tolist(), pdf["text"], pdf["places"]):
             t, k = _Text(text.encode()), np.unique(places)
-            rows.append((np.full(len(k), i), np.full(len(k), v), k, as_long(t.rank[k]), as_long(t.around()[k])))
+            rows.append((np.full(len(k), i), np.full(len(k), v), k, as_long(t.ranks_at(0, HALF)[k]), as_long(t.around()[k])))
         if rows:
             yield pd.DataFrame({c: np.concatenate([r[j] for r in rows]) for j, c in enumerate(("id", "version", "place", "rank", "around"))})
 
@@ -101,10 +127,11 @@ def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             raw = text.encode()
             t = _Text(raw)
+            ranks = as_long(t.ranks_at(0, HALF))
             for state in states[states & ASK > 0].tolist():
                 k = state >> 2
                 a, b = int(t.first[k]), int(t.last[k])
-                rows.append((int(as_long(t.rank[k : k + 1])[0]), i, v, k, int(t.anchor[k]) - a, bool(state & FULL), raw[a : b + LENGTH]))
+                rows.append((int(ranks[k]), i, v, k, int(t.anchor[k]) - a, bool(state & FULL), raw[a : b + LENGTH]))
         yield pd.DataFrame(rows, columns=["rank", "id", "version", "place", "before", "full", "bytes"])
 
 
@@ -209,9 +236,9 @@ def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def cut_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """Texts that lose bytes: ``id`` (as it passes Python), version, n_removed, n_spans, kept (binary)."""
     texts = docs.select(id_in(id_col).alias("id"), F.hash(text_of(text_col)).alias("version"), text_of(text_col).alias("text"))
-    anchors = settle(texts.mapInPandas(_anchors, "id bigint, version int, place int, rank bigint"), "anchors")
-    twice = settle(anchors.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank"), "twice")
-    mine = anchors.join(twice, "rank", "left_semi").groupBy("id", "version").agg(F.collect_set("place").alias("places"))
+    anchors = settle(texts.mapInPandas(_anchors, "id bigint, version int, place int, rank bigint, then_25 bigint, then_50 bigint"), "anchors")
+    left = _doubled(_doubled(anchors, "then_25"), "then_50")
+    mine = _repeated(left).groupBy("id", "version").agg(F.collect_set("place").alias("places"))
     involved = settle(texts.join(settle(mine, "mine"), ["id", "version"]), "involved")
 
     around = settle(involved.mapInPandas(_surroundings, "id bigint, version int, place int, rank bigint, around bigint"), "around")
@@ -236,7 +263,8 @@ def cut_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def substring_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    Texts count as UTF-8; null is empty.  Texts shorter than ``LENGTH`` bytes keep all.
+    Texts count as UTF-8; null is empty.  Texts shorter than ``LENGTH`` bytes keep all, and
+    matches do not reach over texts.
     Repeated rows are occurrences of each other, so all of them lose what they share.  An
     empty table gives an empty result; other columns are ignored.
     """
