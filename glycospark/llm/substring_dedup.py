@@ -30,7 +30,7 @@ HALF = 100
 LENGTH = 2 * HALF
 QUARTER = HALF // 4  # bytes of the first round
 #: Anchors of one rank with more different surroundings than this are compared row by row in Spark.
-CROWD = 1_000
+CROWD = 20_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 
