@@ -8,7 +8,9 @@ random step numbers, at a rate that halves with each doubling of the walk's leng
 samples of a coarser rate are among those of a finer one, so any two can be compared.
 
 Fingerprints of near texts are found by bands of sampled positions and confirmed by their
-own likeness.
+own likeness; equal fingerprints are one node from the start.  A band links its members to
+its smallest node first.  Only bands whose members are still apart are looked into: small
+ones pair by pair, crowded ones after they have been cut by bands of further samples.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import id_in, id_out, settle, text_of
 from .components import components
@@ -30,7 +33,9 @@ CLASSES = 256  # characters are told apart by a hash
 CHUNK = 1024  # characters of each text that are walked at once
 NEAR = 0.75
 BAND = 8  # samples of a band
-BANDS = 96
+BANDS = 32  # a pair at NEAR meets in one with a probability of 0.966, at 0.8 of 0.997, at 0.85 of 0.99996
+#: A band with more nodes that are still apart is cut by bands of further samples, so many times.
+CROWD, CUTS, DEEPER = 64, 12, 4
 
 
 def _bits() -> np.ndarray:
@@ -127,9 +132,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _ranges(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
     """docs in ranges of falling id: ``part``, id, text, and whether the row belongs to the range or only follows it.
 
+    Also the range of an id, as a column of ``id``.
+
     The bounds are quantiles of the ids.  Each range also gets the first row of the next
     one, so that every text meets its successor in one task without an order of the whole
     table; the last range gets the first row of all.
@@ -149,18 +156,31 @@ def _ranges(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     follow = F.broadcast(settle(follow, "follow"))
     extra = rows.drop("part").join(follow, "id").groupBy("before", "id").agg(F.min("text").alias("text"))
     extra = extra.select("id", "text", F.col("before").alias("part"), F.lit(True).alias("follows"))
-    return rows.withColumn("follows", F.lit(False)).unionByName(extra)
+    return rows.withColumn("follows", F.lit(False)).unionByName(extra), part
 
 
 ROWS, CHARS = 1500, 6_000_000  # texts are walked together up to these bounds
 
-PRINTS = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+PRINTS = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id bigint"
+_PACKED = "part int, id bigint, sha binary, packed binary, follows boolean, component bigint"
+
+
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts compressed for the way to their range, with a digest to order equal ids by."""
+    press = zstandard.ZstdCompressor(level=1)
+    for pdf in batches:
+        raws = [t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
+        yield pd.DataFrame(
+            {"part": pdf["part"], "id": pdf["id"], "sha": [hashlib.sha256(r).digest() for r in raws], "packed": [press.compress(r) for r in raws], "follows": pdf["follows"], "component": pd.Series([None] * len(raws), dtype=object)}
+        )
 
 
 def _pairs_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of a task, by range and falling id, with fingerprints against the row that follows."""
     embedder = Embedder()
+    unpack = zstandard.ZstdDecompressor()
     held: list[tuple] = []
+    known: tuple[int, int] = (0, 0)
 
     def flush(rows: list[tuple]) -> pd.DataFrame:
         prints = embedder.fingerprints([r[2] for r in rows])
@@ -176,6 +196,7 @@ def _pairs_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 as_string(then),
                 embedder.likeness(prints[k], then),
                 embedder.likeness(prints[k], prints[k + 1]),
+                rows[k][4],
             )
             for k, text, then in zip(own, changed, after)
         ]
@@ -183,94 +204,182 @@ def _pairs_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     chars = 0
     for pdf in batches:
-        for row in zip(pdf["part"].tolist(), pdf["id"].tolist(), pdf["text"], pdf["follows"].tolist()):
-            held.append(row)
-            chars += len(row[2])
+        classes = [None if c is None or c != c else int(c) for c in pdf["component"]]
+        for part, i, packed, follows, component in zip(pdf["part"].tolist(), pdf["id"].tolist(), pdf["packed"], pdf["follows"].tolist(), classes):
+            if component is not None:
+                known = (i, component)
+                continue
+            text = unpack.decompress(packed).decode("utf-8", "surrogatepass") if packed else ""
+            held.append((part, i, text, follows, known[1] if known[0] == i else i))
+            chars += len(text)
             if len(held) > ROWS or chars > CHARS:
                 yield flush(held)
-                held, chars = [row], len(row[2])
+                held, chars = [held[-1]], len(text)
     if held:
         yield flush(held)
 
 
-def fingerprints_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: its fingerprint, and how near an edited text and the next text are.
+def fingerprints_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
+    """One row per row of docs: its fingerprint, how near an edited text and the next text are, and its class.
 
     The next text is the one with the next smaller id (after the smallest the largest);
-    rows of equal id follow in the order of their texts.  A null text is an empty one, a
-    null id comes after all others.  Near values are 0 to 1, and 1 for two empty texts.  An
-    empty table gives an empty result; other columns are ignored.
+    rows of equal id follow in the order of their digests.  A null text is an empty one, a
+    null id comes after all others.  Near values are 0 to 1, and 1 for two empty texts.
+    ``classes`` (id, component_id), by default :func:`near_classes`, gives component_id; a
+    null id has none.  An empty table gives an empty result; other columns are ignored.
     """
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], PRINTS).withColumnRenamed("id", id_col)
-    ranges = _ranges(docs, id_col, text_col).repartition("part").sortWithinPartitions("part", "follows", F.desc("id"), "text")
-    out = ranges.select("part", "id", "text", "follows").mapInPandas(_pairs_in_order, PRINTS)
-    return out.withColumn("id", id_out("id")).withColumnRenamed("id", id_col)
+    if classes is None:
+        classes = near_classes(docs, id_col=id_col, text_col=text_col)
+    rows, part = _ranges(docs, id_col, text_col)
+    packed = rows.select("part", "id", "text", "follows").mapInPandas(_pack, _PACKED)
+    # classes of other texts travel along and come before the rows of their ids
+    named = classes.where("component_id <> id").select(part.alias("part"), "id", F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("binary").alias("packed"), F.lit(False).alias("follows"), F.col("component_id").alias("component"))
+    ranges = packed.unionByName(named).repartition("part").sortWithinPartitions("part", "follows", F.desc("id"), F.desc_nulls_last("component"), "sha")
+    out = ranges.select("part", "id", "packed", "follows", "component").mapInPandas(_pairs_in_order, PRINTS)
+    component = F.when(id_out("id").isNotNull(), F.col("component_id"))
+    return out.withColumn("component_id", component).withColumn("id", id_out("id")).withColumnRenamed("id", id_col)
 
 
 # --- near texts -------------------------------------------------------------------
 
+NODES = "id bigint, rate int, steps int, marks binary, bands array<bigint>"
 
-def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Band keys of each text: samples picked by the hash of their step, at its own rate and the next coarser one."""
-    embedder = Embedder()
-    for pdf in batches:
-        ids, keys = [], []
-        prints = embedder.fingerprints(list(pdf["text"]))
-        for i, (rate, when, marks) in zip(pdf["id"].tolist(), prints):
-            for level in (rate, rate + 1):
-                keep = embedder.depth[when] >= level
-                steps, seen = when[keep].astype(np.uint64), marks[keep].astype(np.uint64)
-                if not len(steps):
-                    continue
-                for band in range(BANDS):
-                    chosen = np.sort(np.argsort(mix(steps * np.uint64(BANDS) + np.uint64(band)))[:BAND])
-                    ids.append(i)
-                    keys.append(mix(steps[chosen] * np.uint64(16) + seen[chosen]).sum() + np.uint64(level * BANDS + band))
-        yield pd.DataFrame({"id": np.array(ids, dtype=np.int64), "band": as_long(mix(np.array(keys, dtype=np.uint64)))})
+
+class Bander:
+    """Keys of bands: samples picked by the hash of their step, at a rate that near texts share."""
+
+    def __init__(self, embedder: Embedder):
+        self.embedder = embedder
+        self.picks: dict[tuple[int, int, int, int], np.ndarray] = {}
+
+    def chosen(self, level: int, count: int, first: int, width: int) -> np.ndarray:
+        """Places of the samples of each band among the first ``count`` of a rate: the ``first`` to ``first + width`` by hash."""
+        key = (level, count, first, width)
+        if key not in self.picks:
+            steps = self.embedder.samples[level][:count].astype(np.uint64)
+            order = np.argsort(mix(steps[None, :] * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)[:, None]), axis=1, kind="stable")
+            self.picks[key] = np.sort(order[:, first : first + width], axis=1)
+        return self.picks[key]
+
+    def levels(self, rate: int, total: int) -> list[int]:
+        """The next coarser rate, and the own one of a text that is short for its rate: one of the two is that of any near text."""
+        return [rate + 1] if rate and total >> rate >= 1.4 * SAMPLES else [rate, rate + 1]
+
+    def keys(self, rate: int, when: np.ndarray, marks: np.ndarray, first: int = 0, width: int = BAND) -> list[tuple[int, np.ndarray]]:
+        """(rate, a key for each band) at the rates where near texts meet."""
+        out = []
+        for level in self.levels(rate, int(when[-1]) + 1 if len(when) else 0):
+            keep = self.embedder.depth[when] >= level
+            steps, seen = when[keep].astype(np.uint64), marks[keep].astype(np.uint64)
+            if len(steps) <= first:
+                continue
+            at = self.chosen(level, len(steps), first, width)
+            out.append((level, mix(mix(steps[at] * np.uint64(16) + seen[at]).sum(axis=1) + np.arange(BANDS, dtype=np.uint64) + np.uint64(level * BANDS))))
+        return out
 
 
 def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     embedder = Embedder()
+    bander = Bander(embedder)
     for pdf in batches:
         found = embedder.fingerprints(list(pdf["text"]))
-        yield pd.DataFrame({"id": pdf["id"], "rate": [p[0] for p in found], "steps": [p[1].astype("<i8").tobytes() for p in found], "marks": [p[2].tobytes() for p in found]})
+        bands = [np.concatenate([as_long(k) for _, k in bander.keys(*p)] or [np.empty(0, dtype=np.int64)]) for p in found]
+        yield pd.DataFrame({"id": pdf["id"], "rate": [p[0] for p in found], "steps": [len(p[1]) for p in found], "marks": [np.packbits(np.unpackbits(p[2][:, None], axis=1)[:, 4:]).tobytes() for p in found], "bands": bands})
+
+
+def _unpacked(embedder: Embedder, rate: int, count: int, marks: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    """A fingerprint from what a node keeps of it."""
+    while len(embedder.samples) <= rate or len(embedder.samples[rate]) < count:
+        embedder.grow(2 * len(embedder.depth))
+    nibbles = np.unpackbits(np.frombuffer(marks, dtype=np.uint8)).reshape(-1, 4)[:count]
+    return rate, embedder.samples[rate][:count], np.packbits(np.pad(nibbles, ((0, 0), (4, 0))), axis=1)[:, 0]
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     embedder = Embedder()
     for pdf in batches:
         keep = []
-        for ra, wa, ma, rb, wb, mb in zip(pdf["ra"], pdf["wa"], pdf["ma"], pdf["rb"], pdf["wb"], pdf["mb"]):
-            a, b = ((r, np.frombuffer(w, dtype="<i8"), np.frombuffer(m, dtype=np.uint8)) for r, w, m in ((ra, wa, ma), (rb, wb, mb)))
-            last = max(a[1][-1:].max(initial=0), b[1][-1:].max(initial=0))
-            if last >= len(embedder.depth):
-                embedder.grow(1 << int(last).bit_length())
-            keep.append(embedder.likeness(a, b) >= NEAR)
+        for ra, sa, ma, rb, sb, mb in zip(pdf["ra"], pdf["sa"], pdf["ma"], pdf["rb"], pdf["sb"], pdf["mb"]):
+            keep.append(embedder.likeness(_unpacked(embedder, ra, sa, ma), _unpacked(embedder, rb, sb, mb)) >= NEAR)
         yield pdf.loc[np.array(keep, dtype=bool), ["a", "b"]] if len(pdf) else pdf[["a", "b"]]
 
 
-def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _further(depth: int):
+    """Finer bands of the nodes of crowded ones: each of ``CUTS`` adds further samples to the band's own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embedder = Embedder()
+        bander = Bander(embedder)
+        for pdf in batches:
+            bands, nodes, roots = [], [], []
+            for band, node, root, rate, count, marks in zip(pdf["band"].tolist(), pdf["node"].tolist(), pdf["root"].tolist(), pdf["rate"], pdf["steps"], pdf["marks"]):
+                cuts = bander.keys(*_unpacked(embedder, rate, count, marks), BAND + (depth - 1) * DEEPER, DEEPER)
+                keys = np.concatenate([k[:CUTS] for _, k in cuts] or [np.zeros(1, dtype=np.uint64)])
+                bands.append(mix(keys + np.array(band, dtype=np.int64).view(np.uint64)))
+                nodes.append(np.full(len(keys), node))
+                roots.append(np.full(len(keys), root))
+            if bands:
+                yield pd.DataFrame({"band": as_long(np.concatenate(bands)), "node": np.concatenate(nodes), "root": np.concatenate(roots)})
+
+    return run
+
+
+def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
     """``(id, component_id)``: classes of texts whose fingerprints are alike by ``NEAR``, found by bands.
 
-    A band links its members to its smallest id first; then only members still apart are
-    compared.  Empty and null texts and null ids are in no class with others.
+    component_id is the smallest id that links lead to, the text's own included.
+
+    * Empty and null texts have no fingerprint to compare: each is its own class.
+    * Null ids take no part and are not returned.
+    * Rows with equal id are one row; they share the links of all their texts.
+    * Texts that share no band are not compared, see ``BANDS``.  Members of a band of more
+      than ``crowd`` nodes that are still apart must also share one of ``CUTS`` finer bands,
+      which a pair at ``NEAR`` does with a probability of 0.99 for each band that it shares.
+    * An empty table gives an empty result; other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).where("id IS NOT NULL AND text <> ''")
-    prints = settle(texts.mapInPandas(_prints, "id bigint, rate int, steps binary, marks binary"), "prints")
-    banded = settle(texts.mapInPandas(_banded, "id bigint, band bigint").distinct(), "bands")
-    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("band", "hub")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text")).where("id IS NOT NULL")
+    prints = settle(texts.where("text <> ''").mapInPandas(_prints, NODES), "prints")
+    look = ["rate", "steps", "marks"]
+    nodes = settle(prints.groupBy(*look).agg(F.min("id").alias("node"), F.min("bands").alias("bands")), "nodes")
+    same = prints.join(nodes.select(*look, "node"), look).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("band", "hub")
     banded = settle(banded.join(settle(hubs, "hubs"), "band"), "banded")
+    looks = settle(nodes.join(banded.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max(F.struct(*look)).alias("p")).select("node", "p.*"), "looks")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda x: prints.select(F.col("id").alias(x), F.col("rate").alias(f"r{x}"), F.col("steps").alias(f"w{x}"), F.col("marks").alias(f"m{x}"))
+        side = lambda x: looks.select(F.col("node").alias(x), F.col("rate").alias(f"r{x}"), F.col("steps").alias(f"s{x}"), F.col("marks").alias(f"m{x}"))
         both = settle(pairs, "pairs").join(side("a"), "a").join(side("b"), "b")
         return settle(both.mapInPandas(_near, "a bigint, b bigint"), "links")
 
-    links = confirmed(banded.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
-    placed = banded.join(settle(components(links), "roots"), "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    placed = settle(placed, "placed")
-    a, b = (placed.select("band", F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    rest = a.join(b, (a["band"] == b["band"]) & (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct()
-    roots = components(links.unionByName(confirmed(rest)))
+    links = confirmed(banded.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()).unionByName(same)
+    roots = settle(components(links), "roots")
+    open_ = banded.select("band", "node").join(roots.withColumnRenamed("id", "node"), "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    pairs = []
+    for depth in range(1, 4):
+        open_ = settle(open_, "open")
+        sizes = open_.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("band", "n")
+        sizes = settle(sizes, "sizes")
+        pairs.append(_apart(open_.join(sizes.where(F.col("n") <= crowd), "band")))
+        crowded = open_.join(sizes.where(F.col("n") > crowd).select("band"), "band", "left_semi")
+        if crowded.isEmpty():
+            break
+        open_ = crowded.join(looks, "node").mapInPandas(_further(depth), "band bigint, node bigint, root bigint").distinct()
+    else:
+        # texts alike in all these samples, and yet apart: pair by pair
+        pairs.append(_apart(open_))
+    rest = pairs[0]
+    for more in pairs[1:]:
+        rest = rest.unionByName(more)
+    more = confirmed(rest.distinct())
+    if not more.isEmpty():
+        roots = components(more.unionByName(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
     return texts.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component_id"))
+
+
+def _apart(open_: DataFrame) -> DataFrame:
+    """Pairs of nodes of a band that no links join yet."""
+    a, b = (open_.select("band", F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    return a.join(b, (a["band"] == b["band"]) & (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b"))).select("a", "b").distinct()

@@ -187,7 +187,67 @@ def test_near_fingerprints_meet(spark):
     base = " ".join(f"word{k * k % 97}" for k in range(300))
     rows = [(1, base), (2, base[:900] + base[905:]), (3, base[::-1]), (4, ""), (5, None)]
     got = {r.id: r.component_id for r in edit_embedding.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def plain_likeness(texts, pairs):
+    """Of the walks themselves, at the coarser of both rates."""
+    embedder = edit_embedding.Embedder()
+    prints = dict(zip(texts, embedder.fingerprints(list(texts.values()))))
+    out = {}
+    for i, j in pairs:
+        (ra, wa, ma), (rb, wb, mb) = prints[i], prints[j]
+        rate = max(ra, rb)
+        a = {w: m for w, m in zip(wa.tolist(), ma.tolist()) if embedder.depth[w] >= rate}
+        b = {w: m for w, m in zip(wb.tolist(), mb.tolist()) if embedder.depth[w] >= rate}
+        n = max(len(a), len(b))
+        out[i, j] = sum(a[w] == b[w] for w in a.keys() & b.keys()) / n if n else float(len(wa) == len(wb) == 0)
+    return out
+
+
+def test_near_values_match_plain_walks(spark, texts):
+    got = {r.doc_id: r for r in QUERIES["op1_edit_embedding"](spark, FOLDER).collect()}
+    order = sorted(texts, reverse=True)
+    following = dict(zip(order, [*order[1:], order[0]]))
+    changed = {i: texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[j][: len(texts[i]) // 2] for i, j in following.items()}
+    next_ = plain_likeness(texts, following.items())
+    edited = plain_likeness({("a", i): t for i, t in texts.items()} | {("b", i): t for i, t in changed.items()}, [(("a", i), ("b", i)) for i in texts])
+    for i, j in following.items():
+        assert got[i].near_next == pytest.approx(next_[i, j]) and got[i].near_edited == pytest.approx(edited[("a", i), ("b", i)])
+
+
+@pytest.mark.parametrize("crowd", [edit_embedding.CROWD, 1])
+def test_near_text_classes_match_all_pairs(spark, crowd):
+    """Edits of a few texts at likenesses on both sides of the threshold, and crowds of texts that begin alike."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 8)))
+    texts, opening = {}, " ".join(word() for _ in range(40))
+    for k in range(12):
+        base = [word() for _ in range(rng.integers(30, 250))]
+        for copy in range(6):
+            words = [w if rng.random() > rng.choice([0.0, 0.003, 0.01, 0.04]) else word() for w in base]
+            texts[100 * k + copy] = " ".join(words)
+    for k in range(80):
+        texts[5000 + k] = opening + " " + " ".join(word() for _ in range(60))
+    texts[9000] = texts[0]
+    rows = [(i, t) for i, t in texts.items()] + [(1, texts[1]), (9500, None), (9501, ""), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS id", "1 AS node", "2 AS band", "3 AS rate", "4 AS root")
+    got = {r.id: r.component_id for r in edit_embedding.near_classes(docs, crowd=crowd).collect()}
+    ids = sorted(texts)
+    alike = plain_likeness(texts, [(i, j) for i in ids for j in ids if i < j])
+    root = {i: i for i in ids} | {9500: 9500, 9501: 9501}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [p for p, v in alike.items() if v >= edit_embedding.NEAR]
+    assert len(links) > 40
+    for i, j in links:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    assert got == {i: find(i) for i in root}
 
 
 def check_packing(rows, texts, capacity=packing.CAPACITY):
