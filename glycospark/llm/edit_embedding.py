@@ -35,7 +35,7 @@ NEAR = 0.75
 BAND = 8  # samples of a band
 BANDS = 32  # a pair at NEAR meets in one with a probability of 0.966, at 0.8 of 0.997, at 0.85 of 0.99996
 #: A band with more nodes that are still apart is cut by bands of further samples, so many times.
-CROWD, CUTS, DEEPER = 64, 12, 4
+CROWD, CUTS, DEEPER = 8, 12, 4
 
 
 def _bits() -> np.ndarray:
