@@ -35,7 +35,7 @@ NEAR = 0.75
 BAND = 8  # samples of a band
 BANDS = 32  # a pair at NEAR meets in one with a probability of 0.966, at 0.8 of 0.997, at 0.85 of 0.99996
 #: A band with more nodes that are still apart is cut by bands of further samples, so many times.
-CROWD, CUTS, DEEPER = 8, 12, 4
+CROWD, CUTS, DEEPER = 64, 12, 4
 
 
 def _bits() -> np.ndarray:
@@ -220,26 +220,29 @@ def _pairs_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fingerprints_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", classes: DataFrame | None = None) -> DataFrame:
-    """One row per row of docs: its fingerprint, how near an edited text and the next text are, and its class.
+    """One row per row of docs: its fingerprint, and how near an edited text and the next text are.
 
     The next text is the one with the next smaller id (after the smallest the largest);
     rows of equal id follow in the order of their digests.  A null text is an empty one, a
     null id comes after all others.  Near values are 0 to 1, and 1 for two empty texts.
-    ``classes`` (id, component_id), by default :func:`near_classes`, gives component_id; a
-    null id has none.  An empty table gives an empty result; other columns are ignored.
+    With ``classes`` (id, component_id), as :func:`near_classes` gives them, there is also a
+    component_id; a null id has none.  An empty table gives an empty result; other columns
+    are ignored.
     """
+    shown = [c.split()[0] for c in PRINTS.split(", ")][: None if classes is not None else -1]
     if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], PRINTS).withColumnRenamed("id", id_col)
-    if classes is None:
-        classes = near_classes(docs, id_col=id_col, text_col=text_col)
+        return docs.sparkSession.createDataFrame([], PRINTS).select(shown).withColumnRenamed("id", id_col)
     rows, part = _ranges(docs, id_col, text_col)
-    packed = rows.select("part", "id", "text", "follows").mapInPandas(_pack, _PACKED)
-    # classes of other texts travel along and come before the rows of their ids
-    named = classes.where("component_id <> id").select(part.alias("part"), "id", F.lit(None).cast("binary").alias("sha"), F.lit(None).cast("binary").alias("packed"), F.lit(False).alias("follows"), F.col("component_id").alias("component"))
-    ranges = packed.unionByName(named).repartition("part").sortWithinPartitions("part", "follows", F.desc("id"), F.desc_nulls_last("component"), "sha")
-    out = ranges.select("part", "id", "packed", "follows", "component").mapInPandas(_pairs_in_order, PRINTS)
-    component = F.when(id_out("id").isNotNull(), F.col("component_id"))
-    return out.withColumn("component_id", component).withColumn("id", id_out("id")).withColumnRenamed("id", id_col)
+    ranges = rows.select("part", "id", "text", "follows").mapInPandas(_pack, _PACKED)
+    if classes is not None:
+        # classes of other texts travel along and come before the rows of their ids
+        none = F.lit(None).cast("binary")
+        ranges = ranges.unionByName(classes.where("component_id <> id").select(part.alias("part"), "id", none.alias("sha"), none.alias("packed"), F.lit(False).alias("follows"), F.col("component_id").alias("component")))
+    ranges = ranges.repartition("part").sortWithinPartitions("part", "follows", F.desc("id"), F.desc_nulls_last("component"), "sha")
+    out = ranges.select("part", "id", "packed", "follows", "component").mapInPandas(_pairs_in_order, PRINTS).select(shown)
+    if classes is not None:
+        out = out.withColumn("component_id", F.when(id_out("id").isNotNull(), F.col("component_id")))
+    return out.withColumn("id", id_out("id")).withColumnRenamed("id", id_col)
 
 
 # --- near texts -------------------------------------------------------------------

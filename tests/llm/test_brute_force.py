@@ -248,6 +248,9 @@ def test_near_text_classes_match_all_pairs(spark, crowd):
         a, b = sorted((find(i), find(j)))
         root[b] = a
     assert got == {i: find(i) for i in root}
+    if crowd > 1:
+        named = edit_embedding.fingerprints_in_order(docs, classes=edit_embedding.near_classes(docs)).collect()
+        assert len(named) == len(rows) and all(r.component_id == (None if r.doc_id is None else find(r.doc_id)) for r in named)
 
 
 def check_packing(rows, texts, capacity=packing.CAPACITY):
