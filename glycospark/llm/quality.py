@@ -45,8 +45,23 @@ def _features(texts: list[str | None]) -> Iterator[np.ndarray]:
         yield np.concatenate(parts).astype(np.uint16) if parts else np.empty(0, dtype=np.uint16)
 
 
+#: Characters of a text that are cut into subwords at a time; a part ends at white space.
+_PART = 1 << 19
+
+
 def _subwords(text: str) -> Iterator[np.ndarray]:
     """Hashes of the character 3- and 4-grams of ``<word>``, in 16 bits."""
+    start = 0
+    while len(text) - start > _PART:
+        end = max(text.rfind(c, start, start + _PART) for c in " \t\n\v\f\r")
+        if end <= start:
+            break  # one word as long as a part
+        yield from _grams(text[start:end])
+        start = end
+    yield from _grams(text[start:])
+
+
+def _grams(text: str) -> Iterator[np.ndarray]:
     codes = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
     # runs of white space are one bound

@@ -37,6 +37,14 @@ def test_subwords_stay_within_words(text):
         assert sorted(found) == sorted(want)
 
 
+def test_long_texts_are_cut_at_white_space(monkeypatch):
+    text = " ".join(f"w{k * k % 997}" for k in range(3000)) + " " + "x" * 900 + " end"
+    whole = [sorted(np.concatenate(p).tolist()) for p in [list(quality._subwords(text))]]
+    monkeypatch.setattr(quality, "_PART", 500)
+    parts = list(quality._subwords(text))
+    assert len(parts) > 10 and [sorted(np.concatenate(parts).tolist())] == whole
+
+
 def test_features_of_a_text_are_its_words_pairs_and_subwords():
     for text, found in zip(TEXTS, quality._features(TEXTS)):
         grams, words = plain_grams(text), text.split()
