@@ -18,7 +18,7 @@ from glycospark.llm.catalog import all_queries
 from glycospark.llm.common import settle
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
 QUERIES, SQL = all_queries()
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are absent")
 
