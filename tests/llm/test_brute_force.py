@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from glycospark.llm import chunk_dedup, edit_embedding, minhash, packing, secrets, substring_dedup
+from glycospark.llm import chunk_dedup, decontaminate, edit_embedding, minhash, packing, secrets, substring_dedup
 from glycospark.llm.catalog import all_queries
 from glycospark.llm.common import settle
 
@@ -495,3 +495,23 @@ def test_pipeline_stage_by_stage(spark, documents, tmp_path):
         else:
             assert text.count(secrets.MASK) >= 1 and all(before[i][a:b] not in text for a, b in spans if b - a > 12)
     check_packing(stages["packing"](spark, docs, FOLDER).collect(), masked)
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_windows_of_all_lengths(spark, texts, monkeypatch, limit):
+    """Items of 1 to 16 words from the documents themselves, by broadcast and by sieve, against plain windows."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    words = {i: [w for w in re.split(decontaminate.SEPARATORS, re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] for i, t in texts.items()}
+    long = sorted(i for i, w in words.items() if len(w) > 40)
+    items = {n: words[long[n]][n : 2 * n] for n in range(1, 17)}
+    found = decontaminate.contamination(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id bigint, text string"))
+    windows = collections.defaultdict(set)
+    for n, w in items.items():
+        for p in range(len(w) - min(n, 13) + 1):
+            windows[tuple(w[p : p + 13])].add(str(n))
+    sizes = {len(w) for w in windows}
+    for row in found.collect():
+        own = words[row.doc_id]
+        met = [(p, n) for n in sizes for p in range(len(own) - n + 1) if tuple(own[p : p + n]) in windows]
+        assert row.n_words == len(own) and row.n_hit == len({q for p, n in met for q in range(p, p + n)})
+        assert row["items"] == sorted(set().union(*(windows[tuple(own[p : p + n])] for p, n in met)))
