@@ -97,14 +97,13 @@ def regular_aggregates(
     return aggs
 
 
-def regularize(
+def regular_bins(
     df: DataFrame, step: int | None = None, tie: Sequence[str] = (), drop: Sequence[str] = ()
-) -> DataFrame:
-    """Bring every patient onto a regular grid, aggregating rows of one slot (AGG2 + JOIN13).
+) -> tuple[DataFrame, int | Column]:
+    """The filled slots of every patient's regular grid (AGG2), and the slot width.
 
     ``step`` is the slot width in seconds; without it each patient's own sampling
     interval is used, or five minutes where that is less than one minute or unknown.
-    Adds ``pos``, the position in the patient's grid.
     """
     order = F.struct("datetime", *tie)
     source = df.drop(*drop) if drop else df
@@ -117,8 +116,17 @@ def regularize(
     else:
         width = step
     slot = round_slot(F.col("datetime"), width)
-    bins = source.withColumn("slot", slot).groupBy("p_num", "slot").agg(*aggs)
-    grid = densify(bins, width)
+    return source.withColumn("slot", slot).groupBy("p_num", "slot").agg(*aggs), width
+
+
+def regularize(
+    df: DataFrame, step: int | None = None, tie: Sequence[str] = (), drop: Sequence[str] = ()
+) -> DataFrame:
+    """Bring every patient onto a regular grid, aggregating rows of one slot (AGG2 + JOIN13).
+
+    For ``step`` see :func:`regular_bins`.  Adds ``pos``, the position in the patient's grid.
+    """
+    grid = densify(*regular_bins(df, step, tie, drop))
     return grid.withColumn("datetime", from_seconds(F.col("slot"))).drop("slot")
 
 

@@ -167,6 +167,83 @@ def _running_sums(near: DataFrame, value: str, amount: Column, size: int, basis:
     return near.withColumns(out).drop(number, "_u", *raw), list(out)
 
 
+def convolve_bins(
+    bins: DataFrame, responses: Mapping[str, Mapping[str, Sequence[float]]], step: int, keys: Keys = GRID_KEYS,
+    positive_only: Sequence[str] = (), decays: Mapping[str, Sequence[float]] = {}, slot: str = "slot",
+) -> DataFrame | None:
+    """The rows of the complete grid that an amount reaches, with the sums of :func:`convolve_grid` (JOIN8).
+
+    ``bins`` has the filled slots, before :func:`~.align.densify`; on all other rows of the
+    grid the sums are 0.  None if a kernel is no sum of exponentials.
+
+    Every amount is two events of its block: it comes, and a kernel's length later it goes.
+    Between two events the running sums of the weighted amounts do not change, so windows
+    run over events only.  Then each event opens the slots up to the next one in place: the
+    grid is neither shuffled nor sorted, and what no amount reaches is never made.
+    """
+    by, at = list(keys.by), F.col("_at")
+    size = {v: max(len(k) for k in ks.values()) for v, ks in responses.items()}
+    terms = {v: _exponential_terms(ks, decays.get(v, ()), keys.block // step + size[v]) for v, ks in responses.items()}
+    if not all(terms.values()):
+        return None
+    rest = [c for c in bins.columns if c not in (*by, slot)]
+    edges = Keys(tuple(by), "_dt", (), keys.block)
+    known = scan(bins.withColumn("_dt", from_seconds(F.col(slot))), edges, _first=Carry("first", F.col(slot)), _end=Carry("final", F.col(slot))).drop("_dt")
+
+    start = F.col(BLOCK) * keys.block
+    place = (F.col(slot) - start) / F.lit(float(step))  # of the amount's own slot, negative if that lies in the block before
+    amount = {v: F.coalesce(F.when(F.col(v) > 0, F.col(v)) if v in positive_only else F.col(v), F.lit(0.0)) for v in responses}
+    basis = {v: sorted({q for ts, _ in terms[v].values() for _, _, q in ts}) for v in responses}
+    deltas: dict[str, tuple[str, Column]] = {}
+    for v in responses:
+        for n, q in enumerate(basis[v]):
+            grown = amount[v] * F.pow(F.lit(q), -place)
+            deltas[f"_d0_{v}_{n}"] = (v, grown)
+            if any((d, p) == (1, q) for ts, _ in terms[v].values() for _, d, p in ts):
+                deltas[f"_d1_{v}_{n}"] = (v, grown * place)
+    live = {v: (amount[v] != 0).cast("long") for v in responses}
+    own_slot = F.struct(*rest, *[amount[v].alias(f"_u_{v}") for v in responses])
+
+    def event(when: Column, sign: int, of: Sequence[str], here: Column) -> Column:
+        return F.struct(
+            when.cast("long").alias("_at"), (sum((live[v] for v in of), F.lit(0)) * sign).alias("_n"), here.alias("_own"),
+            *[(x * float(sign) if v in of else F.lit(0.0)).alias(c) for c, (v, x) in deltas.items()],
+        )
+
+    reach = F.greatest(*[F.when(live[v] > 0, (size[v] - 1) * step).otherwise(0) for v in responses], F.lit(0))
+    last = F.floor((F.col(slot) + reach) / F.lit(keys.block)).cast("long")
+    copies = known.withColumn(BLOCK, F.explode(F.sequence(F.floor(F.col(slot) / F.lit(keys.block)).cast("long"), last)))
+    goes = {v: F.col(slot) + size[v] * step for v in responses}
+    left = [F.when((live[v] > 0) & (goes[v] < start + keys.block), event(goes[v], -1, [v], F.lit(None).cast(copies.select(own_slot.alias("x")).schema["x"].dataType))) for v in responses]
+    events = copies.withColumn("_e", F.explode(F.array_compact(F.array(event(F.col(slot), 1, list(responses), own_slot), *left))))
+    merged = events.groupBy(*by, BLOCK, F.col("_e._at").alias("_at")).agg(
+        F.first("_first").alias("_first"), F.first("_end").alias("_end"), F.max_by("_e._own", F.col("_e._own").isNotNull()).alias("_own"),
+        F.sum("_e._n").alias("_n"), *[F.sum(f"_e.{c}").alias(c) for c in deltas],
+    )
+    w = Window.partitionBy(*by, BLOCK).orderBy("_at")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = merged.withColumns({"_n": F.sum("_n").over(run), "_next": F.lead("_at").over(w), **{c: F.sum(c).over(run) for c in deltas}})
+    since = F.greatest(at, start)
+    until = F.least(F.coalesce("_next", start + keys.block), start + keys.block, F.col("_end") + step) - step
+    live_rows = sums.where(F.col("_n") > 0).withColumns({"_since": since, "_until": until}).where("_since <= _until")
+    opened = live_rows.withColumn(slot, F.explode(F.sequence("_since", "_until", F.lit(step).cast("long"))))
+
+    here = F.col(slot) == at
+    opened = opened.withColumn("_i", (F.col(slot) - start) / F.lit(float(step)))
+    opened = opened.withColumns({f"_q_{v}_{n}": F.pow(F.lit(q), F.col("_i")) for v in responses for n, q in enumerate(basis[v])})
+    out = {}
+    for v in responses:
+        for name, (ts, extra) in terms[v].items():
+            parts = []
+            for c, d, q in ts:
+                n = basis[v].index(q)
+                total = F.col(f"_d0_{v}_{n}")
+                parts.append(F.lit(c) * F.col(f"_q_{v}_{n}") * (F.col("_i") * total - F.col(f"_d1_{v}_{n}") if d else total))
+            out[name] = sum(parts, F.lit(extra) * F.when(here, F.coalesce(F.col(f"_own._u_{v}"), F.lit(0.0))).otherwise(0.0))
+    position = ((F.col(slot) - F.col("_first")) / step).cast("long").alias("pos")
+    return opened.select(*by, slot, position, *[F.when(here, F.col(f"_own.`{c}`")).alias(c) for c in rest], *[x.alias(c) for c, x in out.items()])
+
+
 def carbs_on_board(df: DataFrame, step: int, keys: Keys = GRID_KEYS) -> DataFrame:
     avail, cob = carb_kernel(step // 60)
     return convolve(df, "food_g", {"carb_availability": avail, "cob": cob}, step, keys)

@@ -68,7 +68,7 @@ FROM s JOIN l USING (p_num) WHERE t <= hi GROUP BY ALL HAVING sum(ca) + sum(cob)
 def phy3_minute(t: Tables):
     """Kernels of 180 steps on a grid of minutes, as hourly sums where there is something on board."""
     src = series(t).select("p_num", "datetime", "event_id", "food_g", "dose_units")
-    out = physiological_features(src, _MINUTE, True, None, ("event_id",), Keys(block=DAY), precise=True)
+    out = physiological_features(src, _MINUTE, True, None, ("event_id",), Keys(block=DAY), precise=True, active=True)
     cols = ["carb_availability", "cob", "insulin_availability", "iob"]
     hours = out.groupBy("p_num", F.floor(F.unix_seconds(F.col("datetime").cast("timestamp")) / 3600).cast("bigint").alias("hour")).agg(*[F.sum(c).alias(c) for c in cols])
     hours = hours.where(sum((F.col(c) for c in cols[1:]), F.col(cols[0])) > 0.001)

@@ -173,3 +173,27 @@ def test_minute_kernels_match_convolution(frame):
             want = np.convolve(u, responses[col][name])[:n]
             np.testing.assert_allclose(values(out, name), want, atol=1e-9)
             assert abs(np.array(values(out, name))[700:]).max() < 1e-9
+
+
+def test_active_rows_are_those_of_the_whole_grid(spark):
+    """Amounts around block ends, overlapping and a year apart: the same sums, and no grid in between."""
+    import datetime
+    import random
+
+    rng, start = random.Random(5), datetime.datetime(2024, 1, 1, 21)
+    minutes = sorted({rng.randrange(900) for _ in range(40)} | {100, 179, 180, 280, 359, 360, 400 * 1440, 400 * 1440 + 30})
+    rows = [("a", start + datetime.timedelta(minutes=m), rng.choice([None, 0.0, 20.0, 55.5]), rng.choice([None, -1.0, 1.5, 4.0])) for m in minutes]
+    rows += [("b", start, 10.0, None)]
+    df = spark.createDataFrame(rows, "p_num string, datetime timestamp_ntz, food_g double, dose_units double")
+    cols = ["carb_availability", "cob", "insulin_availability", "iob"]
+    short = df.where("datetime < '2024-02-01'")
+    read = lambda x: {(r.p_num, r.datetime): r for r in x.collect()}
+    whole, part = (read(physiological_features(short, 60, keys=Keys(block=86_400), precise=True, active=a)) for a in (False, True))
+    assert set(part) <= set(whole) and 0 < len(part) < len(whole) + 1
+    for key, r in whole.items():
+        for c in cols:
+            assert (part[key][c] if key in part else 0.0) == pytest.approx(r[c], abs=1e-9)
+        if key in part:
+            assert all(part[key][c] == r[c] for c in ("pos", "food_g", "dose_units", "hour_sin"))
+    long = physiological_features(df, 60, keys=Keys(block=86_400), precise=True, active=True)
+    assert long.count() < 2_000  # the grid has 576,000
