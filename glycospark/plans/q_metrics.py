@@ -44,7 +44,7 @@ def quantiles(t: Tables) -> DataFrame:
 
 
 def steps(t: Tables, keys=("run", "episode", "step")) -> DataFrame:
-    return M.gather_steps(quantiles(t), keys)
+    return M.gather_steps(quantiles(t), keys, LEVELS)
 
 
 def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
@@ -184,7 +184,7 @@ d AS (SELECT run, episode, step, lag(forecast) OVER (PARTITION BY run, episode,
 def _crossing(t: Tables):
     base = F.col("forecast") / (0.5 + F.col("q"))
     bent = quantiles(t).withColumn("forecast", F.when(F.col("q") == 0.5, F.col("forecast") - 0.11 * base).otherwise(F.col("forecast")))
-    return M.gather_steps(bent)
+    return M.gather_steps(bent, levels=LEVELS)
 
 
 @query("eva14_crossing_guard", f"""

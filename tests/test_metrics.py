@@ -116,3 +116,18 @@ def test_classification_matches_definition(spark):
     n = np.array([(s >= c).sum() for c in cut])
     assert out["g"].auprc == pytest.approx(np.sum(np.diff(np.r_[0, tp]) / y.sum() * tp / n))
     assert out["one"].auroc is None and out["one"].base_rate == 1.0
+
+
+def test_known_levels_gather_in_columns_of_fixed_width(spark):
+    """The same steps as a list gives, absent and empty levels too, without collecting lists."""
+    levels = [0.1, 0.5, 0.9]
+    df = long(spark, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]], [1.0, 2.0, 3.0], levels)
+    df = df.where("NOT (step = 2 AND q = 0.5)").withColumn("forecast", F.when(F.expr("NOT (step = 3 AND q = 0.9)"), F.col("forecast")))
+    known = M.gather_steps(df, levels=levels)
+    assert sorted(map(repr, known.collect())) == sorted(map(repr, M.gather_steps(df).collect()))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    with pytest.raises(Exception, match="unknown forecast level"):
+        M.gather_steps(df, levels=[0.1, 0.5]).collect()
+    with pytest.raises(Exception, match="two forecasts"):
+        M.gather_steps(df.union(df), levels=levels).collect()
