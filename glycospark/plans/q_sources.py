@@ -16,7 +16,7 @@ from ..sinks import writers as Wr
 from ..sources import raw as Src, runs as Rn
 from .catalog import R, RAW_KEYS, SER, STEP, Tables, epoch, meals, query, r, round_slot_sql, series
 from .q_boards import RUNS, runs
-from .q_metrics import ACT, LEVELS, PT, QF, point, quantiles, rounded
+from .q_metrics import ACT, LEVELS, PT, QF, point, rounded
 
 ISO = "yyyy-MM-dd HH:mm:ss"
 SAS = "ddMMMyy:HH:mm:ss"
@@ -593,10 +593,11 @@ def _legacy_totals(t: Tables) -> DataFrame:
 WITH {QF}, k AS (SELECT *, dense_rank() OVER (PARTITION BY episode ORDER BY step) AS k FROM qf)
 SELECT CAST(episode AS VARCHAR) AS episode_id, CAST(k AS INTEGER) AS step, CAST(q AS DOUBLE) AS q, {R('forecast')} AS forecast, {R('actual')} AS actual FROM k""")
 def src17(t: Tables):
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("step", "forecast"))), lambda s: s["forecast"])
-    by_q = quantiles(t).groupBy("episode", "q").agg(rows.alias("row"), F.transform(F.sort_array(F.collect_list(F.struct("step", "actual"))), lambda s: s["actual"]).alias("actuals"))
-    tensor = F.transform(F.sort_array(F.collect_list(F.struct("q", "row"))), lambda s: s["row"])
-    stored = by_q.groupBy(F.col("episode").cast("string").alias("episode_id")).agg(tensor.alias("quantile_forecasts"), F.first("actuals").alias("actuals"))
+    # an episode's steps are gathered once; the rows of its levels follow from its points in place
+    points = point(t).groupBy("episode").agg(F.sort_array(F.collect_list(F.struct("step", "forecast", "actual"))).alias("_s"))
+    row = lambda q: F.transform("_s", lambda s: s["forecast"] * (0.5 + F.lit(q)))
+    tensor = F.array(*[row(q) for q in LEVELS])
+    stored = points.select(F.col("episode").cast("string").alias("episode_id"), tensor.alias("quantile_forecasts"), F.transform("_s", lambda s: s["actual"]).alias("actuals"))
     path = scratch(t.spark, "tensors")
     stored.write.parquet(path)
     return rounded(Rn.quantile_tensor(t.spark.read.parquet(path), LEVELS), "forecast", "actual")

@@ -214,3 +214,21 @@ def test_longest_first(spark):
     assert [got[0, f"p{i}"] for i in range(7)] == ["b000", "b001", "b001", "b000", "b002", "b002", "b002"] and got[1, "q"] == "b000"
     two = {r.p_num: r.batch for r in W.pack_patients(sizes.where("partition = 0"), 2, 1000).collect()}
     assert sorted(two.values()) == ["b000"] * 2 + ["b001"] * 2 + ["b002"] * 2 + ["b003"]
+
+
+def test_tensors_are_built_without_opening_the_levels(spark, monkeypatch):
+    """An episode's points are gathered once, not once for each level."""
+    from pyspark.sql import DataFrameWriter
+
+    import __spark_entry__ as entry
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def spy(self, path, *args, **kw):
+        if "/tensors-" in path:
+            plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, path, *args, **kw)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    assert entry.queries()["src17_quantile_tensors"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(plans) == 1 and "Generate" not in plans[0] and plans[0].count("collect_list(") == 1
