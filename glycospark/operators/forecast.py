@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .blocks import with_row
 
@@ -150,14 +151,88 @@ def apply_per_patient(
     With ``block_seconds`` it runs per patient and time block, which bounds the group.
     Transformers that need the whole series leave it out; then a patient must not have more
     than ``most_rows`` rows, which one aggregate checks before any row reaches Python.
+    Groups may be many and small: they reach Python in Arrow batches, not one by one.
     """
     if block_seconds:
-        block = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / block_seconds).alias("_blk")
-        return df.groupBy(*by, block).applyInPandas(transform, schema)
+        block = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / block_seconds)
+        return _apply_in_batches(df, [*by, block], transform, schema)
     largest = df.groupBy(*by).agg(F.count("*").alias("n")).orderBy(F.desc("n")).first()
     if largest and largest["n"] > most_rows:
         raise ValueError(f"{dict(zip(by, largest))} has {largest['n']} rows, more than {most_rows} for one frame: give block_seconds, or fit by an aggregate (fit_patients)")
-    return df.groupBy(*by).applyInPandas(transform, schema)
+    return _apply_in_batches(df, list(by), transform, schema)
+
+
+#: Rows of results that are put together before they go back.
+_RESULT_ROWS = 10_000
+
+
+def _apply_in_batches(df: DataFrame, by: Sequence[str | Column], transform: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+    """``df.groupBy(*by).applyInPandas(transform, schema)`` for many small groups.
+
+    A window puts the groups behind each other and marks their first rows; batches are cut
+    there, and a group that goes on in the next batch waits for its rest.  Whole numbers and
+    truth values turn into others in pandas where a batch holds a NULL, so they are sent
+    without NULLs as well, for the groups that have none.
+    """
+    keys = {f"_by_{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(by)}
+    plain = {f.name: f"_plain_{i}" for i, f in enumerate(df.schema.fields) if f.nullable and isinstance(f.dataType, (T.IntegralType, T.BooleanType))}
+    filled = {out: F.coalesce(c, F.lit(0).cast(df.schema[c].dataType)) for c, out in plain.items()}
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) == 1
+    columns = df.columns
+    marked = df.withColumns({**keys, **filled}).withColumn("_first", first).drop(*keys)
+
+    def frame(rows: pd.DataFrame, whole: dict[str, np.ndarray]) -> pd.DataFrame:
+        out = rows.copy()
+        out.index = pd.RangeIndex(len(out))
+        for c, values in whole.items():
+            if not out[c].isna().any():
+                out[c] = values
+        return out
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+        """The groups, and None at the end of a batch."""
+        open_: list[pd.DataFrame] = []  # parts of the group that may go on
+
+        def joined() -> pd.DataFrame:
+            rows = pd.concat(open_) if len(open_) > 1 else open_[0]
+            return frame(rows[columns], {c: rows[p].to_numpy() for c, p in plain.items() if rows[c].dtype != rows[p].dtype})
+
+        for batch in batches:
+            at = [*np.flatnonzero(batch["_first"].to_numpy()).tolist(), len(batch)]
+            if at[0] > 0:
+                open_.append(batch.iloc[: at[0]])
+            if len(at) == 1:
+                continue
+            if open_:
+                yield joined()
+            data = batch[columns]
+            whole = {c: batch[p].to_numpy() for c, p in plain.items() if data[c].dtype != batch[p].dtype}
+            for a, b in zip(at[:-2], at[1:-1]):
+                yield frame(data.iloc[a:b], {c: v[a:b] for c, v in whole.items()})
+            open_ = [batch.iloc[at[-2] :]]
+            yield None
+        if open_:
+            yield joined()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: list[pd.DataFrame] = []
+        like, n = None, 0
+        for group in groups(batches):
+            result = None if group is None else transform(group)
+            if result is not None and not isinstance(result, pd.DataFrame):
+                raise TypeError(f"the transformer gave {type(result).__name__}, not a DataFrame")
+            kind = like if result is None else [(c, result[c].dtype) for c in result.columns]
+            # frames of other types would change each other's values
+            if ready and (result is None or kind != like or n >= _RESULT_ROWS):
+                yield pd.concat(ready, ignore_index=True)
+                ready, n = [], 0
+            if result is not None and len(result):
+                ready.append(result)
+                like, n = kind, n + len(result)
+        if ready:
+            yield pd.concat(ready, ignore_index=True)
+
+    return marked.mapInPandas(run, schema)
 
 
 def fit_patients(df: DataFrame, col: str, by: str = "p_num") -> DataFrame:

@@ -504,9 +504,14 @@ def udf3_fit(t: Tables):
     """Fitted by an aggregate, applied per time block: no task holds a patient."""
     src = t.events.select(F.col("user_id").alias("p_num"), "event_id", F.col("ts").alias("datetime"), "value")
 
-    def scale(pdf):
-        pdf["scaled"] = ((pdf["value"] - pdf["fit_mean"]) / pdf["fit_std"]).round(6) + 0.0
-        return pdf[["event_id", "scaled"]]
+    def scale(pdf):  # frames are many and small, where arrays cost less than columns
+        import numpy as np
+        import pandas as pd
+
+        value, mean, std = (pdf[c].to_numpy() for c in ("value", "fit_mean", "fit_std"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scaled = ((value - mean) / std).round(6) + 0.0
+        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "scaled": scaled}, copy=False)
 
     fitted = src.join(Fc.fit_patients(src, "value"), "p_num")
     return Fc.apply_per_patient(fitted, scale, "event_id bigint, scaled double", block_seconds=10 * 86_400)

@@ -130,3 +130,39 @@ def test_whole_patients_only_behind_a_size_bound(spark):
     with pytest.raises(ValueError, match="20 rows, more than 10"):
         Fc.apply_per_patient(df, count, "p_num string, n long", most_rows=10)
     assert Fc.apply_per_patient(df.limit(0), count, "p_num string, n long").collect() == []
+
+
+def test_many_small_groups_reach_the_transformer_in_batches(spark):
+    """As with applyInPandas: the same frames, whatever their neighbours in the batch hold."""
+    import datetime as dt
+
+    big = 2**53 + 1
+    rows = []
+    for i in range(400):
+        day = dt.datetime(2024, 1, 1 + i % 7, i % 24)
+        rows.append((None if i % 5 == 0 else i % 9, day, None if i % 50 == 0 else big + 2 * i, None if i % 70 == 0 else i % 2 == 0, None if i % 3 == 0 else i / 7, f"x{i}", [i, None]))
+    df = spark.createDataFrame(rows, "p long, datetime timestamp_ntz, id long, flag boolean, x double, s string, a array<int>")
+
+    def show(pdf):
+        told = ",".join(f"{c}:{pdf[c].dtype}" for c in pdf.columns)
+        pdf["told"] = told
+        pdf["n"] = len(pdf)
+        assert list(pdf.index) == list(range(len(pdf)))
+        return pdf[["id", "s", "told", "n"]] if len(pdf) != 8 else pdf.iloc[:0]
+
+    schema = "id long, s string, told string, n int"
+    block = F.floor(F.unix_seconds(F.col("datetime").cast("timestamp")) / 86_400)
+    cases = [(df.groupBy("p", block), {"by": ["p"], "block_seconds": 86_400}), (df.groupBy("p"), {"by": ["p"]})]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for grouped, args in cases:
+        want = sorted(map(str, grouped.applyInPandas(show, schema).collect()))
+        for batch in ("3", "64", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            try:
+                out = Fc.apply_per_patient(df, show, schema, **args)
+                assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # a stream per group
+                assert sorted(map(str, out.collect())) == want
+            finally:
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    with pytest.raises(Exception, match="not a DataFrame"):
+        Fc.apply_per_patient(df, lambda pdf: 1, schema, by=["p"]).collect()
