@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.arrays import once
 from .blocks import with_row
 
 DEFAULT_LEVELS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
@@ -98,9 +99,8 @@ def baseline_arrays(
 ) -> DataFrame:
     """:func:`baseline_quantiles` within the episode row: per step one value for each level (UDF2)."""
     ordered = F.array_sort(F.array_compact(F.col(context)))
-    rows = episodes.withColumn("_o", ordered).withColumn("_k", F.array(*[array_quantile(F.col("_o"), q) for q in levels]))
-    known = F.when(F.size("_o") > 0, F.array_repeat("_k", steps))
-    return rows.withColumn(out, known).drop("_o", "_k")
+    knots = lambda o: F.when(F.size(o) > 0, F.array_repeat(F.array(*[array_quantile(o, q) for q in levels]), steps))
+    return episodes.withColumn(out, once(ordered, knots))
 
 
 def arrays_of(episodes: DataFrame, forecasts: DataFrame, levels: Sequence[float], out: str = "values") -> DataFrame:

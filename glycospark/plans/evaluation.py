@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import once
 from ..functions.softdtw import COLUMNS, dilate
 from ..operators import episodes as E, metrics as M
 from ..operators.blocks import Keys
@@ -32,7 +33,7 @@ def _step_scores(levels: Sequence[float], threshold: float, intervals: dict[str,
         if len(levels) > 1:
             known = F.array(*[F.lit(float(q)) for q in levels])
             loss = F.zip_with(known, values, lambda q, f: F.when(y >= f, q * (y - f)).otherwise((q - 1) * (y - f)))
-            p = M.hypo_probability(known, F.array_sort(values), threshold)
+            p = once(F.array_sort(values), lambda v: M.hypo_probability(known, v, threshold))
             out.append((F.aggregate(loss, F.lit(0.0), lambda s, x: s + x) / len(levels)).alias("loss"))
             out.append(F.pow(p - (y < threshold).cast("double"), F.lit(2)).alias("hypo"))
             for s, width in intervals.items():
@@ -81,11 +82,18 @@ def evaluate_nocturnal(
     intervals = {str(round(100 * x)): x for x in M.supported_levels(levels)} if probabilistic else {}
     if context_length:
         episodes = episodes.withColumn("context", F.when(F.size("context") > context_length, F.slice("context", -context_length, context_length)).otherwise(F.col("context")))
-    n = F.least(F.size("values"), F.size("target"))
-    rows = forecaster(episodes).where(F.col("values").isNotNull() & (n > 0))
-    scored = F.zip_with(F.slice("values", 1, n), F.slice("target", 1, n), _step_scores(levels, threshold, intervals))
-    rows = rows.select("p_num", "episode_id", "anchor", "context", "values", scored.alias("steps"))
-    rows = rows.withColumn("steps", F.filter("steps", lambda x: x["se"].isNotNull())).withColumn("n_steps", F.size("steps").cast("long")).where("n_steps > 0")
+
+    def pairs(values: Column, f: Callable[[Column, Column], Column]) -> Column:
+        n = F.greatest(F.lit(0), F.least(F.size(values), F.size("target")))
+        return F.zip_with(F.slice(values, 1, n), F.slice("target", 1, n), f)
+
+    score = _step_scores(levels, threshold, intervals)
+    known = lambda values: F.exists(pairs(values, lambda v, y: _level(v, levels, 0.5) - y), lambda e: e.isNotNull())
+    scored = lambda values: F.filter(pairs(values, score), lambda x: x["se"].isNotNull())
+    # a filter on the steps would score every episode a second time
+    rows = forecaster(episodes).where(once(F.col("values"), known))
+    rows = rows.select("p_num", "episode_id", "anchor", "context", "values", once(F.col("values"), scored).alias("steps"))
+    rows = rows.withColumn("n_steps", F.size("steps").cast("long"))
 
     mean = lambda field: _over_steps(field) / F.col("n_steps")
     first = F.get("steps", F.lit(0))["f"]
@@ -122,7 +130,8 @@ def evaluate_nocturnal(
     raw = rows.select("p_num", "episode_id", "anchor", "values", F.transform("steps", lambda x: x["y"]).alias("target"))
     out = {"forecasts": raw, "per_episode": per_episode.drop("steps"), "per_patient": by_patient, "overall": overall}
     if probabilistic:
-        opened = rows.select(F.posexplode("steps").alias("_i", "_s"))
+        # no episode is without steps; a plain posexplode would filter on them all the same
+        opened = rows.select(F.posexplode_outer("steps").alias("_i", "_s"))
         cells = [F.avg(f"_s.{a}_{s}").alias(f"{b}_{s}") for s in intervals for a, b in (("in", "coverage"), ("wide", "sharpness"))]
         out["by_step"] = opened.groupBy((F.col("_i") + 1).alias("step")).agg(*cells)
     return out

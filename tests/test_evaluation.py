@@ -122,6 +122,14 @@ def test_no_exchange_between_forecast_and_episode_row(episodes, data):
     assert M.supported_levels(LEVELS) == [0.5, 0.8]
 
 
+def test_steps_are_scored_once(episodes):
+    """Filters on the steps took the whole scoring along, several times over."""
+    out = evaluate_nocturnal(episodes, lambda e: Fc.baseline_arrays(e, FH, LEVELS), LEVELS, with_dilate=False)
+    for name in ("by_step", "per_patient", "overall"):
+        plan = out[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(", under, ") == 1 and plan.count("array_sort") <= 4, name
+
+
 def test_whole_patients_only_behind_a_size_bound(spark):
     df = spark.createDataFrame([("a", k) for k in range(20)] + [("b", 1)], "p_num string, v long")
     count = lambda pdf: pd.DataFrame({"p_num": [pdf["p_num"].iloc[0]], "n": [len(pdf)]})
