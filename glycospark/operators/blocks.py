@@ -140,6 +140,8 @@ class Carry:
     ``next``   first non-NULL value strictly after the row
     ``first``  first non-NULL value of the whole series
     ``final``  last non-NULL value of the whole series
+    ``low``    least value of the whole series
+    ``high``   greatest value of the whole series
 
     ``prev`` of a struct is a plain lag, because a struct is never NULL.
     """
@@ -170,6 +172,8 @@ def scan(df: DataFrame, keys: Keys, **carries: Carry) -> DataFrame:
             reduced.append(F.max_by(v, at).alias(f"_s_{name}"))
         elif kind in ("next", "first"):
             reduced.append(F.min_by(v, at).alias(f"_s_{name}"))
+        elif kind in ("low", "high"):
+            reduced.append((F.min if kind == "low" else F.max)(v).alias(f"_s_{name}"))
         else:
             raise ValueError(f"unknown carry kind {kind!r}")
         carried.append(
@@ -181,6 +185,8 @@ def scan(df: DataFrame, keys: Keys, **carries: Carry) -> DataFrame:
                 "next": lambda s=s: F.last(s, True).over(after),
                 "first": lambda s=s: F.min_by(s, F.when(s.isNotNull(), F.col(BLOCK))).over(whole),
                 "final": lambda s=s: F.max_by(s, F.when(s.isNotNull(), F.col(BLOCK))).over(whole),
+                "low": lambda s=s: F.min(s).over(whole),
+                "high": lambda s=s: F.max(s).over(whole),
             }[kind]().alias(f"_c_{name}")
         )
     summary = base.groupBy(*keys.by, BLOCK).agg(*reduced)

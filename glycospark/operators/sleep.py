@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settle
 from .blocks import exact_quantiles, halo, own, scan, Carry, Keys
 from .profile import hourly_profile
 
@@ -20,16 +21,16 @@ def sleep_score(
 ) -> DataFrame:
     """Weighted min-max score, centred three-row mean, 1 above its quantile (WIN25).
 
-    Missing values are interpolated by position and held at the ends.
+    Missing values are interpolated by position and held at the ends.  The smoothed rows are
+    written to the shared folder, as the quantiles and the scores both come from them.
     """
     by = list(keys.by)
     carries = {}
     for c in weights:
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("k"), F.col(c).alias("v")))
         carries[f"_a_{c}"], carries[f"_b_{c}"] = Carry("last", known), Carry("next", known)
+        carries[f"_lo_{c}"], carries[f"_hi_{c}"] = Carry("low", F.col(c)), Carry("high", F.col(c))
     filled = scan(df, keys, **carries)
-    bounds = df.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in weights for n, f in (("lo", F.min), ("hi", F.max))])
-    joined = filled.join(bounds, by)
     score = F.lit(0.0)
     for c, weight in weights.items():
         a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
@@ -38,28 +39,32 @@ def sleep_score(
         lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
         part = F.when(hi != lo, (x - lo) / (hi - lo)).otherwise(0.0)
         score = score + F.when(lo.isNull(), 0.0).otherwise(part) * weight
-    scored = joined.withColumn("_s", score).select(*df.columns, "_s")
+    scored = filled.withColumn("_s", score).select(*df.columns, "_s")
     near = halo(scored, keys, back=step, ahead=step)
     smooth = own(near.withColumn("_m", F.avg("_s").over(keys.window().rowsBetween(-1, 1))))
     # the same sums in another order may differ in the last digits
-    smooth = smooth.withColumn("_m", F.round("_m", 9))
+    smooth = settle(smooth.withColumn("_m", F.round("_m", 9)).drop("_s"), "sleep")
     out = smooth.join(exact_quantiles(smooth, by, "_m", {"_cut": quantile}), by, "left")
-    return out.withColumn("sleep_score", (F.col("_m") > F.col("_cut")).cast("double")).withColumnRenamed("_m", "raw_score").drop("_s", "_cut")
+    return out.withColumn("sleep_score", (F.col("_m") > F.col("_cut")).cast("double")).withColumnRenamed("_m", "raw_score").drop("_cut")
 
 
 def sleep_hours(scores: DataFrame, length: int = 8) -> DataFrame:
     """The circular window with the lowest mean score per day (WIN26); first start on ties.
 
-    Hours are summed per day first; each hour then joins the starts that cover it.
+    A row counts for the starts whose window holds its hour; a day's sums for all of them are
+    columns of one row, so that no row is repeated per start.
     """
-    hours = scores.groupBy("p_num", F.to_date("datetime").alias("date"), F.hour("datetime").alias("_h")).agg(
-        F.sum("sleep_score").alias("_s"), F.count("sleep_score").alias("_n")
-    )
-    starts = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.pmod(F.col("_h") - k, F.lit(24)))
-    windows = hours.withColumn("sleep_start", F.explode(starts)).groupBy("p_num", "date", "sleep_start").agg(
-        (F.sum("_s") / F.sum("_n")).alias("_m")
-    )
-    best = windows.groupBy("p_num", "date").agg(F.min_by("sleep_start", F.struct(F.round("_m", 9), "sleep_start")).alias("sleep_start"))
+    starts = range(24)
+    rows = scores.select("p_num", F.to_date("datetime").alias("date"), F.hour("datetime").alias("_h"), "sleep_score")
+    inside = [F.when(F.pmod(F.col("_h") - k, F.lit(24)) < length, F.col("sleep_score")) for k in starts]
+    sums = [c for k in starts for c in (F.sum(inside[k]).alias(f"_s{k}"), F.count(inside[k]).alias(f"_n{k}"))]
+    # the hours with rows, and those that a window holds, as bits
+    seen = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("_h")))
+    held = F.array(*[F.lit(sum({1 << (k + j) % 24 for j in range(length)})) for k in starts])
+    days = rows.groupBy("p_num", "date").agg(seen.alias("_seen"), *sums)
+    means = F.zip_with(F.array(*[f"_s{k}" for k in starts]), F.array(*[f"_n{k}" for k in starts]), lambda s, n: F.round(F.when(n > 0, s / n), 9))
+    windows = F.transform(means, lambda m, k: F.when(F.get(held, k).bitwiseAND(F.col("_seen")) != 0, F.struct(m.alias("m"), k.alias("k"))))
+    best = days.select("p_num", "date", F.array_min(windows)["k"].alias("sleep_start"))
     return best.withColumn("sleep_end", (F.col("sleep_start") + length) % 24).withColumn("sleep_duration", F.lit(length))
 
 

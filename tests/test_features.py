@@ -5,8 +5,8 @@ from conftest import values
 from pyspark.sql import functions as F
 
 from glycospark.functions.kernels import as_exponentials, carb_decays, carb_kernel, insulin_decays, insulin_kernel
-from glycospark.operators import features as X
-from glycospark.operators.blocks import Keys, affine_scan
+from glycospark.operators import features as X, sleep as Sl
+from glycospark.operators.blocks import Carry, Keys, affine_scan, scan
 from glycospark.plans.preprocess import physiological_features, preprocess
 
 HOUR = Keys(block=3600)
@@ -197,3 +197,41 @@ def test_active_rows_are_those_of_the_whole_grid(spark):
             assert all(part[key][c] == r[c] for c in ("pos", "food_g", "dose_units", "hour_sin"))
     long = physiological_features(df, 60, keys=Keys(block=86_400), precise=True, active=True)
     assert long.count() < 2_000  # the grid has 576,000
+
+
+def test_sleep_rows_are_read_once_and_not_repeated(spark):
+    """The smoothed rows come from the shared folder; the start of a day is that of plain sums over its hours."""
+    import datetime as dt
+    import random
+
+    rng, t0 = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(p, t0 + dt.timedelta(hours=k), k, *[rng.random() * 9 if rng.random() > 0.4 else None for _ in range(3)]) for p in (1, 2) for k in range(5, 24 * 12 + 7)]
+    df = spark.createDataFrame(rows, "p_num long, datetime timestamp_ntz, pos long, hr_bpm double, steps double, cals double")
+    scores = Sl.sleep_score(df, 3600, keys=Keys(block=86_400))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" not in plan and "Scan ExistingRDD" not in plan and "Scan parquet" in plan
+    sparse = scores.where("pos % 5 < 3").withColumn("sleep_score", F.when(F.col("pos") % 4 != 1, F.col("sleep_score") + F.col("raw_score")))
+    days = {}
+    for r in sparse.collect():
+        days.setdefault((r.p_num, r.datetime.date()), []).append((r.datetime.hour, r.sleep_score))
+    want = {}
+    for key, cells in days.items():
+        means = []
+        for s in range(24):
+            held = [v for h, v in cells if (h - s) % 24 < 8]
+            known = [v for v in held if v is not None]
+            if held:
+                means.append((round(sum(known) / len(known), 9) if known else -1.0, s))
+        want[key] = min(means)[1]
+    out = Sl.sleep_hours(sparse)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert {(r.p_num, r.date): r.sleep_start for r in got} == want
+    assert all(r.sleep_end == (r.sleep_start + 8) % 24 and r.sleep_duration == 8 for r in got)
+
+
+def test_scan_carries_the_bounds_of_a_series(spark):
+    df = spark.createDataFrame([(p, k * 90_000, v) for p, vs in ((1, [None, 4.0, -2.0, 9.0]), (2, [None, None])) for k, v in enumerate(vs)], "p_num long, s long, v double")
+    df = df.withColumn("datetime", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    out = scan(df, Keys(block=86_400), lo=Carry("low", F.col("v")), hi=Carry("high", F.col("v"))).select("p_num", "lo", "hi").distinct()
+    assert {tuple(r) for r in out.collect()} == {(1, -2.0, 9.0), (2, None, None)}
